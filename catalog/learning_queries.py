@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.common import prepared, round_col, round_sql, rounded, table
+from catalog.data_queries import quota_ctes, rank_sql
 from netlens.operators import knn, models, resample
-from netlens.operators.metrics import score_curve, ranking_metrics
 from netlens.operators.models import Settings, fit_model
+from netlens.operators.sampling import split_dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -183,16 +184,17 @@ def _(s, d):
 # ---- models ---------------------------------------------------------------
 
 
-def halves(s, d) -> tuple[DataFrame, DataFrame]:
+def train_and_all(s, d) -> tuple[DataFrame, DataFrame]:
+    """The training part of an exact split, and every row to score."""
     v = vectors(s, d)
-    return v.where("id % 2 = 0"), v.where("id % 2 = 1")
+    return split_dataset(v, "id", "y", 0.2, 0.2, SEED).where("split = 'train'").drop("split"), v
 
 
 def _scored(name: str, model: str, strategy: str = "baseline"):
     @add(name)
     def _(s, d):
-        train, test = halves(s, d)
-        return fit_model(model, strategy, train, QUICK, SEED).score(test).select("id", "y", "score")
+        train, rows = train_and_all(s, d)
+        return fit_model(model, strategy, train, QUICK, SEED).score(rows).select("id", "y", "score")
 
 
 for _n, _m in (
@@ -211,11 +213,16 @@ for _n, _m in (
 _scored("md12_class_weight", "logistic_regression", "class_weight")
 
 
-@add("md06_knn", f"""with {BASE}, tr as (select * from e where id % 2 = 0), te as (select * from e where id % 2 = 1), {near('n', 'te', 'tr', 7, False)}
-select te.id, te.y, {round_sql('avg(ny * 1.0)', 9)} as score from n join te on te.id = n.id group by te.id, te.y""")
+_E_COUNTS = "(select y, count(*) n from e group by y)"
+TRAIN = f"""{quota_ctes('sum(n) - ceil(sum(n) * 0.2)', _E_COUNTS)}, {quota_ctes('sum(n) - ceil(sum(n) * (0.2 / (1.0 - 0.2)))', '(select y, k n from q)', 'b')},
+er as (select *, {rank_sql('id')} rk from e), tr as (select er.* from er join bq on er.y = bq.y where rk <= bq.k)"""
+
+
+@add("md06_knn", f"""with {BASE}, {TRAIN}, {near('n', 'e', 'tr', 7, False)}
+select e.id, e.y, {round_sql('avg(ny * 1.0)', 9)} as score from n join e on e.id = n.id group by e.id, e.y""")
 def _(s, d):
-    train, test = halves(s, d)
-    return rounded(fit_model("knn", "baseline", train, QUICK, SEED).score(test).select("id", "y", "score"), 9)
+    train, rows = train_and_all(s, d)
+    return rounded(fit_model("knn", "baseline", train, QUICK, SEED).score(rows).select("id", "y", "score"), 9)
 
 
 @add("md12_balanced_weights", f"with {BASE}, c as (select y, count(*) n from e group by y) select id, e.y, {round_sql('(select count(*) from e) / (2.0 * n)', 9)} as weight from e join c on e.y = c.y")

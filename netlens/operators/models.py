@@ -84,7 +84,7 @@ class Fitted:
     """A trained model: Spark ML models with a rule that turns them into a score."""
 
     name: str
-    kind: str  # probability, margin, votes, boosted, neighbours
+    kind: str  # probability, margin, boosted, neighbours, pipeline
     models: list = field(default_factory=list)
     weights: list[list[float]] = field(default_factory=list)
     bounds: tuple[float, float] | None = None
@@ -97,12 +97,14 @@ class Fitted:
                 F.avg(F.col("neighbour_y").cast("double")).alias("score")
             )
             return df.join(votes, "id", "left").na.fill(0.0, ["score"])
+        if self.kind == "pipeline":
+            return _probability(self.models[0], df, "score")
         out = df.withColumn("_v", array_to_vector("features"))
         if self.kind == "margin":
             raw = self.models[0].transform(out).withColumn("_raw", vector_to_array("rawPrediction")[1])
+            # not clipped to [0, 1]: rows outside the training range keep their order
             scaled = min_max_scores(raw, "_raw", None if per_batch_bounds else self.bounds)
-            in_range = F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))
-            return scaled.select(*df.columns, in_range.alias("score"))
+            return scaled.select(*df.columns, "score")
         columns = []
         for i, model in enumerate(self.models):
             out = _probability(model, out, f"_p{i}") if self.kind != "boosted" else _vote(model, out, f"_p{i}")
@@ -116,6 +118,14 @@ class Fitted:
             columns = bags
         return out.select(*df.columns, (_total(columns) / len(columns)).alias("score"))
 
+    @property
+    def default_threshold(self) -> float:
+        """Where the model itself decides for class 1: above one half, or above margin 0."""
+        if self.kind != "margin":
+            return math.nextafter(0.5, 1.0)
+        low, high = self.bounds
+        return math.nextafter(-low / (high - low), math.inf) if high > low else 0.5
+
     def importances(self) -> list[float] | None:
         """Mean feature importances, for models that have them."""
         found = [m.featureImportances.toArray() for m in self.models if hasattr(m, "featureImportances")]
