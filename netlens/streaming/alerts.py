@@ -33,7 +33,7 @@ def stream_flows(
 ) -> DataFrame:
     """IO8: flow rows of files that land in a directory; names starting with ``_`` are not read.
 
-    ``file_time`` and ``row_place`` give the arrival order.
+    ``file_time`` and ``file_name`` give the arrival order of files.
     """
     reader = spark.readStream.schema(schema or flow_schema()).option("maxFilesPerTrigger", max_files)
     if fmt == "csv":
@@ -42,7 +42,6 @@ def stream_flows(
         "*",
         F.col("_metadata.file_modification_time").alias("file_time"),
         F.col("_metadata.file_name").alias("file_name"),
-        F.monotonically_increasing_id().alias("row_place"),
     )
 
 
@@ -79,6 +78,7 @@ class AlertStream:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.withColumn("row_place", F.monotonically_increasing_id())
         with scratch(spark):
             scored = score_flows(batch, self.bundle, self.label, self.limit)
             if self.count_benign and self.group_attacks:
