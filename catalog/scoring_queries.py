@@ -15,6 +15,7 @@ from netlens.operators import alerts, metrics, scoring
 from netlens.operators.features import FLOW_COLUMNS, records_of
 from netlens.operators.models import Settings, fit_model
 from netlens.operators.prep import fit_preprocessor
+from netlens.operators.sampling import split_dataset
 from netlens.plans import grid
 from netlens.plans.bundle import Bundle
 
@@ -159,9 +160,7 @@ def _(s, d):
 
 @add("sc17_cross_validation")
 def _(s, d):
-    from netlens.operators.sampling import split_dataset
-
-    frames = grid.Frames(split_dataset(flow_dataset(s, d), "id", "y"))
+    frames = grid.Frames(split_dataset(flow_dataset(s, d), "id", "y"), CFG)
     cv = grid.cross_validate(frames, "logistic_regression", "smote", CFG)
     return s.createDataFrame(sorted(cv.items()), "metric string, value double")
 

@@ -173,6 +173,8 @@ def _restarts(rows: DataFrame, state: DataFrame, p: FlowParams) -> DataFrame | N
         "follower",
         F.coalesce(F.lead(_pos()).over(in_slice), F.when(last_session, F.col("s_next"))),
     )
+    # read twice below; narrow, and only of sessions longer than the cap
+    packets = cut_lineage(packets.select(*key, "session", "us", "seq", "d", "follower"))
     # closing packet = first packet at or after us + cap: packets and look-ups run
     # through one ordering, latest first, with a running minimum
     arrival = F.struct(F.col("us").alias("at"), F.lit(0).alias("kind"))

@@ -21,10 +21,13 @@ ONE_TASK_ROWS = 500_000
 RANGES = 256
 
 
-def running_totals(df: DataFrame, order: str, columns: Sequence[str], one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """Adds ``<column>_upto``: sum over rows with ``order`` at or above, for unique ``order`` values."""
+def running_totals(df: DataFrame, order: str, columns: Sequence[str], few: bool) -> DataFrame:
+    """Adds ``<column>_upto``: sum over rows with ``order`` at or above, for unique ``order`` values.
+
+    ``few``: the table is known to be small enough for one task.
+    """
     spec = Window.orderBy(F.desc(order))
-    if df.count() <= one_task_rows:
+    if few:
         return df.withColumns({f"{c}_upto": F.sum(c).over(spec) for c in columns})
     inner = sorted(set(df.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 1 / (4 * RANGES))))
     splits = [float("-inf"), *inner, float("inf")]
@@ -48,9 +51,10 @@ def score_curve(scores: DataFrame, y: str = "y", score: str = "score", one_task_
             F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
         )
     )
-    totals = per_score.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))  # one row
-    curve = running_totals(per_score, "threshold", ["pos", "neg"], one_task_rows)
-    return curve.withColumnsRenamed({"pos_upto": "tp", "neg_upto": "fp"}).join(F.broadcast(totals))
+    n, n_pos, n_neg = per_score.agg(F.count(F.lit(1)), F.sum("pos"), F.sum("neg")).first()
+    curve = running_totals(per_score, "threshold", ["pos", "neg"], n <= one_task_rows)
+    totals = {"n_pos": F.lit(n_pos or 0), "n_neg": F.lit(n_neg or 0)}
+    return curve.withColumnsRenamed({"pos_upto": "tp", "neg_upto": "fp"}).withColumns(totals)
 
 
 def pr_curve(curve: DataFrame) -> DataFrame:
@@ -102,6 +106,13 @@ def confusion(scores: DataFrame, threshold: float | Column, y: str = "y", score:
     )
 
 
+def confusion_of_curve(curve: DataFrame, threshold: float) -> DataFrame:
+    """SC9 from a score curve, without another look at the scored rows."""
+    hit = F.col("threshold") >= threshold
+    sums = {"tn": ("neg", ~hit), "fp": ("neg", hit), "fn": ("pos", ~hit), "tp": ("pos", hit)}
+    return curve.agg(*[F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)).alias(k) for k, (n, c) in sums.items()])
+
+
 def threshold_metrics(matrix: DataFrame) -> DataFrame:
     """SC10-SC12 from a confusion row."""
     tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
@@ -130,10 +141,15 @@ def ranking_metrics(curve: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(scores: DataFrame, threshold: float, curve: DataFrame | None = None) -> DataFrame:
+def evaluate_curve(curve: DataFrame, threshold: float) -> DataFrame:
     """One row with the confusion matrix and the eight metrics."""
-    ranked = ranking_metrics(score_curve(scores) if curve is None else curve)
-    return threshold_metrics(confusion(scores, threshold)).join(F.broadcast(ranked))
+    ranked = ranking_metrics(curve)
+    return threshold_metrics(confusion_of_curve(curve, threshold)).join(F.broadcast(ranked))
+
+
+def evaluate(scores: DataFrame, threshold: float) -> DataFrame:
+    """``evaluate_curve`` over scored rows."""
+    return evaluate_curve(score_curve(scores), threshold)
 
 
 def roc_points(curve: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Models train on ``features`` (array), ``y`` and optionally ``weight``; scoring
 adds ``score`` in [0, 1]. Differences from the usual single-machine learners:
-tree depth is capped at 30 (forests 12), forests choose split points from
+tree depth is capped at 30 (forests 10), forests choose split points from
 histograms, and the intercept of logistic regression is not penalised.
 """
 
@@ -68,13 +68,13 @@ class Settings:
 
     forest_trees: int = 250
     extra_trees: int = 300
-    forest_depth: int = 12
+    forest_depth: int = 10
     tree_depth: int = 30
     boosting_stages: int = 100
     boosting_rounds: int = 50
     bags: int = 20
     forest_bags: int = 10
-    max_bins: int = 64
+    max_bins: int = 32
     max_iter: int = 2000
     c: float = 1.0
 
