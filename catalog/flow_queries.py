@@ -28,14 +28,22 @@ def assigned(spark: SparkSession, sf_dir: str, p: FlowParams = FIXTURE) -> DataF
     return prepared(spark, sf_dir, f"assigned-{p}", lambda: assign_flows(packets(spark, sf_dir), p))
 
 
-def _record_query(name: str, cols: dict[str, str], digits: int = 6, p: FlowParams = FIXTURE, ctes: str = "", **special):
+def _record_query(
+    name: str,
+    cols: dict[str, str],
+    digits: int = 6,
+    p: FlowParams = FIXTURE,
+    ctes: str = "",
+    record_params: FlowParams | None = None,
+    **special: int,
+):
     """A projection of the flow record against SQL aggregates over ``ann``.
 
     ``cols`` maps record columns to SQL; integers are cast, doubles rounded.
     """
 
     def run(spark, sf_dir):
-        recs = records_of(assigned(spark, sf_dir, p), p, cols, keep_start=True)
+        recs = records_of(assigned(spark, sf_dir, p), record_params or p, cols, keep_start=True)
         return rounded(recs.withColumnRenamed("start_seq", "first_seq").drop("start_us"), digits, **special)
 
     QUERIES[name] = run
@@ -168,6 +176,20 @@ _record_query("ff12_forward_data_packets", {"fwd_act_data_pkts": "int:count(*) f
 _record_query(
     "ff13_flow_gaps", {f"flow_iat_{s}": e for s, e in _stats("gap").items() if s != "tot"}, 6, flow_iat_std=3
 )
+# the same table in order of arrival: gaps to the latest time so far
+_arrival = (
+    "select * replace (us - max(us) over (partition by fid order by seq rows between unbounded preceding and 1 preceding) "
+    "as gap) from ann"
+)
+_record_query(
+    "ff13_flow_gaps_by_arrival",
+    {f"flow_iat_{s}": e for s, e in _stats("gap").items() if s != "tot"},
+    6,
+    p=FIXTURE,
+    ctes=_arrival,
+    record_params=replace(FIXTURE, arrival_gaps=True),
+    flow_iat_std=3,
+)
 _record_query(
     "ff14_directional_gaps",
     {f"fwd_iat_{s}": e for s, e in _stats("dgap", "fwd").items()}

@@ -113,10 +113,18 @@ def _summary(s, before: DataFrame, after: DataFrame) -> DataFrame:
     return resample.resampling_summary(before, after)
 
 
-@add("rs04_borderline_smote")
+SEEDED = f"""{BASE}, e1 as (select * from e where y = 1), {near('mn', 'e1', 'e1', 5)}, {near('n', 'e1', 'e', 10)},
+danger as (select id from n group by id having avg(case when ny <> 1 then 1.0 else 0.0 end) >= 0.5 and avg(case when ny <> 1 then 1.0 else 0.0 end) < 1),
+m as (select *, row_number() over (order by md5(concat('{SEED}:', cast(id as varchar))), id) rk from e1 where id in (select id from danger)),
+dr as (select i draw, {draw('border', 'i')} % nullif((select count(*) from m), 0) + 1 rk, {draw('border-n', 'i')} % 5 + 1 nr, {fraction('border-u', 'i')} u from (select unnest(range(1, {NEED} + 1)) i)),
+sm as (select id, y, x from e union all
+  select -draw, m.y, list_transform(list_zip(m.x, b.x), lambda p: p[1] + u * (p[2] - p[1]))
+  from dr join m using (rk) join mn on mn.id = m.id and mn.rank = nr join e b on b.id = mn.nid)"""
+
+
+@add("rs04_borderline_smote", f"with {SEEDED} select {DIGEST} from sm")
 def _(s, d):
-    v = vectors(s, d)
-    return _summary(s, v, resample.borderline_smote(v, SEED))
+    return digest_rows(resample.borderline_smote(vectors(s, d), SEED))
 
 
 @add("rs05_svm_smote")
@@ -138,7 +146,15 @@ def _(s, d):
     return rounded(resample.adasyn_quotas(vectors(s, d)), 9)
 
 
-@add("rs07_adasyn")
+@add("rs07_adasyn", f"""with {BASE}, e1 as (select * from e where y = 1), {near('n', 'e1', 'e', 5)}, {near('mn', 'e1', 'e1', 5)},
+sh as (select id, avg(case when ny <> 1 then 1.0 else 0.0 end) share from n group by id),
+g as (select id, cast(round_even(share / (select sum(share) from sh) * {NEED}, 0) as bigint) copies from sh),
+m as (select e1.*, copies, row_number() over (order by md5(concat('{SEED}:', cast(e1.id as varchar))), e1.id) rk from e1 join g on g.id = e1.id where copies > 0),
+c as (select *, unnest(range(1, copies + 1)) i from m),
+dr as (select *, {draw('adasyn-n', 'id', 'i')} % 5 + 1 nr, {fraction('adasyn-u', 'id', 'i')} u from c),
+sm as (select id, y, x from e union all
+  select -(rk * 4294967296 + i), dr.y, list_transform(list_zip(dr.x, b.x), lambda p: p[1] + u * (p[2] - p[1]))
+  from dr join mn on mn.id = dr.id and mn.rank = nr join e b on b.id = mn.nid) select {DIGEST} from sm""")
 def _(s, d):
     return digest_rows(resample.adasyn(vectors(s, d), SEED))
 

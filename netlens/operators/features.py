@@ -11,6 +11,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from netlens.functions.numbers import ratio
 from netlens.operators.flows import assign_flows
@@ -78,6 +79,18 @@ def _first_packet_twice(packets: DataFrame) -> DataFrame:
     ).drop("copy")
 
 
+def _gaps_by_arrival(packets: DataFrame, p: FlowParams) -> DataFrame:
+    """FF13, FF14 for packets out of time order.
+
+    The flow gap runs to the latest time so far and is negative for a late packet;
+    a direction's gap runs to its packet before. Ordered per flow, which the cap bounds.
+    """
+    flow = [*p.key_columns, *FLOW_START]
+    one, way = Window.partitionBy(*flow).orderBy("seq"), Window.partitionBy(*flow, "fwd").orderBy("seq")
+    latest = F.max("us").over(one.rowsBetween(Window.unboundedPreceding, -1))
+    return packets.withColumns({"gap_us": F.col("us") - latest, "dir_gap_us": F.col("us") - F.lag("us").over(way)})
+
+
 def _aggregates(p: FlowParams) -> list[Column]:
     fwd, length, header = F.col("fwd"), F.col("length"), F.col("header_len")
     aggs = [
@@ -214,7 +227,8 @@ def records_of(
     wanted = None if fields is None else {f.strip() for f in fields}
     names = [c for c in FLOW_COLUMNS if wanted is None or c in wanted]
     flow = [*p.key_columns, *FLOW_START]
-    counted = _first_packet_twice(assigned) if p.parity else assigned
+    gaps = _gaps_by_arrival(assigned, p) if p.arrival_gaps else assigned
+    counted = _first_packet_twice(gaps) if p.parity else gaps
     flows = counted.groupBy(*flow).agg(*_aggregates(p))
     with_bulk = any("_b_avg" in c or "_blk_" in c for c in names)
     if with_bulk:

@@ -213,8 +213,10 @@ def adasyn(df: DataFrame, seed: int = 42, k: int = SMOTE_K) -> DataFrame:
     last = F.least(F.col("copies"), (F.col("chunk") + 1) * CHUNK)
     copies = spread.select("*", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, last)).alias("copy"))
     point = _between(copies, seed, "adasyn", F.col("id"), F.col("copy"))
+    # the point is made before ``id`` gets its new meaning
+    made = copies.select("rank", "copy", "y", point.alias("features"))
     number = F.shiftleft("rank", 32) + F.col("copy")  # distinct per (seed, copy)
-    return _rows(df).unionByName(copies.select((-number).alias("id"), "y", point.alias("features")))
+    return _rows(df).unionByName(made.select((-number).alias("id"), "y", "features"))
 
 
 def drop_tomek_links(df: DataFrame) -> DataFrame:

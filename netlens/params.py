@@ -14,7 +14,8 @@ class FlowParams:
     ``slice_s`` is the width of the time slices by which one endpoint pair is
     spread over tasks; it never exceeds ``cap_s`` (see ``operators.flows``).
     ``parity`` selects the quirks of the original meter where the default is a
-    corrected definition. ``per_file`` keeps captures apart.
+    corrected definition. ``per_file`` keeps captures apart. ``arrival_gaps``
+    measures gaps in order of ``seq`` instead of time, so late packets show.
     """
 
     idle_s: float = 5
@@ -24,6 +25,7 @@ class FlowParams:
     bulk_bound: int = 4
     parity: bool = False
     per_file: bool = False
+    arrival_gaps: bool = False
     slice_s: float | None = None
 
     @property

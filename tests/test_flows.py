@@ -4,11 +4,12 @@ import random
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from netlens import FlowParams
 from netlens.operators.extended import extended_records, first_lengths, response_times
 from netlens.operators.features import FLOW_COLUMNS, flow_records
-from netlens.operators.flows import assign_flows
+from netlens.operators.flows import assign_flows, with_balanced_slices
 from netlens.sources.packets import PACKET_SCHEMA, read_packets
 from tests.packets import A, B, frame, packet, sequential
 
@@ -161,6 +162,33 @@ def test_extended(spark):
     assert lone.pkt_len_skew == -10 and lone.sent_rate == -1
 
 
+def test_late_packet_in_arrival_order(spark):
+    rows = [packet(1, 0), packet(2, 4), packet(3, 1), packet(4, 5)]
+    (r,) = records(spark, rows, FlowParams(arrival_gaps=True))
+    assert (r.flow_iat_min, r.flow_iat_max, r.fwd_iat_min, r.fwd_iat_max) == (-3.0, 4.0, -3.0, 4.0)
+    (r,) = records(spark, rows)
+    assert (r.flow_iat_min, r.flow_iat_max) == (1.0, 3.0)
+
+
+def test_balanced_slices(spark):
+    rows = [packet(i, i * 0.01) for i in range(1000)]
+    p = with_balanced_slices(frame(spark, rows), FlowParams(cap_s=3), rows=60)
+    assert p.slice_us < 1_000_000
+    assert [r.tot_fwd_pkts for r in records(spark, rows, p)] == [301, 301, 301, 97]
+
+
+def test_scan_is_pruned(spark, tmp_path):
+    frame(spark, [packet(1, 0), packet(2, 1)]).withColumn("ts", F.timestamp_micros("us")).drop("us").write.parquet(f"{tmp_path}/p")
+    df = flow_records(read_packets(spark, f"{tmp_path}/p"), FlowParams(cap_s=None), ["tot_fwd_pkts"])
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = df._jdf.queryExecution().explainString(mode)
+    scans = [line for line in plan.splitlines() if line.startswith("ReadSchema")]
+    filters = [line for line in plan.splitlines() if line.startswith("PushedFilters")]
+    assert scans and all("In(protocol" in f for f in filters)
+    for unused in ("length:", "tcp_flags:", "header_len:", "ttl:", "tcp_window:"):
+        assert not any(unused in s for s in scans), unused
+
+
 def random_packets(seed, n):
     rng = random.Random(seed)
     ends = [(f"10.0.0.{i}", 1000 + i % 2) for i in range(3)]
