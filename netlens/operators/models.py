@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import (
@@ -74,6 +75,7 @@ class Settings:
     boosting_rounds: int = 50
     bags: int = 20
     forest_bags: int = 10
+    parallel_bags: int = 4
     max_bins: int = 32
     max_iter: int = 2000
     c: float = 1.0
@@ -240,8 +242,14 @@ def fit_knn(df: DataFrame, s: Settings, seed: int) -> Fitted:
 def fit_balanced_forest(df: DataFrame, s: Settings, seed: int) -> Fitted:
     """MD8: forests on differently under-sampled frames."""
     per_bag = math.ceil(s.forest_trees / s.forest_bags)
-    models = [_forest(random_undersample(df, seed + b), s, seed + b, per_bag) for b in range(s.forest_bags)]
-    return Fitted("balanced_random_forest", "probability", models)
+    bag = lambda b: _forest(random_undersample(df, seed + b), s, seed + b, per_bag)
+    return Fitted("balanced_random_forest", "probability", _each_bag(bag, s.forest_bags, s))
+
+
+def _each_bag(fit: Callable[[int], object], bags: int, s: Settings) -> list:
+    """Bags are independent Spark jobs; a few run side by side."""
+    with ThreadPoolExecutor(max_workers=s.parallel_bags) as pool:
+        return list(pool.map(fit, range(bags)))
 
 
 def _boost(df: DataFrame, s: Settings, seed: int, resampled: bool) -> tuple[list, list[float]]:
@@ -279,12 +287,9 @@ def _boost(df: DataFrame, s: Settings, seed: int, resampled: bool) -> tuple[list
 
 def fit_easy_ensemble(df: DataFrame, s: Settings, seed: int) -> Fitted:
     """MD9: boosted stumps on balanced bags."""
-    models, weights = [], []
-    for b in range(s.bags):
-        m, w = _boost(random_undersample(df, seed + 1000 * b), s, seed, resampled=False)
-        models += m
-        weights.append(w)
-    return Fitted("easy_ensemble", "boosted", models, weights)
+    bag = lambda b: _boost(random_undersample(df, seed + 1000 * b), s, seed, resampled=False)
+    done = _each_bag(bag, s.bags, s)
+    return Fitted("easy_ensemble", "boosted", [m for found, _ in done for m in found], [w for _, w in done])
 
 
 def fit_rusboost(df: DataFrame, s: Settings, seed: int) -> Fitted:

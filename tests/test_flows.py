@@ -102,6 +102,12 @@ def test_reply_only_segment(spark):
     assert first.src_ip == A[0] and second.src_ip == B[0] and second.fwd_seg_size_min == 24
 
 
+def test_fin_does_not_close(spark):
+    rows = [packet(1, 0, flags="S"), packet(2, 1, flags="FA"), packet(3, 2, flags="A"), packet(4, 3, B, A, flags="FA")]
+    (r,) = records(spark, rows)
+    assert (r.tot_fwd_pkts, r.tot_bwd_pkts, r.fin_flag_cnt) == (3, 1, 2)
+
+
 def test_protocol_in_key(spark):
     rows = [packet(1, 0, proto=6), packet(2, 1, proto=17), packet(3, 2, proto=1)]
     assert len(records(spark, rows)) == 2
