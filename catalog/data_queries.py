@@ -188,7 +188,7 @@ _SEVERITY = "case when {r} <= 0.01 then 'extreme' when {r} <= 0.05 then 'severe'
   cast(sum((price is null)::int + (cust is null)::int + (priority is null)::int + (status is null)::int) as bigint) m from {MIXED}),
  r as (select *, case when p = 0 or q = 0 then greatest(p, q) else least(p, q) end / greatest(p, q, 1) ratio from c)
 select n as rows, 4 as columns, q as class_0, p as class_1, {round_sql('ratio', 9)} as imbalance_ratio_minority_to_majority,
- {_SEVERITY.format(r='ratio')} as imbalance_severity, m as missing_values_total, 0 as infinite_values_total,
+ {_SEVERITY.format(r='ratio')} as imbalance_severity, m as missing_values_total, cast(0 as bigint) as infinite_values_total,
  'price,cust' as numeric_columns, 'priority,status' as categorical_columns from r""",
 )
 def _(s, d):
@@ -251,7 +251,7 @@ def _(s, d):
     "pp04_one_hot",
     f"""with i as (select o_orderkey, coalesce(priority, {_MODE.format(c='priority')}) priority, status from {MIXED}),
 v as (select 'priority' c, priority v from (select distinct priority from i) union all select 'status', status from (select distinct status from i))
-select o_orderkey, concat(c, '_', v) as feature, case when (c = 'priority' and v = priority) or (c = 'status' and v = status) then 1.0 else 0.0 end as value from i, v""",
+select o_orderkey, concat(c, '_', v) as feature, case when (c = 'priority' and v = priority) or (c = 'status' and v = status) then 1.0::double else 0.0::double end as value from i, v""",
 )
 def _(s, d):
     df, p = fitted(s, d, False)
@@ -266,7 +266,7 @@ def _(s, d):
 k as (select o_orderkey, coalesce(priority, {_MODE.format(c='priority')}) priority, status from {MIXED}),
 s as (select (select count(distinct priority) from k) np, (select count(distinct status) from k) ns)
 select i.o_orderkey, {round_sql('(price - ap) / sp', 6)} as first_value, {round_sql('(cust - ac) / sc', 6)} as second_value,
- cast(2 + np + ns as int) as width, 2.0 as hot from i, m, s, k where i.o_orderkey = k.o_orderkey""",
+ cast(2 + np + ns as int) as width, 2.0::double as hot from i, m, s, k where i.o_orderkey = k.o_orderkey""",
 )
 def _(s, d):
     df, p = fitted(s, d, True)
@@ -428,7 +428,7 @@ def results(s, d) -> DataFrame:
 _BY = "val_f1 desc, val_recall desc, val_pr_auc desc, val_balanced_accuracy desc, val_mcc desc, model_name, sampling_strategy"
 
 
-@add("bg02_rank", RESULTS + f"select *, row_number() over (order by {_BY}) as rank from res")
+@add("bg02_rank", RESULTS + f"select *, cast(row_number() over (order by {_BY}) as int) as rank from res")
 def _(s, d):
     order = Window.orderBy(*[F.desc(c) for c in bg.RANKED_BY], "model_name", "sampling_strategy")
     return bg.rank_results(results(s, d)).withColumn("rank", F.row_number().over(order))
@@ -489,7 +489,7 @@ def _(s, d):
 
 @add(
     "bg10_concise_ranking",
-    RESULTS + f"select dataset_name, {_COLS}, 0.5 as best_test_f1, 0.25 as best_test_mcc from res",
+    RESULTS + f"select dataset_name, {_COLS}, 0.5::double as best_test_f1, 0.25::double as best_test_mcc from res",
 )
 def _(s, d):
     return bg.concise_ranking(results(s, d), 0.5, 0.25)

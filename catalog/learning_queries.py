@@ -79,13 +79,13 @@ def digest_rows(df: DataFrame) -> DataFrame:
 DIGEST = f"id, y, {round_sql('x[1]', 6)} as x0, {round_sql('x[64]', 6)} as x63, {round_sql('list_sum(x)', 5)} as total"
 
 
-@add("rs00_knn_join", f"with {BASE}, {near('n', 'e', 'e', 5)} select id, rank, nid as neighbour_id, ny as neighbour_y, {round_sql('sqrt(d2)', 6)} as distance from n")
+@add("rs00_knn_join", f"with {BASE}, {near('n', 'e', 'e', 5)} select id, cast(rank as int) as rank, nid as neighbour_id, ny as neighbour_y, {round_sql('sqrt(d2)', 6)} as distance from n")
 def _(s, d):
     v = vectors(s, d)
     return rounded(knn.knn_join(v, v, 5))
 
 
-@add("rs00_knn_join_pruned", f"with {BASE}, {near('n', 'e', 'e', 3)} select id, rank, nid as neighbour_id, ny as neighbour_y, {round_sql('sqrt(d2)', 6)} as distance from n")
+@add("rs00_knn_join_pruned", f"with {BASE}, {near('n', 'e', 'e', 3)} select id, cast(rank as int) as rank, nid as neighbour_id, ny as neighbour_y, {round_sql('sqrt(d2)', 6)} as distance from n")
 def _(s, d):
     v = vectors(s, d)
     return rounded(knn.knn_join(v, v, 3, block_rows=16))  # many cells and blocks

@@ -100,7 +100,7 @@ def _(s, d):
     return rounded(out.withColumns({c: F.array_join(c, ",") for c in ("src_ports", "dst_ports")}), 9)
 
 
-@add("st12_grouped_alerts", FLOWS + f"""select arg_min(timestamp, start_us) as flow_timestamp, 1 as prediction, {round_sql('max(score)', 9)} as score, {round_sql('0.6', 9)} as threshold, src_ip,
+@add("st12_grouped_alerts", FLOWS + f"""select arg_min(timestamp, start_us) as flow_timestamp, 1 as prediction, {round_sql('max(score)', 9)} as score, {round_sql('0.6::double', 9)} as threshold, src_ip,
  {_FIRST.format(p='src_port', n=8)} as src_port, dst_ip, {_FIRST.format(p='dst_port', n=12)} as dst_port, protocol, 'knn' as model_name, 'adasyn' as sampling_strategy,
  count(*) as flow_count, {_FIRST.format(p='src_port', n=8)} as unique_src_ports, {_FIRST.format(p='dst_port', n=12)} as unique_dst_ports, {round_sql('max(score)', 9)} as max_score
  from sc where prediction = 1 group by src_ip, dst_ip, protocol""")
@@ -108,8 +108,8 @@ def _(s, d):
     return rounded(alerts.grouped_alerts(scored(s, d), ORDER, LIMIT, META).drop("logged_at"), 9)
 
 
-@add("st13_flow_alerts", FLOWS + f"""select timestamp as flow_timestamp, prediction, {round_sql('score', 9)} as score, {round_sql('0.6', 9)} as threshold, src_ip, cast(src_port as varchar) as src_port, dst_ip,
- cast(dst_port as varchar) as dst_port, protocol, 'knn' as model_name, 'adasyn' as sampling_strategy, 1 as flow_count, cast(src_port as varchar) as unique_src_ports,
+@add("st13_flow_alerts", FLOWS + f"""select timestamp as flow_timestamp, prediction, {round_sql('score', 9)} as score, {round_sql('0.6::double', 9)} as threshold, src_ip, cast(src_port as varchar) as src_port, dst_ip,
+ cast(dst_port as varchar) as dst_port, protocol, 'knn' as model_name, 'adasyn' as sampling_strategy, cast(1 as bigint) as flow_count, cast(src_port as varchar) as unique_src_ports,
  cast(dst_port as varchar) as unique_dst_ports, {round_sql('score', 9)} as max_score from sc""")
 def _(s, d):
     return rounded(alerts.flow_alerts(scored(s, d), LIMIT, META, log_all=True).drop("logged_at"), 9)
