@@ -204,9 +204,8 @@ def _(s, d):
 )
 def _(s, d):
     ev = table(s, d, "events")
-    n = ev.agg(F.count("*").alias("n"))
-    shares = ev.groupBy("event_type").count().join(F.broadcast(n))
-    return shares.select("event_type", profile.severity(F.col("count") / F.col("n")).alias("severity"))
+    share = F.count("*") / F.lit(ev.count())
+    return ev.groupBy("event_type").agg(profile.severity(share).alias("severity"))
 
 
 # ---- preprocessing --------------------------------------------------------

@@ -108,9 +108,13 @@ def confusion(scores: DataFrame, threshold: float | Column, y: str = "y", score:
 
 def confusion_of_curve(curve: DataFrame, threshold: float) -> DataFrame:
     """SC9 from a score curve, without another look at the scored rows."""
+    return curve.agg(*_confusion_sums(threshold))
+
+
+def _confusion_sums(threshold: float) -> list[Column]:
     hit = F.col("threshold") >= threshold
     sums = {"tn": ("neg", ~hit), "fp": ("neg", hit), "fn": ("pos", ~hit), "tp": ("pos", hit)}
-    return curve.agg(*[F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)).alias(k) for k, (n, c) in sums.items()])
+    return [F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)).alias(k) for k, (n, c) in sums.items()]
 
 
 def threshold_metrics(matrix: DataFrame) -> DataFrame:
@@ -132,19 +136,22 @@ def threshold_metrics(matrix: DataFrame) -> DataFrame:
 
 def ranking_metrics(curve: DataFrame) -> DataFrame:
     """SC13, SC14: exact ROC AUC (ties half; NULL for one class) and average precision."""
+    return curve.agg(*_ranking_sums())
+
+
+def _ranking_sums() -> list[Column]:
     n_pos, n_neg = F.max("n_pos").cast("double"), F.max("n_neg").cast("double")
     below = F.col("n_neg") - F.col("fp") + F.col("neg") / 2
     precision = ratio(F.col("tp"), F.col("tp") + F.col("fp"))
-    return curve.agg(
+    return [
         F.try_divide(F.sum(F.col("pos") * below), n_pos * n_neg).alias("roc_auc"),
         ratio(F.sum(F.col("pos") * precision), n_pos).alias("pr_auc"),
-    )
+    ]
 
 
 def evaluate_curve(curve: DataFrame, threshold: float) -> DataFrame:
-    """One row with the confusion matrix and the eight metrics."""
-    ranked = ranking_metrics(curve)
-    return threshold_metrics(confusion_of_curve(curve, threshold)).join(F.broadcast(ranked))
+    """One row with the confusion matrix and the eight metrics, from one aggregation."""
+    return threshold_metrics(curve.agg(*_confusion_sums(threshold), *_ranking_sums()))
 
 
 def evaluate(scores: DataFrame, threshold: float) -> DataFrame:
@@ -202,11 +209,9 @@ def classification_report(matrix: DataFrame) -> DataFrame:
 def min_max_scores(scores: DataFrame, raw: str = "raw", bounds: tuple[float, float] | None = None) -> DataFrame:
     """SC2: decision values scaled to [0, 1]; constant values give 0.
 
-    Without stored ``bounds`` the scored set supplies them (one-row aggregate).
+    Without stored ``bounds`` the scored set supplies them (two numbers).
     """
-    if bounds is None:
-        edge = scores.agg(F.min(raw).alias("_lo"), F.max(raw).alias("_hi"))
-        scores = scores.join(F.broadcast(edge))
-    else:
-        scores = scores.withColumns({"_lo": F.lit(float(bounds[0])), "_hi": F.lit(float(bounds[1]))})
-    return scores.withColumn("score", ratio(F.col(raw) - F.col("_lo"), F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")
+    low, high = scores.agg(F.min(raw), F.max(raw)).first() if bounds is None else bounds
+    if low is None or high <= low:
+        return scores.withColumn("score", F.lit(0.0))
+    return scores.withColumn("score", (F.col(raw) - F.lit(float(low))) / F.lit(float(high) - float(low)))
