@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,16 @@ from catalog.common import prepared, round_sql, rounded, table
 from catalog.flow_queries import assigned
 from catalog.flow_sql import FIXTURE, flow_ctes
 from catalog.learning_queries import QUICK, vectors
+from netlens.functions.lineage import shared_folder
 from netlens.operators import alerts, metrics, scoring
 from netlens.operators.features import FLOW_COLUMNS, records_of
 from netlens.operators.models import Settings, fit_model
 from netlens.operators.prep import fit_preprocessor
+from netlens.operators.profile import profile
 from netlens.operators.sampling import split_dataset
 from netlens.plans import grid
 from netlens.plans.bundle import Bundle
+from netlens.sources.tables import Dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -171,3 +175,29 @@ def _(s, d):
     prep = fit_preprocessor(data, scale=False, exclude=["id", "y"])
     fitted = fit_model("random_forest", "baseline", prep.transform(data, ["id", "y"], vector=False), QUICK)
     return grid.top_features(s, Bundle(fitted, prep))
+
+
+@add("sc01_probability_score")
+def _(s, d):
+    data = flow_dataset(s, d)
+    prep = fit_preprocessor(data, scale=False, exclude=["id", "y"])
+    frame = prep.transform(data, ["id", "y"], vector=False)
+    return fit_model("decision_tree", "baseline", frame, QUICK).score(frame).select("id", "y", "score")
+
+
+@add("sc18_fit_and_evaluate")
+def _(s, d):
+    frames = grid.Frames(split_dataset(flow_dataset(s, d), "id", "y"), CFG)
+    c = grid.fit_candidate(frames, "decision_tree", "random_undersample", CFG)
+    values = {"threshold": c.threshold, **{m: c.metrics[m] for m in grid.VAL_METRICS}}
+    return s.createDataFrame(sorted(values.items()), "metric string, value double")
+
+
+@add("md15_full_refit")
+def _(s, d):
+    data = flow_dataset(s, d)
+    mapping = data.select(F.col("y").cast("string").alias("label"), "y").distinct()
+    ds = Dataset("flows", data, mapping, profile(data, "y", exclude=["id"]), [])
+    best = {"model_name": "logistic_regression", "sampling_strategy": "random_oversample", "threshold": 0.5}
+    bundle = grid.refit_full(s, ds, best, f"{shared_folder(s)}/refit-{uuid.uuid4().hex}", settings=QUICK)
+    return scoring.score_flows(data, bundle).select("id", "score", "prediction")
