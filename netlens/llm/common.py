@@ -33,7 +33,7 @@ def extended(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
     """The schema of ``df`` with further (name, type) fields."""
     schema = T.StructType(list(df.schema.fields))
     for name, kind in fields:
-        schema = schema.add(name, kind)
+        schema = schema.add(name, T.DataType.fromDDL(kind))
     return schema
 
 

@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+
+import pandas as pd
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import decontaminate, line_dedup, simhash, toxicity
+from netlens.llm import decontaminate, line_dedup, pieces, simhash, toxicity
 from netlens.llm.common import remainder, table
 
 
+def ids_crc32(ids: str) -> Column:
+    """Unsigned crc32 of ids as little-endian 32-bit integers."""
+
+    @F.pandas_udf("long")
+    def crc(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: None if x is None else zlib.crc32(x.astype("<i4").tobytes()))
+
+    return crc(F.col(ids))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.decode(pieces.encode(docs, model), model).select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        ids_crc32("token_ids").alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.equal_null("decoded", "text").alias("round_trip"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -52,5 +78,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op10_decontaminate": op10_decontaminate, "op9_simhash": op9_simhash, "op6_line_dedup": op6_line_dedup, "op8_toxicity": op8_toxicity}
+QUERIES = {"op5_pieces": op5_pieces, "op10_decontaminate": op10_decontaminate, "op9_simhash": op9_simhash, "op6_line_dedup": op6_line_dedup, "op8_toxicity": op8_toxicity}
 SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
