@@ -260,8 +260,9 @@ def encode(
     uid = fresh(docs, "uid")
     long = cut_lineage(docs.where(size >= chunk_chars).withColumn(uid, F.monotonically_increasing_id()))
     found = _encode_long(long.select(F.col(uid).alias("uid"), F.col(text).alias("t")), shared, chunk_chars)
-    joined = long.join(found, long[uid] == found["uid"], "left").drop(uid, "uid")
-    return short.union(joined.select(*(joined[f"`{c}`"] for c in docs.columns), joined["ids"]))
+    found = found.toDF(f"{uid}_of", f"{uid}_ids")
+    joined = long.join(found, F.col(uid) == F.col(f"{uid}_of"), "left")
+    return short.union(joined.select(*(f"`{c}`" for c in docs.columns), f"{uid}_ids"))
 
 
 def _encode_long(long: DataFrame, shared, chunk_chars: int) -> DataFrame:

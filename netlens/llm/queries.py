@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import pandas as pd
@@ -9,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import decontaminate, line_dedup, pieces, simhash, toxicity
-from netlens.llm.common import remainder, table
+from netlens.llm import decontaminate, line_dedup, pieces, simhash, token_files, toxicity
+from netlens.llm.common import remainder, shared_folder, table
 
 
 def ids_crc32(ids: str) -> Column:
@@ -23,6 +24,18 @@ def ids_crc32(ids: str) -> Column:
     return crc(F.col(ids))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    files = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"), folder)
+    found = token_files.look_up(files, files.places.select("key")).union(files.places.where("key is null"))
+    sums = token_files.read_back(files, found, lambda raw: (len(raw) // 4, zlib.crc32(raw)), "n_tokens long, ids_crc32 long")
+    base = F.broadcast(token_files.base_of(spark, files.places))  # one row for each file
+    return sums.join(base, "file").select(
+        F.col("key").alias("doc_id"), (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32"
+    )
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,5 +91,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op5_pieces": op5_pieces, "op10_decontaminate": op10_decontaminate, "op9_simhash": op9_simhash, "op6_line_dedup": op6_line_dedup, "op8_toxicity": op8_toxicity}
+QUERIES = {"op2_token_files": op2_token_files, "op5_pieces": op5_pieces, "op10_decontaminate": op10_decontaminate, "op9_simhash": op9_simhash, "op6_line_dedup": op6_line_dedup, "op8_toxicity": op8_toxicity}
 SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
