@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import decontaminate, line_dedup, pieces, simhash, token_files, toxicity
+from netlens.llm import decontaminate, host_quality, line_dedup, pieces, simhash, token_files, toxicity, url_filter
 from netlens.llm.common import remainder, shared_folder, table
 
 
@@ -36,6 +36,76 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP3_SQL = r"""
+with recursive base as (
+    select page_id, url, html, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+    from pages
+), raw as (
+    select page_id, url, host, unnest([
+        regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+            '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+        regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bproperty\s*=\s*["'']?og:url\b[^>]*>'),
+            '(?is)\bcontent\s*=\s*["'']?([^"''\s>]+)', 1),
+        regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'),
+            '(?is)\burl\s*=\s*[''"]?([^"''\s>]+)', 1)]) as x
+    from base
+), goals as (
+    select page_id, case when x like '//%' then regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || x
+        when x like '/%' then regexp_extract(url, '(?s)^(.*?)://', 1) || '://' || host || x
+        when contains(x, '://') then x end as url
+    from raw
+), urls as (
+    select page_id, url, true as own from base union all select page_id, url, false from goals where url is not null
+), parsed as (
+    select page_id, own, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path,
+        array_to_string(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'),
+            lambda q: q <> '' and not lower(q) like 'utm\_%' escape '\'), '&') as query
+    from urls
+), ruled as (
+    select *, case when contains(url, '://') and host <> '' then
+            host || regexp_replace(path, '/$', '') || case when query <> '' then '?' || query else '' end end as node,
+        case when ('.' || host) like '%.www.example.com' and path like '/en/%' then 'www.example.com/en/'
+            when ('.' || host) like '%.example.com' and path like '/en/%' then 'example.com/en/'
+            when ('.' || host) like '%.net' and path like '/es/%' then 'net/es/'
+            when ('.' || host) like '%.net' and path like '/fr/%' then 'net/fr/'
+            when ('.' || host) like '%.com' and path like '/%' then 'com/' end as rule
+    from parsed
+), judged as (
+    select *, case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block' end as verdict
+    from ruled
+), links as (
+    select a.node as a, b.node as b from judged a join judged b using (page_id)
+    where a.own and not b.own and a.node <> b.node
+), pairs as (
+    select a, b from links union select b, a from links
+), reach as (
+    select a as node, b as other from pairs union select r.node, l.b from reach r join pairs l on r.other = l.a
+), bad as (
+    select node from judged where verdict = 'block' and node is not null
+    union select r.other from reach r join judged j on j.node = r.node and j.verdict = 'block'
+)
+select page_id, host, path, rule,
+    coalesce(verdict, case when node in (select node from bad) then 'block' else 'allow' end) as verdict
+from judged where own
+"""
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,6 +140,58 @@ from marked group by doc_id
 """
 
 
+def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = host_quality.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 9) for c in ("short_rate", "repeats_rate")})
+
+
+OP7_SQL = r"""
+with t as (
+    select doc_id, source as host, coalesce(text, '') as text from documents
+), w as (
+    select doc_id, host, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
+    from t
+), grams as (
+    select doc_id, pos, ws[pos:pos + 4] as g from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as pos from w)
+), again as (
+    select doc_id, pos from (select doc_id, pos, count(*) over (partition by doc_id, g) as n from grams) where n > 1
+), covered as (
+    select doc_id, sum(least(5, coalesce(next - pos, 5)))::bigint as n
+    from (select doc_id, pos, lead(pos) over (partition by doc_id order by pos) as next from again) group by doc_id
+), numbers as (
+    select doc_id, host, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+        (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(n, 0) as n_repeat_words
+    from w left join covered using (doc_id)
+), judged as (
+    select *, n_words < 10 as short, 100 * n_repeat_words > 20 * n_words as repeats from numbers
+), hosts as (
+    select host, count(*) as n, count(*) filter (short) as s, count(*) filter (repeats) as r
+    from judged where host is not null group by host
+), mean as (
+    select sum(n) as n, count(*) as h, sum(s) / sum(n) as ms, sum(r) / sum(n) as mr from hosts
+), prior as (
+    select any_value(ms) as ms, any_value(mr) as mr,
+        sum(hosts.n * (s / hosts.n - ms) ^ 2) / any_value(mean.n) - any_value(ms * (1 - ms) * h / mean.n) as vs,
+        sum(hosts.n * (r / hosts.n - mr) ^ 2) / any_value(mean.n) - any_value(mr * (1 - mr) * h / mean.n) as vr
+    from hosts, mean
+), strength as (
+    select ms, mr, case when vs > 0 and ms * (1 - ms) > 0 then greatest(ms * (1 - ms) / vs - 1, 0) end as ks,
+        case when vr > 0 and mr * (1 - mr) > 0 then greatest(mr * (1 - mr) / vr - 1, 0) end as kr
+    from prior
+), rates as (
+    select host, case when ks is null then ms else (s + ms * ks) / (n + ks) end as short_rate,
+        case when kr is null then mr else (r + mr * kr) / (n + kr) end as repeats_rate
+    from hosts, strength
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short or repeats as base_failed,
+    not short and not repeats and not coalesce(greatest(short_rate, repeats_rate) > 0.5, false) as kept,
+    round(short_rate, 9) as short_rate, round(repeats_rate, 9) as repeats_rate
+from judged left join rates using (host)
+"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = remainder(F.col("doc_id"), 5) == 0
@@ -91,5 +213,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op2_token_files": op2_token_files, "op5_pieces": op5_pieces, "op10_decontaminate": op10_decontaminate, "op9_simhash": op9_simhash, "op6_line_dedup": op6_line_dedup, "op8_toxicity": op8_toxicity}
-SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+QUERIES = {"op3_url_filter": op3_url_filter, "op7_host_quality": op7_host_quality, "op2_token_files": op2_token_files, "op5_pieces": op5_pieces, "op10_decontaminate": op10_decontaminate, "op9_simhash": op9_simhash, "op6_line_dedup": op6_line_dedup, "op8_toxicity": op8_toxicity}
+SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op7_host_quality": OP7_SQL, "op6_line_dedup": OP6_SQL}
