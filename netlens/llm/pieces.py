@@ -150,6 +150,11 @@ class Units(dict):
         return out
 
 
+def units_of(pieces: Pieces) -> Units:
+    """The cache of a Python worker; workers are reused, and keep it with their copy of the pieces."""
+    return pieces.__dict__.setdefault("kept_units", Units(pieces))
+
+
 class Chunk:
     """A chunk's own characters and those that pieces beginning in it can reach."""
 
@@ -251,7 +256,7 @@ def encode(
     at, schema = docs.columns.index(text), extended(docs, (ids, "array<int>"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(shared.value)
+        units = units_of(shared.value)
         for batch in small_batches(batches, at, 1 << 22):
             yield with_columns(batch, schema, _ids_array([encode_text(units, t.as_py()) for t in batch.column(at)]))
 
@@ -284,13 +289,13 @@ def _encode_long(long: DataFrame, shared, chunk_chars: int) -> DataFrame:
                     )
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(shared.value)
+        units = units_of(shared.value)
         for batch in small_batches(batches, 2, 1 << 22):
             found = [Chunk(units, t, chunk_chars).matrix().tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], names=["uid", "k", "m"])
 
     def lefts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(shared.value)
+        units = units_of(shared.value)
         for batch in small_batches(batches, 2, 1 << 22):
             found = [
                 np.array(Chunk(units, t, chunk_chars).left_states(e), np.uint16).tobytes()
@@ -299,7 +304,7 @@ def _encode_long(long: DataFrame, shared, chunk_chars: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], names=["uid", "k", "f"])
 
     def backtraces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(shared.value)
+        units = units_of(shared.value)
         for batch in small_batches(batches, 2, 1 << 22):
             texts, entries, states = (batch.column(c).to_pylist() for c in (2, 3, 4))
             found = [Chunk(units, t, chunk_chars).ids(e, s) for t, e, s in zip(texts, entries, states, strict=True)]

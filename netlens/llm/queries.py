@@ -29,7 +29,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     files = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"), folder)
     found = token_files.look_up(files, files.places.select("key")).union(files.places.where("key is null"))
-    sums = token_files.read_back(files, found, lambda raw: (len(raw) // 4, zlib.crc32(raw)), "n_tokens long, ids_crc32 long")
+    sums = token_files.read_back(files, found, lambda ids: (len(ids), zlib.crc32(ids.tobytes())), "n_tokens long, ids_crc32 long")
     base = F.broadcast(token_files.base_of(spark, files.places))  # one row for each file
     return sums.join(base, "file").select(
         F.col("key").alias("doc_id"), (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32"

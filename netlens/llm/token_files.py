@@ -2,8 +2,8 @@
 
 Files, all little-endian:
 
-* ``data/part-<n>.ids``: the ids of a range of documents, 32 bits each, in order of
-  the keys, nothing else.
+* ``data/part-<n>.ids``: the ids of a range of documents in order of the keys, nothing
+  else; 16 bits each where every id of the tokenizer fits, else 32.
 * ``index/part-<n>.mph``: the index of a range of key hashes. A header of 64-bit
   integers: number of tables and of keys. Then for every table, and once more at the
   end, its first slot and its first pilot (64 bits each), every pilot (32 bits), and
@@ -81,10 +81,14 @@ class Encoder:
         split = spec.get("pre_tokenizer") or {}
         self.by_word = (split.get("type"), split.get("use_regex"), split.get("add_prefix_space")) == ("ByteLevel", True, False)
         self.by_word &= spec.get("normalizer") is None
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.cache: dict[str, bytes] = {}
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array("H" if self.width == 2 else "I", ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Little-endian ids of each text, ``width`` bytes each."""
         whole = [
             k for k, t in enumerate(texts) if not self.by_word or _OTHER.search(t) or any(s in t for s in self.special)
         ]
@@ -95,9 +99,9 @@ class Encoder:
         cache = self.cache
         new = list({w for some in words for w in some if w not in cache})
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[w] = array("I", e.ids).tobytes()
+            cache[w] = self._bytes(e.ids)
         return [
-            array("I", found[k].ids).tobytes() if k in found else b"".join(map(cache.__getitem__, some))
+            self._bytes(found[k].ids) if k in found else b"".join(map(cache.__getitem__, some))
             for k, some in enumerate(words)
         ]
 
@@ -105,6 +109,13 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def encoder(path: str) -> Encoder:
+    """One encoder in each Python worker; workers are reused, and it keeps its cache."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 # -- index --------------------------------------------------------------------------------------------------------
 
 
@@ -237,6 +248,7 @@ class TokenFiles:
     """A folder of token files: how many files of each kind, and the documents' places (key, file, start, length)."""
 
     folder: str
+    width: int
     index_files: int
     places: DataFrame
 
@@ -247,12 +259,13 @@ def write(docs: DataFrame, tokenizer: str, folder: str, *, key: str = "doc_id",
     fs, path = _open(folder)
     for sub in ("data", "index"):
         fs.create_dir(f"{path}/{sub}", recursive=True)
-    end = np.array([end_id], "<u4").tobytes()
+    width = encoder(tokenizer).width
+    if end_id >= 1 << 8 * width:
+        raise ValueError("the end id does not fit the width of the ids")
+    end = np.array([end_id], f"<u{width}").tobytes()
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:  # workers are reused, and keep their caches
-            _encoders[tokenizer] = Encoder(tokenizer)
-        encoder = _encoders[tokenizer]
+        own = encoder(tokenizer)
         fs, path = _open(folder)
         n, start, last, out = TaskContext.get().partitionId(), 0, None, None
         temp = f"{path}/data/.{uuid.uuid4().hex}"
@@ -268,10 +281,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, *, key: str = "doc_id",
                 last = (k, t)
                 fresh_rows.append((k, t or ""))
             lengths = []
-            for ids in encoder.encode([t for _, t in fresh_rows]):
+            for ids in own.encode([t for _, t in fresh_rows]):
                 out.write(ids)
                 out.write(end)
-                lengths.append(len(ids) // 4 + 1)
+                lengths.append(len(ids) // width + 1)
             starts = start + np.cumsum([0, *lengths])
             start = int(starts[-1])
             yield pa.RecordBatch.from_arrays(
@@ -322,7 +335,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, *, key: str = "doc_id",
     hashed = with_hash(places.where("key is not null"), files)
     by_file = hashed.drop("key").repartition("index_file").sortWithinPartitions("index_file")
     cut_lineage(by_file.mapInArrow(index, "index_file int, keys long"))
-    return TokenFiles(folder, files, places)
+    return TokenFiles(folder, width, files, places)
 
 
 def with_hash(rows: DataFrame, files: int) -> DataFrame:
@@ -378,8 +391,8 @@ def look_up(files: TokenFiles, keys: DataFrame) -> DataFrame:
 
 
 def read_back(files: TokenFiles, places: DataFrame, then, schema: str) -> DataFrame:
-    """``then`` of the raw bytes of each place: (key, file, start, *results), with ``schema`` of the results."""
-    folder, kind = files.folder, dict(places.dtypes)["key"]
+    """``then`` of the ids (32 bits) of each place: (key, file, start, *results), with ``schema`` of the results."""
+    folder, width, kind = files.folder, files.width, dict(places.dtypes)["key"]
     out = T.StructType.fromDDL(f"key {kind}, file int, start long, {schema}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +405,7 @@ def read_back(files: TokenFiles, places: DataFrame, then, schema: str) -> DataFr
                     if source:
                         source.close()
                     current, source = n, fs.open_input_file(f"{path}/{data_name(n)}")
-                rows.append(then(source.read_at(4 * length, 4 * start)))
+                rows.append(then(np.frombuffer(source.read_at(width * length, width * start), f"<u{width}").astype("<u4")))
             cols = [
                 pa.array([r[k] for r in rows], to_arrow_type(f.dataType)) for k, f in enumerate(out.fields[3:])
             ]
