@@ -6,8 +6,9 @@ of a copied item lies wholly in one passage. Every document is cut into passages
 query: all parts whose BM25 score reaches ``share`` of the score that the part has
 for itself are retrieved. Retrieval is block-max WAND: parts are sorted by length
 into blocks, each block keeps the largest impact of each term, and a passage scores
-the parts of a block only where the sum of these bounds reaches the threshold; a
-bound over all blocks turns most passages away first.
+the parts of a block only where the sum of these bounds reaches the threshold. The same bounds
+over at most ``SUPER`` groups of blocks are one table, which turns most passages away
+many at a time.
 
 A retrieved item is verified on word shingles: the share of the shingles of its
 question and of its answer that the document holds. The item counts as found where
@@ -30,6 +31,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from netlens.llm.common import extended, fresh, small_batches, with_columns
 
-MAX_ITEM_WORDS = 2_000_000
+MAX_ITEM_WORDS = 200_000
+SUPER = 64
 
 
 @dataclass(frozen=True)
@@ -51,7 +54,7 @@ class Bm25Params:
     share: float = 0.6
     shingle: int = 5
     overlap: float = 0.8
-    block_parts: int = 32
+    block_parts: int = 8
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -100,7 +103,10 @@ class Index:
                 postings[self.code[t]].append((p, x / needed))
         self.parts = [np.array([p for p, _ in x], np.int32) for x in postings]
         self.impacts = [np.array([v for _, v in x], float) for x in postings]
-        self.top = np.array([v.max(initial=0) for v in self.impacts], np.float32)
+        groups = min(SUPER, self.blocks)
+        self.bounds = np.zeros((len(postings), groups), np.float32)
+        for t, (p, v) in enumerate(zip(self.parts, self.impacts, strict=True)):
+            np.maximum.at(self.bounds[t], p // params.block_parts * groups // self.blocks, v)
         self.block_of = [np.unique(p // params.block_parts) for p in self.parts]
         self.block_top = [
             np.array([v[p // params.block_parts == b].max() for b in bs])
@@ -123,18 +129,19 @@ class Index:
         p = self.params
         if not words or not len(self.item):
             return []
-        get = self.code.get
-        code = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
+        code = np.fromiter(map(self.code.get, words, repeat(0)), np.int32, len(words))
         half = p.passage_words // 2
-        bound = self.top[code].astype(float)
-        steps = np.add.reduceat(bound, np.arange(0, len(bound), half))
-        near = np.flatnonzero(steps + np.append(steps[1:], 0) >= 1 - 1e-6)
+        n = -(-len(code) // half)
+        code = np.append(code, np.zeros((n + 1) * half - len(code), np.int32))
         hit: set[int] = set()
-        for s in near.tolist():
-            terms = np.unique(code[s * half : s * half + 2 * half])
-            terms = terms[terms > 0]
-            if self.top[terms].sum(dtype=float) >= 1 - 1e-6:
-                hit.update(self.item[self.retrieve(terms)].tolist())
+        for a in range(0, n, 1024):
+            b = min(n, a + 1024)
+            halves = code[a * half : (b + 1) * half].reshape(-1, half)
+            terms = np.sort(np.concatenate([halves[:-1], halves[1:]], 1), 1)
+            terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = 0  # different terms only
+            near = (self.bounds[terms].sum(1) >= 1 - 1e-4).any(1)
+            for row in terms[near]:
+                hit.update(self.item[self.retrieve(row[row > 0])].tolist())
         if not hit:
             return []
         out = []
