@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import decontaminate, host_quality, line_dedup, pieces, simhash, token_files, toxicity, url_filter
+from netlens.llm import decontaminate, host_quality, line_dedup, mixing, pieces, simhash, token_files, toxicity, url_filter
 from netlens.llm.common import remainder, shared_folder, table
 
 
@@ -24,6 +24,13 @@ def ids_crc32(ids: str) -> Column:
     return crc(F.col(ids))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = mixing.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) != 0)
+    return scores.withColumn("held_out", ~F.col("learned")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
@@ -213,5 +220,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op3_url_filter": op3_url_filter, "op7_host_quality": op7_host_quality, "op2_token_files": op2_token_files, "op5_pieces": op5_pieces, "op10_decontaminate": op10_decontaminate, "op9_simhash": op9_simhash, "op6_line_dedup": op6_line_dedup, "op8_toxicity": op8_toxicity}
+QUERIES = {"op1_mixing": op1_mixing, "op3_url_filter": op3_url_filter, "op7_host_quality": op7_host_quality, "op2_token_files": op2_token_files, "op5_pieces": op5_pieces, "op10_decontaminate": op10_decontaminate, "op9_simhash": op9_simhash, "op6_line_dedup": op6_line_dedup, "op8_toxicity": op8_toxicity}
 SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op7_host_quality": OP7_SQL, "op6_line_dedup": OP6_SQL}
