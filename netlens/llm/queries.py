@@ -10,10 +10,34 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import decontaminate, host_quality, line_dedup, mixing, pieces, simhash, token_files, toxicity, url_filter
+from netlens.llm import decontaminate, host_quality, line_dedup, mixing, pieces, secrets, simhash, token_files, toxicity, url_filter
 from netlens.llm.common import remainder, shared_folder, table
 
 
+#: No table holds labelled findings; those whose form is beyond doubt are labelled by it. Fixed values.
+SURE_SECRET = r"^AKIA[0-9A-Z]{16}$"
+SURE_NAME = r"(password|token|secret|api_?key)\W*$"
+SURE_FALSE = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|[0-9]{12,19}|[a-z0-9-]+(\.[a-z0-9-]+)*\.(com|net|org))$"
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.with_features(secrets.candidates(docs), docs)
+    held_out = remainder(F.col("key"), 5) == 0
+    value = F.col("value")
+    label = F.when(value.rlike(SURE_SECRET), 1).when(value.rlike(SURE_FALSE), 0).when(F.col("name").rlike(SURE_NAME), 1)
+    model = secrets.fit(found, F.when(~held_out, label))
+    return secrets.verify(found, model).select(
+        F.col("key").alias("doc_id"),
+        "position",
+        F.sha2("value", 256).alias("value_sha256"),
+        held_out.alias("held_out"),
+        label.alias("label"),
+        F.round("probability", 9).alias("probability"),
+        (F.col("probability") >= 0.5).alias("kept"),
+    )
+
+
 def ids_crc32(ids: str) -> Column:
     """Unsigned crc32 of ids as little-endian 32-bit integers."""
 
@@ -220,5 +244,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_url_filter": op3_url_filter, "op7_host_quality": op7_host_quality, "op2_token_files": op2_token_files, "op5_pieces": op5_pieces, "op10_decontaminate": op10_decontaminate, "op9_simhash": op9_simhash, "op6_line_dedup": op6_line_dedup, "op8_toxicity": op8_toxicity}
+QUERIES = {"op4_secrets": op4_secrets, "op1_mixing": op1_mixing, "op3_url_filter": op3_url_filter, "op7_host_quality": op7_host_quality, "op2_token_files": op2_token_files, "op5_pieces": op5_pieces, "op10_decontaminate": op10_decontaminate, "op9_simhash": op9_simhash, "op6_line_dedup": op6_line_dedup, "op8_toxicity": op8_toxicity}
 SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op7_host_quality": OP7_SQL, "op6_line_dedup": OP6_SQL}
