@@ -20,7 +20,7 @@ What is learned:
    map sums the same predictions over all windows.
 
 All training texts take part in every step. Scoring computes each different window
-of a block of texts once.
+once for each process, as far as its table of known windows goes.
 
 The base score is that of a smoothed word unigram model: words are counted in blocks,
 their counts summed over all, and joined back to the words of each block. The list of
@@ -52,6 +52,8 @@ END = b"\0"
 LEVELS = (2, 6, 30, 200)  # counts at which the confidence in a context rises
 BINS = 33
 LIMIT = 65_535
+MEMO = 3_000_000
+WORD_BLOCK = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -62,7 +64,7 @@ class MixParams:
     rounds: int = 2
     step: int = 4096
     rate: float = 0.02
-    block_chars: int = 1 << 23
+    block_chars: int = 1 << 21
 
     @property
     def window(self) -> int:
@@ -72,18 +74,40 @@ class MixParams:
 # -- windows ------------------------------------------------------------------------------------------------------
 
 
-def windows_of(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of all bytes of the texts, each text ended and led by zeros; the number of each text's windows."""
-    lead = b"\0" * (size - 1)
-    raw = np.frombuffer(b"".join([lead + t.lower() + END for t in texts]), np.uint8)
-    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+def pieces_of(texts: list[bytes], size: int, limit: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Groups of pieces, of about ``limit`` bytes in all, and the texts they are of.
+
+    A piece is led by the ``size - 1`` bytes before it, zeros at the beginning of its text; the last one ends with a zero.
+    """
+    owner: list[int] = []
+    group: list[bytes] = []
+    room = limit
+    for k, t in enumerate(texts):
+        t = b"\0" * (size - 1) + t.lower() + END
+        for a in range(0, len(t) - size + 1, limit):
+            owner.append(k)
+            group.append(t[a : a + limit + size - 1])
+            room -= len(group[-1])
+            if room <= 0:
+                yield owner, group
+                owner, group, room = [], [], limit
+    if group:
+        yield owner, group
+
+
+def windows_of(pieces: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows inside each piece, and their number."""
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    sizes = np.fromiter((len(t) - size + 1 for t in pieces), np.int64, len(pieces))
     out = np.zeros(max(0, len(raw) - size + 1), np.uint64)
     for k in range(size):
         out <<= np.uint64(8)
         out |= raw[k : k + len(out)]
-    starts = np.cumsum(sizes + size - 1) - (sizes + size - 1)  # windows that reach into the next lead are left out
-    keep = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    return out[keep], sizes
+    inside = np.ones(len(out), bool)
+    ends = np.cumsum(sizes + size - 1)[:-1]
+    for k in range(1, size):  # windows that reach into the next piece
+        inside[ends - k] = False
+    return out[inside], sizes
 
 
 def slots_of(windows: np.ndarray, order: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -198,12 +222,33 @@ class Mixer:
         return total / np.log(10)
 
 
+    def known(self, windows: np.ndarray) -> np.ndarray:
+        """``log10`` of different windows, kept in a bounded table of each process."""
+        keys, values = self.__dict__.setdefault("memo", (np.empty(0, np.uint64), np.empty(0)))
+        at = np.minimum(np.searchsorted(keys, windows), max(0, len(keys) - 1))
+        new = keys[at] != windows if len(keys) else np.ones(len(windows), bool)
+        out = np.empty(len(windows))
+        out[new] = self.log10(windows[new])
+        if len(keys):
+            out[~new] = values[at[~new]]
+        if 8 * new.sum() > len(keys):
+            if len(keys) + new.sum() > MEMO:
+                keys, values = keys[:0], values[:0]
+            keys, values = np.append(keys, windows[new]), np.append(values, out[new])
+            order = np.argsort(keys, kind="stable")
+            self.memo = keys[order], values[order]
+        return out
+
+
 def text_scores(model: Mixer, texts: list[bytes]) -> np.ndarray:
     """log10 probability of each text."""
-    windows, sizes = windows_of(texts, model.params.window)
-    codes, different = pd.factorize(windows)
-    each = model.log10(different)[codes]
-    return np.add.reduceat(each, np.cumsum(sizes) - sizes) if len(sizes) else np.empty(0)
+    out = np.zeros(len(texts))
+    for owner, group in pieces_of(texts, model.params.window, model.params.block_chars):
+        windows, sizes = windows_of(group, model.params.window)
+        codes, different = pd.factorize(windows)
+        sums = np.add.reduceat(model.known(different)[codes], np.cumsum(sizes) - sizes)
+        np.add.at(out, owner, sums)
+    return out
 
 
 # -- learning -----------------------------------------------------------------------------------------------------
@@ -222,13 +267,13 @@ def count_windows(texts: DataFrame, params: MixParams) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(different.view(np.int64)), pa.array(n)], names=["window", "n"])
 
         for batch in small_batches(batches, 0, params.block_chars):
-            found, _ = windows_of([_bytes(t) for t in batch.column(0)], params.window)
-            codes, different = pd.factorize(found)
-            held.append((different, np.bincount(codes)))
-            size += len(different)
-            if size > 2_000_000:
-                yield from flush()
-                held, size = [], 0
+            for _, group in pieces_of([_bytes(t) for t in batch.column(0)], params.window, params.block_chars):
+                codes, different = pd.factorize(windows_of(group, params.window)[0])
+                held.append((different, np.bincount(codes)))
+                size += len(different)
+                if size > 1_000_000:
+                    yield from flush()
+                    held, size = [], 0
         if held:
             yield from flush()
 
@@ -387,7 +432,7 @@ def scored_parts(docs: DataFrame, model: Mixer) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid, held = TaskContext.get().partitionId() << 40, shared.value
-        for part in small_batches(_joined(batches, held.params.block_chars), 2, held.params.block_chars):
+        for part in small_batches(_joined(batches, WORD_BLOCK), 2, WORD_BLOCK):
             for start in range(0, part.num_rows, 1 << 16):
                 batch = part.slice(start, 1 << 16)
                 n, texts = batch.num_rows, [_bytes(t) for t in batch.column(2)]

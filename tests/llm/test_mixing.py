@@ -30,6 +30,10 @@ def brute_base(rows, learn):
     return sorted(out, key=repr)
 
 
+def all_windows(texts):
+    return np.concatenate([mx.windows_of(g, PARAMS.window)[0] for _, g in mx.pieces_of(texts, PARAMS.window, 50)])
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     rows = corpus()
@@ -64,9 +68,13 @@ def test_bytes_sum_to_one_and_blocks_change_nothing(spark):
 
 
 def test_windows():
-    w, sizes = mx.windows_of([b"", b"AB"], 3)
-    assert sizes.tolist() == [1, 3]
-    assert [int(x).to_bytes(3, "big") for x in w] == [b"\0\0\0", b"\0\0a", b"\0ab", b"ab\0"]
+    want = [b"\0\0\0", b"\0\0a", b"\0ab", b"ab\0"]
+    for limit in (1, 2, 3, 100):
+        groups = list(mx.pieces_of([b"", b"AB"], 3, limit))
+        w = [x for _, g in groups for x in mx.windows_of(g, 3)[0]]
+        assert [int(x).to_bytes(3, "big") for x in w] == want
+        owners = [k for owner, g in groups for k, n in zip(owner, mx.windows_of(g, 3)[1], strict=True) for _ in range(n)]
+        assert owners == [0, 1, 1, 1]
 
 
 def test_counts_are_those_of_all_texts(spark):
@@ -74,11 +82,11 @@ def test_counts_are_those_of_all_texts(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string").select("text").repartition(4)
     windows = mx.count_windows(docs, PARAMS)
     got = {r.window: r.n for r in windows.collect()}
-    want = Counter(mx.windows_of(texts, PARAMS.window)[0].view(np.int64).tolist())
+    want = Counter(all_windows(texts).view(np.int64).tolist())
     assert got == want
     counts = mx.context_counts(windows, PARAMS)
     for (o, b), c in zip(zip(PARAMS.orders, PARAMS.bits, strict=True), counts, strict=True):
-        w = mx.windows_of(texts, PARAMS.window)[0]
+        w = all_windows(texts)
         sums = np.zeros((2, 1 << b), np.int64)
         for slot, bit in mx.slots_of(w, o, b):
             np.add.at(sums, (bit.astype(int), slot), 1)
