@@ -56,10 +56,16 @@ GROUP = 4
 FILE_KEYS = 500_000
 RECORD = np.dtype([("print", "<u4"), ("file", "<u4"), ("start", "<u8"), ("length", "<u8")])
 CACHE = 1_200_000
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: The tokenizer's own split, for texts of these characters only; all others go to the tokenizer as a whole.
-_OTHER = re.compile(f"[^\\t\\n\\r -~{_LETTERS}‘’“”–—…«»¿¡]")
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
+#: Texts of other characters go to the tokenizer as a whole; these are split as it does, many texts at once.
+_OTHER = re.compile("[^\\t\\n\\r -~À-ÖØ-öø-ɏ‘’“”–—…«»¿¡]")
+_SPACE, _LETTER, _DIGIT, _SIGN, _REST = range(5)
+_KIND = np.full(256, _SIGN, np.int8)
+_KIND[[9, 10, 13, 32]] = _SPACE
+_KIND[[*range(65, 91), *range(97, 123), *range(0xC3, 0xCA)]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[0x80:0xC0] = _REST  # of a character that began before
+#: Endings that are words of their own after an apostrophe.
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 # -- encoding -----------------------------------------------------------------------------------------------------
@@ -68,7 +74,7 @@ _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-
 class Encoder:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-    Words as the tokenizer splits them are encoded once each and kept in a bounded cache.
+    Its words are encoded once each and kept in a bounded cache.
     """
 
     def __init__(self, path: str):
@@ -82,28 +88,80 @@ class Encoder:
         self.by_word = (split.get("type"), split.get("use_regex"), split.get("add_prefix_space")) == ("ByteLevel", True, False)
         self.by_word &= spec.get("normalizer") is None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, ``width`` bytes each."""
-        whole = [
-            k for k, t in enumerate(texts) if not self.by_word or _OTHER.search(t) or any(s in t for s in self.special)
-        ]
-        found = dict(zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True))
-        words = [[] if k in found else _SPLIT.findall(t) for k, t in enumerate(texts)]
+        whole = [k for k, t in enumerate(texts) if not self.by_word or _OTHER.search(t) or any(s in t for s in self.special)]
+        found = self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)
+        out = [b""] * len(texts)
+        for k, e in zip(whole, found, strict=True):
+            out[k] = self._bytes(e.ids)
+        plain = sorted(set(range(len(texts))) - set(whole))
+        for k, ids in zip(plain, self._plain([texts[k].encode() for k in plain]), strict=True):
+            out[k] = ids
+        return out
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts of plain characters, through the table of their different words."""
+        raw = b"".join(texts)
+        if not raw:
+            return [b""] * len(texts)
+        ends = np.cumsum([len(t) for t in texts])
+        cuts = np.append(word_starts(raw, ends - [len(t) for t in texts]), len(raw)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(raw)])
+        coded = words.dictionary_encode()
+        code = coded.indices.to_numpy()
         if len(self.cache) > CACHE:
             self.cache.clear()
-        cache = self.cache
-        new = list({w for some in words for w in some if w not in cache})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        different, cache = coded.dictionary.to_pylist(), self.cache
+        new = [w for w in different if w not in cache]
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        for w, e in zip(new, encoded, strict=True):
             cache[w] = self._bytes(e.ids)
-        return [
-            self._bytes(found[k].ids) if k in found else b"".join(map(cache.__getitem__, some))
-            for k, some in enumerate(words)
-        ]
+        parts = [cache[w] for w in different]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width
+        flat = np.frombuffer(b"".join(parts), f"<u{self.width}")
+        n = size[code]
+        total = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(size) - size)[code] - (total - n), n) + np.arange(total[-1])]
+        last = np.append(0, total)[np.searchsorted(cuts, ends)]
+        return [ids[a:b].tobytes() for a, b in zip(np.append(0, last[:-1]), last, strict=True)]
+
+
+def word_starts(raw: bytes, texts: np.ndarray) -> np.ndarray:
+    """Where the tokenizer's words begin in plain texts that stand one after the other, from the positions ``texts``.
+
+    A word is a run of letters, of digits or of other signs, with the space before it; white space before that space
+    is a word, and so is an ending after an apostrophe.
+    """
+    b = np.frombuffer(raw, np.uint8)
+    kind = _KIND[b]
+    for _ in range(2):
+        rest = np.flatnonzero(kind == _REST)
+        kind[rest] = kind[rest - 1]
+    first = np.zeros(len(b) + 1, bool)  # of a text
+    first[texts] = True
+    first = first[:-1]
+    white = kind == _SPACE
+    change = np.append(True, kind[1:] != kind[:-1]) | first
+    after_white = np.append(False, white[:-1]) & ~white & ~first
+    space_before = np.append(False, b[:-1] == 32) & after_white
+    start = change & ~space_before
+    start[:-1] |= after_white[1:]
+    quotes = np.flatnonzero((b == 39) & change & ~space_before)
+    for q in quotes[np.isin(b[np.minimum(quotes + 1, len(b) - 1)], list(b"strvmld"))].tolist():
+        for ending in _ENDINGS:
+            end = q + 1 + len(ending)
+            if raw[q + 1 : end] == ending.encode() and not first[q + 1 : end].any():
+                start[q + 1] = False
+                if end < len(b) and not white[end]:
+                    start[end] = True
+                break
+    return np.flatnonzero(start)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -269,7 +327,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, *, key: str = "doc_id",
         fs, path = _open(folder)
         n, start, last, out = TaskContext.get().partitionId(), 0, None, None
         temp = f"{path}/data/.{uuid.uuid4().hex}"
-        for batch in small_batches(batches, 1, 1 << 20):
+        for batch in small_batches(batches, 1, 1 << 22):
             out = out or fs.open_output_stream(temp)
             keys, texts = (c.to_pylist() for c in batch.columns)
             fresh_rows = []

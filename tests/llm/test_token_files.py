@@ -20,6 +20,15 @@ def test_encoder_equals_the_library():
         assert got == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_random_plain_texts():
+    lib, own = Tokenizer.from_file(PATH), tf.Encoder(PATH)
+    rng = np.random.default_rng(0)
+    alphabet = [*" aB9'é«…\n\t.", "'s", "'ll", "'re", "'d", "'t", "  ", "ve", "the"]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 12))) for _ in range(4000)]
+    got = [np.frombuffer(x, "<u2").tolist() for x in own.encode(texts)]
+    assert got == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 127, 3000])
 def test_index_is_minimal_and_refuses_strangers(n):
     high, low, prints = tf.key_hash([f"key {k}" for k in range(n)])
