@@ -37,7 +37,7 @@ def binarise(df: DataFrame, label: str, positive_class=None, out: str = "y") ->
         y, pairs = _numeric_rule(df, label, positive_class)
         mapping = df.sparkSession.createDataFrame(pairs, "label string, y int")
         return Labelled(df.withColumn(out, y.cast("int")), mapping)
-    text = F.trim(F.coalesce(F.col(f"`{label}`").cast("string"), F.lit("nan")))
+    text = F.regexp_replace(F.coalesce(F.col(f"`{label}`").cast("string"), F.lit("nan")), r"^\s+|\s+$", "")
     if positive_class is not None and not df.where(text == str(positive_class)).isEmpty():
         pairs = [("other", 0), (str(positive_class), 1)]
         mapping = df.sparkSession.createDataFrame(pairs, "label string, y int")

@@ -2,8 +2,7 @@
 
 Models train on ``features`` (array), ``y`` and optionally ``weight``; scoring
 adds ``score`` in [0, 1]. Differences from the usual single-machine learners:
-tree depth is capped at 30 (forests 10), forests choose split points from
-histograms, and the intercept of logistic regression is not penalised.
+trees are at most 30 deep and choose split points from ``max_bins`` histogram bins, and the intercept of logistic regression is not penalised.
 """
 
 from __future__ import annotations
@@ -25,9 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netlens.functions.lineage import cut_lineage
+from netlens.operators.boosting import boosted_stumps, flat, score_column
 from netlens.operators.knn import knn_join
 from netlens.operators.metrics import min_max_scores
-from netlens.operators.ranks import assign_segments, class_counts
+from netlens.operators.ranks import class_counts
 from netlens.operators.resample import random_undersample
 
 # Neighbours of the knn model and focusing exponent of the focal loss.
@@ -69,7 +69,7 @@ class Settings:
 
     forest_trees: int = 250
     extra_trees: int = 300
-    forest_depth: int = 10
+    forest_depth: int = 30
     tree_depth: int = 30
     boosting_stages: int = 100
     boosting_rounds: int = 50
@@ -88,7 +88,7 @@ class Fitted:
     name: str
     kind: str  # probability, margin, boosted, neighbours, pipeline
     models: list = field(default_factory=list)
-    weights: list[list[float]] = field(default_factory=list)
+    stumps: list[list[float]] = field(default_factory=list)
     bounds: tuple[float, float] | None = None
     base: DataFrame | None = None
 
@@ -100,7 +100,11 @@ class Fitted:
             )
             return df.join(votes, "id", "left").na.fill(0.0, ["score"])
         if self.kind == "pipeline":
-            return _probability(self.models[0], df, "score")
+            scored = self.models[0].transform(df)
+            made = _probability if "probability" in scored.columns else label_score
+            return made(self.models[0], df, "score")
+        if self.kind == "boosted":
+            return df.withColumn("score", score_column(self.stumps))
         out = df.withColumn("_v", array_to_vector("features"))
         if self.kind == "margin":
             raw = self.models[0].transform(out).withColumn("_raw", vector_to_array("rawPrediction")[1])
@@ -109,15 +113,8 @@ class Fitted:
             return scaled.select(*df.columns, "score")
         columns = []
         for i, model in enumerate(self.models):
-            out = _probability(model, out, f"_p{i}") if self.kind != "boosted" else _vote(model, out, f"_p{i}")
+            out = _probability(model, out, f"_p{i}")
             columns.append(F.col(f"_p{i}"))
-        if self.kind == "boosted":  # mean over bags of the share of vote weight for class 1
-            at, bags = 0, []
-            for w in self.weights:
-                votes = [F.lit(float(a)) * columns[at + j] for j, a in enumerate(w)]
-                bags.append(_total(votes) / F.lit(float(sum(w)) or 1.0))
-                at += len(w)
-            columns = bags
         return out.select(*df.columns, (_total(columns) / len(columns)).alias("score"))
 
     @property
@@ -150,8 +147,8 @@ def _probability(model, df: DataFrame, out: str) -> DataFrame:
     return _clean(model, df, out, F.when(F.size(p) > 1, F.get(p, F.lit(1))).otherwise(0.0))
 
 
-def _vote(model, df: DataFrame, out: str) -> DataFrame:
-    """SC3: the predicted label as a number."""
+def label_score(model, df: DataFrame, out: str = "score") -> DataFrame:
+    """SC3: the predicted label as a number, for models without probabilities."""
     return _clean(model, df, out, F.col("prediction"))
 
 
@@ -159,9 +156,9 @@ def check_strategy(name: str, strategy: str) -> None:
     """MD12, MD13: whether the pair may be trained at all."""
     spec = MODELS[name]
     if spec.allowed_strategies is not None and strategy not in spec.allowed_strategies:
-        raise ValueError(f"Model '{name}' is only intended for strategies: {', '.join(spec.allowed_strategies)}")
+        raise ValueError(f"{name} trains with {', '.join(spec.allowed_strategies)} only, not with {strategy}")
     if strategy == "class_weight" and not spec.supports_class_weight:
-        raise ValueError(f"Model '{name}' does not support class_weight.")
+        raise ValueError(f"{name} takes no class weights")
 
 
 def balanced_weights(df: DataFrame) -> DataFrame:
@@ -228,7 +225,7 @@ def fit_gradient_boosting(df: DataFrame, s: Settings, seed: int) -> Fitted:
 def fit_linear_svm(df: DataFrame, s: Settings, seed: int) -> Fitted:
     """MD5; the training margins bound the score scale (SC2)."""
     points = _points(df)
-    svm = LinearSVC(**_common(), maxIter=min(s.max_iter, 200), regParam=1e-4, standardization=False).fit(points)
+    svm = LinearSVC(**_common(), maxIter=s.max_iter, regParam=1e-4, standardization=False).fit(points)
     raw = vector_to_array("rawPrediction")[1]
     low, high = svm.transform(points).agg(F.min(raw), F.max(raw)).first()
     return Fitted("linear_svm", "margin", [svm], bounds=(low, high))
@@ -252,50 +249,18 @@ def _each_bag(fit: Callable[[int], object], bags: int, s: Settings) -> list:
         return list(pool.map(fit, range(bags)))
 
 
-def _boost(df: DataFrame, s: Settings, seed: int, resampled: bool) -> tuple[list, list[float]]:
-    """Discrete AdaBoost on stumps; with ``resampled`` each round trains on a balanced part."""
-    rows = df.select("id", "y", "features")
-    n = rows.count()
-    rows = cut_lineage(rows.withColumn("weight", F.lit(1.0 / n)))
-    models, votes = [], []
-    for i in range(s.boosting_rounds):
-        part = rows
-        if resampled:
-            counts = class_counts(rows, "y")
-            quotas = {c: [(1, min(counts.values()))] for c in counts}
-            part = assign_segments(rows, "id", "y", quotas, seed + i)
-        model = DecisionTreeClassifier(**_common(), maxDepth=1, seed=seed + i).fit(_points(part))
-        judged = model.transform(rows.withColumn("_v", array_to_vector("features")))
-        wrong = (F.col("prediction") != F.col("y")).cast("double")
-        error, total = judged.agg(F.sum(wrong * F.col("weight")), F.sum("weight")).first()
-        error /= total
-        if error >= 0.5:
-            if not models:
-                models, votes = [model], [1.0]
-            break
-        alpha = math.log((1 - error) / max(error, 1e-10))
-        models.append(model)
-        votes.append(alpha)
-        if error <= 0:
-            break
-        lifted = F.col("weight") * F.exp(F.lit(alpha) * wrong) / F.lit(total)
-        rows = judged.select("id", "y", "features", lifted.alias("weight"))
-        if i % 5 == 4:  # keeps the plan short
-            rows = cut_lineage(rows)
-    return models, votes
-
-
 def fit_easy_ensemble(df: DataFrame, s: Settings, seed: int) -> Fitted:
     """MD9: boosted stumps on balanced bags."""
-    bag = lambda b: _boost(random_undersample(df, seed + 1000 * b), s, seed, resampled=False)
-    done = _each_bag(bag, s.bags, s)
-    return Fitted("easy_ensemble", "boosted", [m for found, _ in done for m in found], [w for _, w in done])
+    bags = boosted_stumps(
+        df, rounds=s.boosting_rounds, bags=s.bags, seed=seed, max_bins=s.max_bins, resampled=False
+    )
+    return Fitted("easy_ensemble", "boosted", stumps=flat(bags))
 
 
 def fit_rusboost(df: DataFrame, s: Settings, seed: int) -> Fitted:
-    """MD10."""
-    models, votes = _boost(df, s, seed, resampled=True)
-    return Fitted("rusboost", "boosted", models, [votes])
+    """MD10: every round learns from another balanced part, weights follow the pseudo-loss over all rows."""
+    bags = boosted_stumps(df, rounds=s.boosting_rounds, bags=1, seed=seed, max_bins=s.max_bins, resampled=True)
+    return Fitted("rusboost", "boosted", stumps=flat(bags))
 
 
 def focal_weights(df: DataFrame, probability: Column, gamma: float = FOCAL_GAMMA) -> Column:
@@ -311,7 +276,7 @@ def fit_focal_logistic(df: DataFrame, s: Settings, seed: int) -> Fitted:
     """MD11: a balanced fit measures hardness, a second fit is weighted by it."""
     counts = class_counts(df, "y")
     if len(counts) < 2:
-        raise ValueError("focal_logistic requires at least two classes.")
+        raise ValueError("focal_logistic has to see both classes")
     warm = _logistic(balanced_weights(df), s)
     judged = _probability(warm, df.withColumn("_v", array_to_vector("features")), "_p")
     weighted = judged.withColumn("weight", focal_weights(df, F.col("_p")))

@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netlens.operators import models, resample
+from netlens.operators import boosting, models, resample
 from netlens.operators.knn import knn_join
-from netlens.operators.ranks import class_counts
+from netlens.operators.ranks import class_counts, class_ranks
 from netlens.plans.bundle import Bundle, load_bundle, save_bundle, write_document
 from netlens.operators.prep import Preprocessor
 
@@ -159,9 +159,9 @@ def test_logistic_fits(data):
 
 
 def test_strategy_rules(data):
-    with pytest.raises(ValueError, match="only intended"):
+    with pytest.raises(ValueError, match="trains with baseline only"):
         models.fit_model("rusboost", "smote", data)
-    with pytest.raises(ValueError, match="class_weight"):
+    with pytest.raises(ValueError, match="class weights"):
         models.fit_model("knn", "class_weight", data)
     with pytest.raises(ValueError, match="two classes"):
         models.fit_model("focal_logistic", "baseline", data.where("y = 0"))
@@ -186,3 +186,74 @@ def test_bundle_defaults(spark, tmp_path):
     rows = spark.createDataFrame([("x", "1.0", 2.0)], "src_ip string, flow_duration string, b double")
     out = score_flows(rows, bare).first()
     assert out.prediction == 1 and out.src_ip == "x"
+
+
+def sequential_boost(x, y, w0, cuts, rounds, learn):
+    """Boosted stumps row by row; ``learn`` gives the rows of a round, None for discrete AdaBoost on all of ``w0``."""
+    bins = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
+    w, out = w0.astype(float), []
+    for t in range(rounds):
+        own = w * (learn(t) if learn else 1)
+        best = None
+        for j, c in enumerate(cuts):
+            for k in range(max(1, max(map(len, cuts)))):
+                sums = [own[(bins[:, j] > k) == side][:, None] * (y[(bins[:, j] > k) == side, None] == [0, 1]) for side in (0, 1)]
+                l, r = (s.sum(0) for s in sums)
+                loss = sum(2 * s[0] * s[1] / max(s.sum(), 1e-300) for s in (l, r))
+                if best is None or round(loss, 12) < best[0]:
+                    best = (round(loss, 12), j, k, l, r)
+        _, j, k, l, r = best
+        side = bins[:, j] > k
+        if learn:
+            p = np.where(side, r[1] / max(r.sum(), 1e-300), l[1] / max(l.sum(), 1e-300))
+            right = np.where(y == 1, p, 1 - p)
+            eps = (w * (1 - right)).sum() / w.sum()
+            if eps >= 0.5:
+                continue
+            w = w * (eps / (1 - eps)) ** right
+            out.append((j, k, -np.log(eps / (1 - eps))))
+        else:
+            wrong = np.where(side, r[1] > r[0], l[1] > l[0]) != y
+            err = (w * wrong).sum() / w.sum()
+            if err >= 0.5:
+                break
+            vote = np.log((1 - err) / max(err, 1e-10))
+            w = w * np.exp(vote * wrong)
+            out.append((j, k, vote))
+    return out
+
+
+@pytest.mark.parametrize("resampled", [False, True])
+def test_boosting_equals_a_sequential_version(spark, monkeypatch, resampled):
+    monkeypatch.setattr(boosting, "KEEP", 3)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(240, 4)).round(2)
+    y = (x[:, 0] + 0.7 * rng.normal(size=240) > 0.9).astype(int)
+    rows = [(k, int(y[k]), [float(v) for v in x[k]]) for k in range(240)]
+    df = spark.createDataFrame(rows, "id long, y int, features array<double>").repartition(5)
+    bags = boosting.boosted_stumps(df, rounds=8, bags=1 if resampled else 3, seed=7, max_bins=8, resampled=resampled)
+    cuts = boosting._cut_points(df, 8)
+    small, per = int(y.sum()), (240 - int(y.sum())) // int(y.sum())
+    ranks = [{r.id: r.rank for r in class_ranks(df.where("y = 0"), "id", "y", 7 + p).collect()} for p in range(8)]
+
+    def member(draw):
+        p, k = divmod(draw, per)
+        return np.array([y[i] == 1 or (ranks[p][i] - 1) // small == k for i in range(240)], float)
+
+    for b, bag in enumerate(bags):
+        want = sequential_boost(x, y, np.ones(240) if resampled else member(b), cuts, 8, member if resampled else None)
+        assert [(s.feature, s.cut) for s in bag] == [w[:2] for w in want]
+        assert np.allclose([s.vote for s in bag], [w[2] for w in want])
+    score = {r.id: r.score for r in df.withColumn("score", boosting.score_column(boosting.flat(bags))).collect()}
+    s0 = bags[0]
+    first = [sum(s.vote * (s.left if x[k, s.feature] <= s.threshold else s.right) for s in s0) / sum(s.vote for s in s0) for k in range(240)]
+    if resampled:
+        assert np.allclose([score[k] for k in range(240)], first)
+    rest = np.mean([score[k] for k in range(240) if y[k]]) - np.mean([score[k] for k in range(240) if not y[k]])
+    assert rest > 0.15
+
+
+def test_boosting_of_one_class(spark):
+    df = spark.createDataFrame([(1, 1, [0.0]), (2, 1, [1.0])], "id long, y int, features array<double>")
+    got = df.withColumn("score", boosting.score_column(boosting.flat(boosting.boosted_stumps(df, rounds=3, bags=2, seed=1, max_bins=8, resampled=False))))
+    assert {r.score for r in got.collect()} == {1.0}

@@ -61,6 +61,23 @@ def test_late_packet_joins_open_flow(spark, tmp_path):
     assert sorted(r.tot_fwd_pkts for r in got.collect()) == [1, 3]
 
 
+def test_too_late_packet_is_dropped_and_counted(spark, tmp_path):
+    rows = [packet(1, 0), packet(2, 1), packet(3, 20), packet(4, 2)]
+    stream = FlowStream(f"{tmp_path}/out", f"{tmp_path}/state", FlowParams())
+    for batch_id, part in enumerate([rows[:2], rows[2:3], rows[3:], [packet(5, 21)]]):
+        stream.process(timed(spark, part), batch_id)
+    stream.drain(spark)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(r.tot_fwd_pkts for r in got.collect()) == [2, 2] and stream.dropped(spark) == 1
+    assert key(got) == key(flow_records(timed(spark, [*rows[:3], packet(5, 21)]), FlowParams()))
+
+
+def test_missing_state_is_an_error(spark, tmp_path):
+    stream = FlowStream(f"{tmp_path}/out", f"{tmp_path}/state", FlowParams())
+    with pytest.raises(FileNotFoundError):
+        stream.process(timed(spark, [packet(1, 0)]), 7)
+
+
 def test_session_totals(spark, tmp_path):
     rows = [packet(1, 0), packet(2, 5, B, A), packet(3, 10.000001), packet(4, 100)]
     land(timed(spark, rows), f"{tmp_path}/in", 0)
