@@ -48,7 +48,7 @@ def run(df: DataFrame) -> None:
 def line_rows(s: SparkSession) -> DataFrame:
     """Line items as a labelled table with a row id."""
     rows = s.read.parquet(f"{SF_DIR}/lineitem.parquet")
-    place = (F.col("_metadata.file_block_start") + F.col("_metadata.row_index")).alias("id")
+    place = F.concat_ws(":", "_metadata.file_name", "_metadata.row_index").alias("id")
     return rows.select(place, "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_returnflag")
 
 

@@ -38,7 +38,7 @@ def event_labels(s, d) -> DataFrame:
     lbl = (
         F.when(F.col("event_id") % 19 == 0, None)
         .when(F.col("event_type") == "view", "Normal")
-        .when(F.col("event_type") == "click", " BENIGN ")
+        .when(F.col("event_type") == "click", "\tBENIGN \r")
         .when(F.col("event_type") == "purchase", "safe")
         .otherwise(F.col("event_type"))
     )
@@ -46,7 +46,7 @@ def event_labels(s, d) -> DataFrame:
 
 
 EVENT_LABELS = """(select event_id, case when event_id % 19 = 0 then null when event_type = 'view' then 'Normal'
-  when event_type = 'click' then ' BENIGN ' when event_type = 'purchase' then 'safe' else event_type end lbl, value
+  when event_type = 'click' then chr(9) || 'BENIGN ' || chr(13) when event_type = 'purchase' then 'safe' else event_type end lbl, value
   from events)"""
 
 
@@ -67,7 +67,7 @@ def _(s, d):
     return labels.binarise(df, "label").data.select("vec_id", "y")
 
 
-@add("dl04_text_positive_class", f"select event_id, case when trim(lbl) = 'error' then 1 else 0 end y from {EVENT_LABELS}")
+@add("dl04_text_positive_class", f"select event_id, case when regexp_replace(lbl, '^\\s+|\\s+$', '', 'g') = 'error' then 1 else 0 end y from {EVENT_LABELS}")
 def _(s, d):
     return labels.binarise(event_labels(s, d), "lbl", "error").data.select("event_id", "y")
 
@@ -75,12 +75,12 @@ def _(s, d):
 _TOKENS = "('0', 'benign', 'normal', 'normality', 'legitimate', 'safe')"
 
 
-@add("dl05_text_token_rule", f"select event_id, case when lower(trim(coalesce(lbl, 'nan'))) in {_TOKENS} then 0 else 1 end y from {EVENT_LABELS}")
+@add("dl05_text_token_rule", f"select event_id, case when lower(regexp_replace(coalesce(lbl, 'nan'), '^\\s+|\\s+$', '', 'g')) in {_TOKENS} then 0 else 1 end y from {EVENT_LABELS}")
 def _(s, d):
     return labels.binarise(event_labels(s, d), "lbl").data.select("event_id", "y")
 
 
-@add("dl06_label_map", f"select distinct trim(coalesce(lbl, 'nan')) as label, case when lower(trim(coalesce(lbl, 'nan'))) in {_TOKENS} then 0 else 1 end y from {EVENT_LABELS}")
+@add("dl06_label_map", f"select distinct regexp_replace(coalesce(lbl, 'nan'), '^\\s+|\\s+$', '', 'g') as label, case when lower(regexp_replace(coalesce(lbl, 'nan'), '^\\s+|\\s+$', '', 'g')) in {_TOKENS} then 0 else 1 end y from {EVENT_LABELS}")
 def _(s, d):
     return labels.binarise(event_labels(s, d), "lbl").mapping
 
@@ -132,6 +132,18 @@ sp as (select event_id, r.y, case when rk <= bq.k then 'train' when rk <= q.k th
 """
 
 
+#: Fixed value: the text of the error row.
+SINGLE = "One or more splits contain a single class only."
+RARE = "(select event_id, (event_id = (select min(event_id) from events))::int y from events)"
+
+
+@add("dl13_no_error", SPLIT + f"select 'events' as dataset_name, 'split' as stage, {SINGLE!r} as error "
+     "from (select count(distinct y) classes from sp group by split) having min(classes) < 2")
+def _(s, d):
+    split = sampling.split_dataset(binary_events(s, d), "event_id")
+    return sampling.single_class_splits(split, "events")
+
+
 @add("dl12_split", SPLIT + "select event_id, y, split from sp")
 def _(s, d):
     return sampling.split_dataset(binary_events(s, d), "event_id").select("event_id", "y", "split")
@@ -139,8 +151,8 @@ def _(s, d):
 
 @add(
     "dl13_single_class_check",
-    f"with s as (select case when k <= 3 then 'a' end one from (select count(*) k from {BINARY} where y = 2)) "
-    "select 'rare' as dataset_name, 'split' as stage, 'One or more splits contain a single class only.' as error from s",
+    SPLIT.replace(BINARY, RARE) + f"select 'rare' as dataset_name, 'split' as stage, {SINGLE!r} as error "
+    "from (select count(distinct y) classes from sp group by split) having min(classes) < 2",
 )
 def _(s, d):
     # one single positive row cannot reach all three splits
@@ -270,7 +282,7 @@ select i.o_orderkey, {round_sql('(price - ap) / sp', 6)} as first_value, {round_
 def _(s, d):
     df, p = fitted(s, d, True)
     x = F.col("features")
-    hot = F.aggregate(F.slice(x, len(p.numeric) + 1, 1000), F.lit(0.0), lambda a, b: a + b)
+    hot = F.aggregate(F.slice(x, F.lit(len(p.numeric) + 1), F.size(x)), F.lit(0.0), lambda a, b: a + b)
     wide = p.transform(df, ["o_orderkey"], vector=False)
     return rounded(
         wide.select("o_orderkey", x[0].alias("first_value"), x[1].alias("second_value"), F.size(x).alias("width"), hot.alias("hot"))

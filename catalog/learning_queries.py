@@ -16,8 +16,6 @@ from netlens.operators.sampling import split_dataset
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 SEED = 42
-QUICK = Settings(forest_trees=20, extra_trees=20, forest_depth=5, tree_depth=5, boosting_stages=5,
-                 boosting_rounds=3, bags=2, forest_bags=2, max_iter=50)
 
 
 def add(name: str, sql: str | None = None):
@@ -127,13 +125,16 @@ def _(s, d):
     return digest_rows(resample.borderline_smote(vectors(s, d), SEED))
 
 
-@add("rs05_svm_smote")
+BALANCED = f"with {BASE}, c as (select y, count(*) n from e group by y) select y, n as before_count, (select max(n) from c) as after_count from c"
+
+
+@add("rs05_svm_smote", BALANCED)
 def _(s, d):
     v = vectors(s, d)
     return _summary(s, v, resample.svm_smote(v, SEED))
 
 
-@add("rs06_kmeans_smote")
+@add("rs06_kmeans_smote", BALANCED)
 def _(s, d):
     v = vectors(s, d)
     return _summary(s, v, resample.kmeans_smote(v, SEED))
@@ -210,7 +211,22 @@ def _scored(name: str, model: str, strategy: str = "baseline"):
     @add(name)
     def _(s, d):
         train, rows = train_and_all(s, d)
-        return fit_model(model, strategy, train, QUICK, SEED).score(rows).select("id", "y", "score")
+        return fit_model(model, strategy, train, Settings(), SEED).score(rows).select("id", "y", "score")
+
+
+@add("md01_stationary", f"with {BASE} select unnest(range(max(len(x)) + 1))::int as feature, true as stationary from e")
+def _(s, d):
+    """The gradient of the penalised loss at the solution; the last one is the intercept's."""
+    train, _ = train_and_all(s, d)
+    settings = Settings()
+    model = fit_model("logistic_regression", "baseline", train, settings, SEED).models[0]
+    n, coef = train.count(), [*model.coefficients.tolist(), model.intercept]
+    x = F.concat("features", F.array(F.lit(1.0)))
+    z = F.aggregate(F.zip_with(x, F.array(*map(F.lit, coef)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    cells = train.select((1 / (1 + F.exp(-z)) - F.col("y")).alias("err"), F.posexplode(x).alias("feature", "v"))
+    slope = F.when(F.col("feature") < len(coef) - 1, F.get(F.array(*map(F.lit, coef)), F.col("feature")) / (settings.c * n)).otherwise(0.0)
+    sums = cells.groupBy("feature").agg((F.sum(F.col("err") * F.col("v")) / n).alias("g"))
+    return sums.select("feature", (F.abs(F.col("g") + slope) < 1e-3).alias("stationary"))
 
 
 for _n, _m in (
@@ -238,7 +254,7 @@ er as (select *, {rank_sql('id')} rk from e), tr as (select er.* from er join bq
 select e.id, e.y, {round_sql('avg(ny * 1.0)', 9)} as score from n join e on e.id = n.id group by e.id, e.y""")
 def _(s, d):
     train, rows = train_and_all(s, d)
-    return rounded(fit_model("knn", "baseline", train, QUICK, SEED).score(rows).select("id", "y", "score"), 9)
+    return rounded(fit_model("knn", "baseline", train, Settings(), SEED).score(rows).select("id", "y", "score"), 9)
 
 
 @add("md12_balanced_weights", f"with {BASE}, c as (select y, count(*) n from e group by y) select id, e.y, {round_sql('(select count(*) from e) / (2.0 * n)', 9)} as weight from e join c on e.y = c.y")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from catalog.common import prepared, round_sql, rounded, table
 from catalog.flow_queries import assigned
 from catalog.flow_sql import FIXTURE, flow_ctes
-from catalog.learning_queries import QUICK, vectors
+from catalog.learning_queries import vectors
 from netlens.functions.lineage import shared_folder
 from netlens.operators import alerts, metrics, scoring
 from netlens.operators.features import FLOW_COLUMNS, records_of
@@ -126,9 +126,8 @@ def _(s, d):
 
 # ---- trained models -------------------------------------------------------
 
-FEATURES = (
-    "flow_duration flow_byts_s flow_pkts_s tot_fwd_pkts tot_bwd_pkts pkt_len_mean pkt_len_std flow_iat_mean down_up_ratio"
-).split()
+#: Every number of the record but the flag that gives the label.
+FEATURES = [c for c in FLOW_COLUMNS if c not in ("src_ip", "dst_ip", "timestamp", "rst_flag_cnt")]
 
 
 def flow_dataset(s, d) -> DataFrame:
@@ -142,12 +141,16 @@ def flow_dataset(s, d) -> DataFrame:
 def _(s, d):
     data = flow_dataset(s, d)
     prep = fit_preprocessor(data, scale=True, exclude=["id", "y"])
-    fitted = fit_model("logistic_regression", "class_weight", prep.transform(data, ["id", "y"], vector=False), QUICK)
+    fitted = fit_model("logistic_regression", "class_weight", prep.transform(data, ["id", "y"], vector=False), Settings())
     out = scoring.score_flows(flows(s, d), Bundle(fitted, prep, 0.5, {"feature_columns": FEATURES}))
     return out.select("start_seq", "src_ip", "dst_ip", "score", "prediction")
 
 
-CFG = grid.GridConfig(["logistic_regression", "decision_tree"], ["baseline", "random_undersample"], settings=QUICK)
+#: The models and strategies of the published grid.
+CFG = grid.GridConfig(
+    ["logistic_regression", "random_forest", "gradient_boosting", "knn", "decision_tree"],
+    ["baseline", "random_undersample", "smote", "adasyn", "smote_tomek"],
+)
 
 
 @add("bg01_grid")
@@ -173,7 +176,7 @@ def _(s, d):
 def _(s, d):
     data = flow_dataset(s, d)
     prep = fit_preprocessor(data, scale=False, exclude=["id", "y"])
-    fitted = fit_model("random_forest", "baseline", prep.transform(data, ["id", "y"], vector=False), QUICK)
+    fitted = fit_model("random_forest", "baseline", prep.transform(data, ["id", "y"], vector=False), Settings())
     return grid.top_features(s, Bundle(fitted, prep))
 
 
@@ -182,7 +185,7 @@ def _(s, d):
     data = flow_dataset(s, d)
     prep = fit_preprocessor(data, scale=False, exclude=["id", "y"])
     frame = prep.transform(data, ["id", "y"], vector=False)
-    return fit_model("decision_tree", "baseline", frame, QUICK).score(frame).select("id", "y", "score")
+    return fit_model("decision_tree", "baseline", frame, Settings()).score(frame).select("id", "y", "score")
 
 
 @add("sc18_fit_and_evaluate")
@@ -199,5 +202,5 @@ def _(s, d):
     mapping = data.select(F.col("y").cast("string").alias("label"), "y").distinct()
     ds = Dataset("flows", data, mapping, profile(data, "y", exclude=["id"]), [])
     best = {"model_name": "logistic_regression", "sampling_strategy": "random_oversample", "threshold": 0.5}
-    bundle = grid.refit_full(s, ds, best, f"{shared_folder(s)}/refit-{uuid.uuid4().hex}", settings=QUICK)
+    bundle = grid.refit_full(s, ds, best, f"{shared_folder(s)}/refit-{uuid.uuid4().hex}")
     return scoring.score_flows(data, bundle).select("id", "score", "prediction")

@@ -63,7 +63,6 @@ class AlertStream:
     columns: AlertColumns = field(default_factory=AlertColumns)
     order: tuple[str, ...] = ("file_time", "file_name", "row_place")
     fmt: str = "parquet"
-    benign_seen: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self):
         self.limit = self.bundle.threshold if self.threshold is None else float(self.threshold)  # ST10
@@ -83,11 +82,15 @@ class AlertStream:
             scored = score_flows(batch, self.bundle, self.label, self.limit)
             if self.count_benign and self.group_attacks:
                 scored = cut_lineage(scored)
-                self.benign_seen[batch_id] = benign_count(scored).first()[0]
+                benign_count(scored).write.mode("overwrite").parquet(f"{self.out}-benign/batch_id={batch_id}")
             writer = self.alerts(scored).write.mode("overwrite")
             writer = writer.option("header", True) if self.fmt == "csv" else writer
             writer.format(self.fmt).save(f"{self.out}/batch_id={batch_id}")
 
+    def benign(self, spark: SparkSession) -> int:
+        """Benign flows counted so far, in the table beside the alerts."""
+        return spark.read.parquet(f"{self.out}-benign").agg(F.sum("benign_flows")).first()[0]
+
     def start(
         self, flows: DataFrame, checkpoint: str, tail: bool = False, reset: bool = False, **trigger
     ) -> StreamingQuery:
