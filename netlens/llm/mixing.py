@@ -52,8 +52,8 @@ END = b"\0"
 LEVELS = (2, 6, 30, 200)  # counts at which the confidence in a context rises
 BINS = 33
 LIMIT = 65_535
-MEMO = 3_000_000
-WORD_BLOCK = 1 << 22
+MEMO = 2_000_000
+WORD_BLOCK = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -391,14 +391,16 @@ def fit(texts: DataFrame, params: MixParams | None = None) -> Mixer:
 
 def _word_rows(texts: list[bytes], train: np.ndarray) -> tuple[list[bytes], np.ndarray, list[bytes], list[bytes], np.ndarray]:
     """Different words of a block of texts: training counts, the texts that have each and how often; words of each text."""
-    index: dict[bytes, int] = {}
-    of, sizes = [], []
-    for t in texts:
-        own = t.lower().split()
-        of.append(np.fromiter((index.setdefault(w, len(index)) for w in own), np.int64, len(own)))
-        sizes.append(len(own))
+    joined = [b"".join([b" ".join(t.lower().split()), b" "]) for t in texts]  # one space after each word
+    raw = b"".join([t if len(t) > 1 else b"" for t in joined])
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32).astype(np.int32) + np.int32(1)
+    cuts = np.append(np.int32(0), ends)
+    found = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).dictionary_encode()
+    index = [w[:-1] for w in found.dictionary.to_pylist()]
+    edges = np.cumsum([0, *(len(t) if len(t) > 1 else 0 for t in joined)])
+    sizes = np.diff(np.searchsorted(cuts, edges))
     row = np.repeat(np.arange(len(texts)), sizes)
-    pair, n = np.unique(np.concatenate(of) * len(texts) + row, return_counts=True)
+    pair, n = np.unique(found.indices.to_numpy().astype(np.int64) * len(texts) + row, return_counts=True)
     of, row = pair // len(texts), pair % len(texts)
     learned = np.bincount(of, n * train[row], len(index)).astype(np.int64)
     parts = (n + 254) // 255  # counts are stored in single bytes; larger ones take several entries
@@ -409,7 +411,7 @@ def _word_rows(texts: list[bytes], train: np.ndarray) -> tuple[list[bytes], np.n
     cuts = np.searchsorted(of, np.arange(len(index) + 1)).tolist()
     rows, times = row.astype("<u2").tobytes(), full.astype(np.uint8).tobytes()
     spans = list(zip(cuts, cuts[1:], strict=False))
-    return list(index), learned, [rows[2 * a : 2 * b] for a, b in spans], [times[a:b] for a, b in spans], np.array(sizes)
+    return index, learned, [rows[2 * a : 2 * b] for a, b in spans], [times[a:b] for a, b in spans], sizes
 
 
 def scored_parts(docs: DataFrame, model: Mixer) -> DataFrame:
