@@ -31,9 +31,10 @@ underscore.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -46,8 +47,89 @@ from netlens.llm.common import cut_lineage, extended, fresh, small_batches, with
 SPACE = "▁"
 NEVER = -(1 << 60)
 BLOCK = 64
-CACHE = 1_000_000
-CACHED_CHARS = 64
+CACHE = 100_000
+CACHED_CHARS = 32
+TOGETHER = 8192
+
+
+@dataclass
+class Trie:
+    """Pieces as a table of steps: from a state with a character to a state, or 0."""
+
+    chars: np.ndarray
+    steps: np.ndarray
+    score: np.ndarray
+    ids: np.ndarray
+
+    @staticmethod
+    def of(table: dict[str, tuple[int, int]]) -> Trie:
+        chars = sorted({c for p in table if len(p) > 1 for c in p})[:512]  # pieces of rarer characters: one unit at a time
+        place, nodes, edges = {c: k for k, c in enumerate(chars)}, {"": 0}, []
+        for p in table:
+            if all(c in place for c in p):
+                for k in range(1, len(p) + 1):
+                    if p[:k] not in nodes:
+                        nodes[p[:k]] = len(nodes)
+                        edges.append((nodes[p[: k - 1]], place[p[k - 1]], nodes[p[:k]]))
+        kind = np.int16 if len(nodes) < 1 << 15 else np.uint16 if len(nodes) < 1 << 16 else np.int32
+        steps = np.full((len(nodes), len(chars) + 1), 0, kind)  # no step leads back to the first state
+        for a, c, b in edges:
+            steps[a, c] = b
+        score, ids = np.full(len(nodes), NEVER), np.full(len(nodes), -1, np.int32)
+        for p, k in nodes.items():
+            if p in table:
+                ids[k], score[k] = table[p]
+        return Trie(np.array([ord(c) for c in chars], np.uint32), steps, score, ids)
+
+    def encode(self, units: list[str], longest: int) -> list[bytes | None]:
+        """Ids of units like ``Units._encoded``, many at once; None for those with characters that are not in the table."""
+        length = np.fromiter(map(len, units), np.int64, len(units))
+        width = int(length.max())
+        code = np.array(units, f"<U{width}").view(np.uint32).reshape(len(units), width)
+        at = np.minimum(np.searchsorted(self.chars, code), len(self.chars) - 1)
+        inside = np.arange(width) < length[:, None]
+        char = np.where(self.chars[at] == code, at, len(self.chars))
+        fits = ~(inside & ((char == len(self.chars)) | (self.score[self.steps[0, char]] == NEVER))).any(1)
+        n = len(units)
+        state = np.zeros((n, width), np.int32)
+        best = np.full((n, width + 1), NEVER)
+        best[:, 0] = 0
+        last, piece = np.zeros((n, width + 1), np.int32), np.zeros((n, width + 1), np.int32)
+        found = np.full((longest + 1, n, width), -1, np.int32)  # state after so many characters from a place
+        rows, places = np.nonzero(inside & fits[:, None])
+        for k in range(1, longest + 1):
+            going = places + k <= length[rows]
+            rows, places = rows[going], places[going]
+            now = self.steps[state[rows, places], char[rows, places + k - 1]]
+            alive = now > 0
+            rows, places, now = rows[alive], places[alive], now[alive]
+            if not len(rows):
+                longest = k - 1
+                break
+            state[rows, places] = now
+            found[k, rows, places] = now
+        for end in range(1, width + 1):
+            for k in range(min(longest, end), 0, -1):  # the longest last piece comes first
+                s = found[k, :, end - k]
+                row = np.flatnonzero(s >= 0)
+                s = s[row]
+                total = best[row, end - k] + self.score[s]
+                better = (total > best[row, end]) & (self.score[s] > NEVER)
+                row, s = row[better], s[better]
+                best[row, end], last[row, end], piece[row, end] = total[better], k, self.ids[s]
+        out, count, end = np.zeros((n, width), np.int32), np.zeros(n, np.int64), np.where(fits, length, 0)
+        for _ in range(width):
+            row = np.flatnonzero(end > 0)
+            if not len(row):
+                break
+            count[row] += 1
+            out[row, width - count[row]] = piece[row, end[row]]
+            end[row] -= last[row, end[row]]
+        raw = out.tobytes()
+        return [
+            raw[4 * (k * width + width - c) : 4 * (k + 1) * width] if ok else None
+            for k, (c, ok) in enumerate(zip(count.tolist(), fits.tolist(), strict=True))
+        ]
 
 
 @dataclass
@@ -60,13 +142,26 @@ class Pieces:
     unknown: int
     longest: int
     units: re.Pattern = field(init=False)
+    known: dict[str, tuple[int, int] | None] = field(init=False)
+    trie: Trie = field(init=False)
+    scores: np.ndarray = field(init=False)
 
     def __post_init__(self):
         """Texts split into units wherever no piece crosses; without such places they are one unit."""
         words = not any(SPACE in p.lstrip(SPACE) for p in self.table)
         lines = not any("\n" in p and p != "\n" for p in self.table)
         pattern = f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n" if lines else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
+        letter = re.compile(r"[^\W\d_]")
+        after = {b for p in self.table for a, b in pairwise(p) if letter.match(a)}
+        if signs := "".join(c for c in ".,;:!?" if c not in after):  # no piece goes from a letter to one of these
+            pattern = rf"{SPACE}*[^\W\d_]+(?=[{signs}])|{pattern}"
         self.units = re.compile(pattern if words else r"(?s).+")
+        self.scores = np.zeros(len(self.strings), np.int64)
+        self.scores[self.byte_ids[:128] + self.byte_ids[192:]] = self.unknown  # once for a character, at its first byte
+        for k, s in self.table.values():
+            self.scores[k] = s
+        self.trie = Trie.of(self.table)
+        self.known = {p[:k]: None for p in self.table for k in range(1, len(p))} | self.table  # None: only begins a piece
 
 
 def load_pieces(path: str) -> Pieces:
@@ -102,7 +197,7 @@ def best(pieces: Pieces, text: str, entry: list[int], own: int) -> tuple[list[in
     ``entry`` are the scores of the first positions, reached from before; pieces begin
     before ``own``. A position that is best reached from before has itself as beginning.
     """
-    n, longest, get = len(text), pieces.longest, pieces.table.get
+    n, longest, get, unknown = len(text), pieces.longest, pieces.known.get, pieces.unknown
     score = entry[: n + 1] + [NEVER] * (n + 1 - len(entry))
     begin, origin = list(range(n + 1)), list(range(n + 1))
     for i in range(min(own, n)):
@@ -110,15 +205,19 @@ def best(pieces: Pieces, text: str, entry: list[int], own: int) -> tuple[list[in
         if s <= NEVER:
             continue
         for j in range(i + 1, min(i + longest, n) + 1):
-            found = get(text[i:j])
-            if found is not None:
+            found = get(text[i:j], 0)
+            if found:
                 t = s + found[1]
             elif j == i + 1:
-                t = s + pieces.unknown
+                t = s + unknown
+            elif found == 0:  # no piece begins so
+                break
             else:
                 continue
             if t > score[j]:
                 score[j], begin[j], origin[j] = t, i, origin[i]
+            if found == 0:
+                break
     return score, begin, origin
 
 
@@ -134,25 +233,69 @@ def ids_back(pieces: Pieces, text: str, begin: list[int], end: int) -> np.ndarra
 
 
 class Units(dict):
-    """(ids as bytes, score) of units; a bounded cache."""
+    """Ids of units as bytes; a cache of two generations, ``CACHE`` units each."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.older = pieces, {}
 
-    def __missing__(self, unit: str) -> tuple[bytes, int]:
-        score, begin, _ = best(self.pieces, unit, [0], len(unit))
-        out = ids_back(self.pieces, unit, begin, len(unit)).tobytes(), score[-1]
+    def __missing__(self, unit: str) -> bytes:
+        out = self.older.get(unit) or self._encoded(unit)
         if len(unit) <= CACHED_CHARS:
-            if len(self) >= CACHE:
-                self.clear()
-            self[unit] = out
+            self._keep(unit, out)
         return out
 
 
-def units_of(pieces: Pieces) -> Units:
-    """The cache of a Python worker; workers are reused, and keep it with their copy of the pieces."""
-    return pieces.__dict__.setdefault("kept_units", Units(pieces))
+    def learn(self, units: Iterable[str]) -> None:
+        """Encodes the units that are not known yet, many at once."""
+        new = [u for u in set(units).difference(self) if len(u) <= CACHED_CHARS and u not in self.older]
+        for a in range(0, len(new), TOGETHER):
+            some = sorted(new[a : a + TOGETHER], key=len)
+            for b in range(0, len(some), TOGETHER // 8):
+                part = some[b : b + TOGETHER // 8]
+                for u, ids in zip(part, self.pieces.trie.encode(part, self.pieces.longest), strict=True):
+                    if ids is not None:
+                        self._keep(u, ids)
+
+    def _keep(self, unit: str, ids: bytes) -> None:
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[unit] = ids
+
+    def _encoded(self, unit: str) -> bytes:
+        """``best`` from the beginning to the end, with ids kept on the way."""
+        get, unknown, longest, n = self.pieces.known.get, self.pieces.unknown, self.pieces.longest, len(unit)
+        score, begin, ids = [NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        score[0] = 0
+        for i in range(n):
+            s = score[i]
+            for j in range(i + 1, min(i + longest, n) + 1):
+                found = get(unit[i:j], 0)
+                if found:
+                    k, t = found
+                    t += s
+                    if t > score[j]:
+                        score[j], begin[j], ids[j] = t, i, k
+                    continue
+                if j == i + 1 and s + unknown > score[j]:
+                    score[j], begin[j], ids[j] = s + unknown, i, -1
+                if found == 0:
+                    break
+        out, end = [], n
+        while end:
+            k = ids[end]
+            if k >= 0:
+                out.append(k)
+            else:
+                char = unit[begin[end] : end].encode("utf-8", "surrogatepass")
+                out += [self.pieces.byte_ids[b] for b in reversed(char)]
+            end = begin[end]
+        return array("i", out[::-1]).tobytes()
+
+    def score(self, units: Iterable[str]) -> int:
+        """Total score of units."""
+        return int(self.pieces.scores[np.frombuffer(b"".join(map(self.__getitem__, units)), "<i4")].sum())
 
 
 class Chunk:
@@ -160,14 +303,14 @@ class Chunk:
 
     def __init__(self, units: Units, text: str, own: int):
         self.units, self.pieces, self.text, self.own = units, units.pieces, text, min(own, len(text))
-        found = list(self.pieces.units.finditer(text))
-        self.spans = [m.span() for m in found]
+        self.spans = [m.span() for m in self.pieces.units.finditer(text)]
         if self.own < len(text):  # the last unit may go on
             starts = [a for a, _ in self.spans if 0 < a <= self.own]
         else:
             starts = [a for a, _ in self.spans if a > 0] + [len(text)] * bool(text)
         self.first, self.last = (starts[0], starts[-1]) if starts else (None, None)
         self.inner = list(pairwise(starts))
+        units.learn(text[a:b] for a, b in self.inner)
 
     def _tail(self) -> list[int]:
         score, *_ = best(self.pieces, self.text[self.last :], [0], self.own - self.last)
@@ -191,7 +334,7 @@ class Chunk:
         for s in range(min(n, self.first + 1)):
             score, *_ = best(self.pieces, self.text[s : self.first], [0], self.first - s)
             head[s] = score[-1]
-        middle = sum(self.units[self.text[a:b]][1] for a, b in self.inner)
+        middle = self.units.score(self.text[a:b] for a, b in self.inner)
         return times(head[:, None], np.array(self._tail(), np.int64)[None] + middle)
 
     def left_states(self, entry: list[int]) -> list[int]:
@@ -212,7 +355,7 @@ class Chunk:
         head = self.text[: self.first]
         _, begin, _ = best(self.pieces, head, entry, self.first)
         out = [ids_back(self.pieces, head, begin, self.first).tobytes()]
-        out += [self.units[self.text[a:b]][0] for a, b in self.inner]
+        out += [self.units[self.text[a:b]] for a, b in self.inner]
         if self.own + state > self.last:
             tail = self.text[self.last : self.own + state]
             _, begin, _ = best(self.pieces, tail, [0], self.own - self.last)
@@ -235,8 +378,14 @@ def encode_text(units: Units, text: str | None) -> bytes | None:
     """Ids of a text that is not cut."""
     if text is None:
         return None
-    whole = units.pieces.units.findall(escaped(text))
-    return b"".join([units[u][0] for u in whole])
+    return b"".join(map(units.__getitem__, units.pieces.units.findall(escaped(text))))
+
+
+def encode_texts(units: Units, texts: list[str | None]) -> list[bytes | None]:
+    """Ids of texts that are not cut, new units first."""
+    found = [None if t is None else units.pieces.units.findall(escaped(t)) for t in texts]
+    units.learn(chain.from_iterable(x for x in found if x))
+    return [None if x is None else b"".join(map(units.__getitem__, x)) for x in found]
 
 
 def _ids_array(ids: list[bytes | None]) -> pa.Array:
@@ -248,7 +397,7 @@ def _ids_array(ids: list[bytes | None]) -> pa.Array:
 
 
 def encode(
-    docs: DataFrame, pieces: Pieces, *, text: str = "text", ids: str = "token_ids", chunk_chars: int = 16_384
+    docs: DataFrame, pieces: Pieces, *, text: str = "text", ids: str = "token_ids", chunk_chars: int = 65_536
 ) -> DataFrame:
     """``docs`` with the ids of each whole text."""
     ids = fresh(docs, ids)
@@ -256,9 +405,9 @@ def encode(
     at, schema = docs.columns.index(text), extended(docs, (ids, "array<int>"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = units_of(shared.value)
-        for batch in small_batches(batches, at, 1 << 22):
-            yield with_columns(batch, schema, _ids_array([encode_text(units, t.as_py()) for t in batch.column(at)]))
+        units = Units(shared.value)
+        for batch in small_batches(batches, at, 1 << 20):
+            yield with_columns(batch, schema, _ids_array(encode_texts(units, batch.column(at).to_pylist())))
 
     size = F.length(text)
     short = docs.where(size.isNull() | (size < chunk_chars)).mapInArrow(whole, schema)
@@ -289,13 +438,13 @@ def _encode_long(long: DataFrame, shared, chunk_chars: int) -> DataFrame:
                     )
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = units_of(shared.value)
+        units = Units(shared.value)
         for batch in small_batches(batches, 2, 1 << 22):
             found = [Chunk(units, t, chunk_chars).matrix().tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], names=["uid", "k", "m"])
 
     def lefts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = units_of(shared.value)
+        units = Units(shared.value)
         for batch in small_batches(batches, 2, 1 << 22):
             found = [
                 np.array(Chunk(units, t, chunk_chars).left_states(e), np.uint16).tobytes()
@@ -304,7 +453,7 @@ def _encode_long(long: DataFrame, shared, chunk_chars: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], names=["uid", "k", "f"])
 
     def backtraces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = units_of(shared.value)
+        units = Units(shared.value)
         for batch in small_batches(batches, 2, 1 << 22):
             texts, entries, states = (batch.column(c).to_pylist() for c in (2, 3, 4))
             found = [Chunk(units, t, chunk_chars).ids(e, s) for t, e, s in zip(texts, entries, states, strict=True)]
@@ -367,11 +516,11 @@ def _encode_long(long: DataFrame, shared, chunk_chars: int) -> DataFrame:
 def decode(docs: DataFrame, pieces: Pieces, *, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """``docs`` with the text of the ids; null ids give null, control ids nothing."""
     text = fresh(docs, text)
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    shared = docs.sparkSession.sparkContext.broadcast(pieces.strings)
     at, schema = docs.columns.index(ids), extended(docs, (text, "string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = shared.value.strings
+        strings = shared.value
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)

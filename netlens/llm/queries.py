@@ -5,9 +5,8 @@ from __future__ import annotations
 import uuid
 import zlib
 
-import pandas as pd
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens.llm import decontaminate, host_quality, line_dedup, mixing, pieces, secrets, simhash, token_files, toxicity, url_filter
@@ -38,16 +37,6 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ids_crc32(ids: str) -> Column:
-    """Unsigned crc32 of ids as little-endian 32-bit integers."""
-
-    @F.pandas_udf("long")
-    def crc(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: None if x is None else zlib.crc32(x.astype("<i4").tobytes()))
-
-    return crc(F.col(ids))
-
-
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = mixing.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) != 0)
     return scores.withColumn("held_out", ~F.col("learned")).select(
@@ -143,7 +132,7 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.decode(pieces.encode(docs, model), model).select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
-        ids_crc32("token_ids").alias("ids_crc32"),
+        F.xxhash64("token_ids").alias("ids_xxhash64"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.equal_null("decoded", "text").alias("round_trip"),
     )
@@ -244,5 +233,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op4_secrets": op4_secrets, "op1_mixing": op1_mixing, "op3_url_filter": op3_url_filter, "op7_host_quality": op7_host_quality, "op2_token_files": op2_token_files, "op5_pieces": op5_pieces, "op10_decontaminate": op10_decontaminate, "op9_simhash": op9_simhash, "op6_line_dedup": op6_line_dedup, "op8_toxicity": op8_toxicity}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_token_files,
+        op3_url_filter,
+        op4_secrets,
+        op5_pieces,
+        op6_line_dedup,
+        op7_host_quality,
+        op8_toxicity,
+        op9_simhash,
+        op10_decontaminate,
+    )
+}
 SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op7_host_quality": OP7_SQL, "op6_line_dedup": OP6_SQL}

@@ -85,6 +85,18 @@ def test_equals_the_library_as_unigram_model(model):
             assert np.frombuffer(pc.encode_text(units, line), "<i4").tolist() == lib.encode(line)
 
 
+@pytest.mark.parametrize("model_name", ["ties", "words", "file"])
+def test_units_together_equal_one_at_a_time(model, model_name, monkeypatch):
+    monkeypatch.setattr(pc, "CACHE", 50)
+    m = {"ties": TIES, "words": WORDS, "file": model}[model_name]
+    rng = np.random.default_rng(5)
+    units = ["▁" * int(rng.integers(0, 3)) + "".join(rng.choice(list("aabbé.s日Tthe"), rng.integers(1, 33))) for _ in range(3000)]
+    one, many = pc.Units(m), pc.Units(m)
+    for a in range(0, 3000, 700):
+        many.learn(units[a : a + 700])
+        assert [many[u] for u in units[a : a + 700]] == [one._encoded(u) for u in units[a : a + 700]]
+
+
 def test_products_are_associative(model):
     rng = np.random.default_rng(3)
     a, b, c = (np.where(rng.random((4, 4)) < 0.3, pc.NEVER, rng.integers(-9, 0, (4, 4))) for _ in range(3))
