@@ -1,0 +1,70 @@
+import random
+from itertools import combinations
+
+import corpus_pipeline as cp
+from netlens.llm import near_copies as nc
+from netlens.llm.simhash import fingerprint
+
+SCHEMA = "doc_id long, text string, lang string"
+
+
+def grams(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute(rows):
+    """Smallest ids of the groups of all pairs."""
+    held, parent = {i: grams(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(held, 2):
+        if len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b]):
+            x, y = sorted((top(a), top(b)))
+            parent[y] = x
+    return {top(i) for i in held}
+
+
+def edited(rng, text, n):
+    words = text.split()
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"e{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def kept(spark, rows):
+    docs = spark.createDataFrame([(*r, "en") for r in rows], SCHEMA).repartition(5)
+    return sorted(r.doc_id for r in cp.drop_copies(spark, docs, "").collect())
+
+
+def test_pairs_beyond_two_bits(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    rows = []
+    for k in range(0, 240, 3):
+        base = say(rng.choice([6, 60, 150, 400]))
+        n = len(base.split())
+        rows += [(k, base), (k + 1, edited(rng, base, n // 50)), (k + 2, edited(rng, base, n // 25))]
+    rows += [(900, None), (901, ""), (902, " \n")]
+    prints = {i: fingerprint((t or "").encode()) for i, t in rows}
+    linked = [(a, a + 1) for a in range(0, 240, 3) if rows[a][1] != rows[a + 1][1] and len(brute(rows[a : a + 2])) == 1]
+    assert sum((prints[a] ^ prints[b]).bit_count() > 2 for a, b in linked) > 20
+    assert kept(spark, rows) == sorted(brute(rows))
+
+
+def test_large_group_and_runs_over_batches(spark):
+    rng = random.Random(5)
+    base = " ".join(f"w{k}" for k in range(300))
+    rows = [(k, edited(rng, base, rng.randrange(1, 9))) for k in range(400)] + [(k, base) for k in range(400, 420)]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        assert kept(spark, rows) == sorted(brute(rows))
+        nodes = spark.createDataFrame([(k, [7, 7, k]) for k in range(2000)], "id long, bands array<long>")
+        assert nc.candidates(nodes).count() <= 2 * 2000 * (nc.NEXT + 1 + 2 * nc.RUN)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
