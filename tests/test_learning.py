@@ -163,7 +163,7 @@ def test_strategy_rules(data):
         models.fit_model("rusboost", "smote", data)
     with pytest.raises(ValueError, match="class weights"):
         models.fit_model("knn", "class_weight", data)
-    with pytest.raises(ValueError, match="two classes"):
+    with pytest.raises(ValueError, match="both classes"):
         models.fit_model("focal_logistic", "baseline", data.where("y = 0"))
     assert models.available(["knn", "xgboost"]) == (["knn"], ["xgboost"])
 
