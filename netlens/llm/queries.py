@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import decontaminate, host_quality, line_dedup, mixing, pieces, secrets, simhash, token_files, toxicity, url_filter
+from netlens.llm import decontaminate, host_quality, line_dedup, manifest, mixing, pieces, secrets, simhash, token_files, toxicity, url_filter
 from netlens.llm.common import remainder, shared_folder, table
 
 
@@ -233,6 +233,68 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    plain = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = manifest.leaf_of(*map(F.col, MANIFEST_FIELDS[:-1]), plain)
+    docs = docs.withColumn("tampered", F.when(remainder(F.col("doc_id"), 3) == 0, tampered))
+    proved = manifest.manifest(docs, MANIFEST_FIELDS, keep=["tampered"])
+    folded = manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    proved = proved.withColumns({"proof_sha256": manifest.siblings_digest(F.col("proof")), "folded_root": folded})
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+def _manifest_sql(levels: int = 8, upper: int = 3) -> str:
+    """Levels one by one; enough for 8^8 documents of a language and 8^3 languages."""
+    field = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, MANIFEST_FIELDS[:-1]), field(text)]) + ")"
+    # crc32 by its table, which is the polynomial divided bit by bit
+    step = "case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
+    parts = [
+        f"""crc as (select list(c order by k) as t from (with recursive r(k, i, c) as (
+            select range::bigint, 0, range::bigint from range(256) union all select k, i + 1, {step} from r where i < 8)
+            select k, c from r where i = 8))""",
+        """sums(doc_id, c) as (select doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''),
+            lambda x: ascii(x)::bigint)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)
+            from (select distinct doc_id from documents), crc)""",
+        f"""n0 as (select coalesce('+' || lang, '') as g, row_number() over (partition by lang order by d.doc_id) - 1 as p, d.doc_id,
+            {leaf("text")} as h, case when c % 3 = 0 then {leaf(lowered)} else {leaf("text")} end as f
+            from documents d join sums using (doc_id))""",
+    ]
+
+    def tree(name: str, up_to: int) -> None:
+        for k in range(up_to):
+            parts.append(f"""{name}{k}c as (select g, p, h, count(*) over (partition by g) as c from {name}{k})""")
+            parts.append(f"""{name}{k + 1} as (select g, p // 8 as p, case when max(c) = 1 then max(h) else
+                sha256(string_agg(h, '' order by p)) end as h from {name}{k}c group by g, p // 8)""")
+            parts.append(f"""{name}{k}s as (select a.g, a.p, max(a.c) as c,
+                coalesce(string_agg(b.h, '' order by b.p) filter (b.p < a.p), '') as l,
+                coalesce(string_agg(b.h, '' order by b.p) filter (b.p > a.p), '') as r
+                from {name}{k}c a join {name}{k}c b on a.g = b.g and a.p // 8 = b.p // 8 group by a.g, a.p)""")
+
+    tree("n", levels)
+    parts.append(f"u0 as (select '' as g, row_number() over (order by g) - 1 as p, h, g as of from n{levels})")
+    tree("u", upper)
+    parts.append("f0 as (select n0.g, n0.p, doc_id, n0.h, f, '' as s, u0.p as up, u0.h as subroot from n0 join u0 on n0.g = u0.of)")
+    k = 0
+    for name, at, count in (("n", "p", levels), ("u", "up", upper)):
+        on = "s.g = x.g and" if name == "n" else ""
+        for j in range(count):
+            parts.append(f"""f{k + 1} as (select x.* replace (case when c = 1 then f else sha256(l || f || r) end as f,
+                x.s || case when c = 1 then '' else l || r end as s)
+                from f{k} x join {name}{j}s s on {on} s.p = x.{at} // {8**j})""")
+            k += 1
+    return f"""with {", ".join(parts)}
+        select doc_id, f{k}.h as leaf, subroot, u{upper}.h as root, sha256(s) as proof_sha256, f as folded_root, f = u{upper}.h as verified
+        from f{k}, u{upper}"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -246,6 +308,12 @@ QUERIES = {
         op8_toxicity,
         op9_simhash,
         op10_decontaminate,
+        op11_manifest,
     )
 }
-SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op7_host_quality": OP7_SQL, "op6_line_dedup": OP6_SQL}
+SQL: dict[str, str] = {
+    "op3_url_filter": OP3_SQL,
+    "op7_host_quality": OP7_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op11_manifest": _manifest_sql(),
+}

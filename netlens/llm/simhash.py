@@ -169,28 +169,36 @@ def links(prints: DataFrame) -> DataFrame:
     return first.where("kind is null").select("a", "b").union(_meet(second).select("a", "b")).distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 3, fingerprint: str = "fingerprint",
-    component: str = "component_id",
-) -> DataFrame:
-    """(key, fingerprint as 16 hex digits, component): the smallest id that is linked, over any number of links."""
-    keys = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
-    prints = cut_lineage(with_fingerprint(keys, "t", "fp", words).select("id", "fp"))
+def _grouped(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(id, h, fp, c) of every row: a hash of its text, its fingerprint and its component."""
+    keys = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    prints = cut_lineage(with_fingerprint(keys, "t", "fp", words).select("id", "h", "fp"))
     different = cut_lineage(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")))
     found = components(links(different))
     # written, so that the fingerprint of many copies is a plain join key that can be split
     classes = cut_lineage(
         different.join(found, different["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("c"))
     )
-    return prints.join(classes, "fp", "left").select(
+    return prints.join(classes, "fp", "left")
+
+
+def near_duplicates(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 3, fingerprint: str = "fingerprint",
+    component: str = "component_id",
+) -> DataFrame:
+    """(key, fingerprint as 16 hex digits, component): the smallest id that is linked, over any number of links."""
+    return _grouped(docs, key, text, words).select(
         F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias(fingerprint), F.col("c").alias(component)
     )
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """``docs`` without the documents whose group has one of a smaller id; rows without an id stay."""
-    mark = fresh(docs, "kept_id")
-    groups = near_duplicates(docs, key=key, text=text, words=words).toDF("id", "f", "c")
-    kept = cut_lineage(groups.where("id = c").select(F.col("id").alias(mark)).distinct())
-    stay = docs.join(kept, F.col(key) == F.col(mark), "left_semi").dropDuplicates([key])
-    return stay.unionByName(docs.where(F.col(key).isNull()))
+    """``docs`` without the documents whose group has one of a smaller id; rows without an id stay.
+
+    Of rows that share the smallest id one stays, that of the smallest text hash.
+    """
+    mark, same = fresh(docs, "kept_id"), fresh(docs, "kept_hash")
+    kept = _grouped(docs, key, text, words).where("id = c").groupBy(F.col("id").alias(mark)).agg(F.min("h").alias(same))
+    kept = cut_lineage(kept)
+    fits = (F.col(key) == F.col(mark)) & (F.xxhash64(text) == F.col(same))
+    return docs.join(kept, fits, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
