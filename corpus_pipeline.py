@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens.functions.lineage import cut_lineage
-from netlens.llm import decontaminate, line_dedup, near_copies, pieces, toxicity
+from netlens.llm import decontaminate, line_dedup, pieces, simhash, toxicity
 from netlens.llm.common import fresh, table
 
 
@@ -34,8 +34,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of texts of a five-word Jaccard similarity of 0.8 or more."""
-    return near_copies.keep_one(docs)
+    """The document of the smallest id of each SimHash group: three-word shingles, two bits at most."""
+    return simhash.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
     ("line_dedup", drop_lines),
-    ("near_copies", drop_copies),
+    ("simhash", drop_copies),
     ("decontamination", drop_leaks),
     ("sentencepiece", encode),
 ]
