@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import decontaminate, host_quality, line_dedup, manifest, mixing, pieces, secrets, simhash, token_files, toxicity, url_filter
+from netlens.llm import decontaminate, host_quality, licenses, line_dedup, manifest, mixing, pieces, secrets, simhash, token_files, toxicity, url_filter, whitening
+from netlens.llm.license_rules import default_rules
 from netlens.llm.common import remainder, shared_folder, table
 
 
@@ -295,6 +296,56 @@ def _manifest_sql(levels: int = 8, upper: int = 3) -> str:
         from f{k}, u{upper}"""
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.labelled(scanned, licenses.detections(scanned)).withColumnRenamed("key", "doc_id")
+
+
+def _licenses_sql() -> str:
+    """Every rule on every text with its keyword; suppression by comparing all detections of a text."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = ", ".join(
+        f"({k}, {text(r.label)}, {text(r.keyword)}, {text(r.regex)}, {r.priority}, {r.confidence}, {r.base})"
+        for k, r in enumerate(default_rules())
+    )
+    return rf"""
+with rules(rule, label, keyword, regex, priority, confidence, base) as (values {rules}
+), texts as (
+    select row_number() over () as uid, doc_id, regexp_replace('  ' || translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') || '  ', '[ -/:-`{-]+', '  ', 'g') as words
+    from documents
+), hits as (
+    select uid, rules.*, string_split_regex(words, regex) as gaps, regexp_extract_all(words, regex) as found
+    from texts join rules on contains(words, keyword)
+), places as (
+    select uid, rule, label, priority, confidence, base, unnest(range(len(found))) as k, unnest(found) as match, unnest(gaps[1:len(found)]) as gap
+    from hits
+), counted as (
+    select *, (length(match) - length(replace(match, ' ', ''))) // 2 as size, (length(gap) - length(replace(gap, ' ', ''))) // 2 as before from places
+), spans as (
+    select *, (sum(before + size) over (partition by uid, rule order by k))::bigint as stop from counted
+), dets as (
+    select *, stop - size as start from spans
+), judged as (
+    select d.*, not exists (select 1 from dets o where o.uid = d.uid and o.start <= d.start and o.stop >= d.stop and
+        (o.priority > d.priority or o.priority = d.priority and (o.size > d.size or o.size = d.size and o.rule < d.rule))) as kept
+    from dets d
+), per_text as (
+    select uid, count(*) filter (base) as n_base, min(start) filter (base) as first_word, max(start) filter (base) as last_word,
+        array_to_string(list_sort(list_distinct(list(label) filter (base))), ',') as base_labels,
+        array_to_string(list_sort(list_distinct(list(label) filter (base or kept))), ',') as labels,
+        max(confidence) filter (kept) as score
+    from judged group by uid
+)
+select doc_id, (length(words) - length(replace(words, ' ', ''))) // 2 - 1 as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+    coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
+from texts left join per_text using (uid)"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -309,6 +360,8 @@ QUERIES = {
         op9_simhash,
         op10_decontaminate,
         op11_manifest,
+        op12_licenses,
+        op13_whitening,
     )
 }
 SQL: dict[str, str] = {
@@ -316,4 +369,5 @@ SQL: dict[str, str] = {
     "op7_host_quality": OP7_SQL,
     "op6_line_dedup": OP6_SQL,
     "op11_manifest": _manifest_sql(),
+    "op12_licenses": _licenses_sql(),
 }
