@@ -312,7 +312,7 @@ def _licenses_sql() -> str:
 with rules(rule, label, keyword, regex, priority, confidence, base) as (values {rules}
 ), texts as (
     select row_number() over () as uid, doc_id, regexp_replace('  ' || translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-        'abcdefghijklmnopqrstuvwxyz') || '  ', '[ -/:-`{-]+', '  ', 'g') as words
+        'abcdefghijklmnopqrstuvwxyz') || '  ', '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g') as words
     from documents
 ), hits as (
     select uid, rules.*, string_split_regex(words, regex) as gaps, regexp_extract_all(words, regex) as found
