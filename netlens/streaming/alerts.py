@@ -61,7 +61,7 @@ class AlertStream:
     log_all: bool = False
     count_benign: bool = False
     columns: AlertColumns = field(default_factory=AlertColumns)
-    order: tuple[str, ...] = ("file_time", "file_name", "row_place")
+    order: tuple[str, ...] = ("file_time", "file_name", "file_place", "row_place")
     fmt: str = "parquet"
 
     def __post_init__(self):
@@ -97,7 +97,8 @@ class AlertStream:
         """ST1, ST2, IO9: resume from the checkpoint.
 
         ``reset`` starts over in a new place below it; ``tail`` skips rows of files
-        older than the first start, which is remembered with the checkpoint.
+        older than the first start, which is remembered with the checkpoint. A table
+        that grows in place (``sources.growing``) has a ``tail`` of its own.
         """
         spark = flows.sparkSession
         current = f"{checkpoint}/current"
