@@ -1,4 +1,4 @@
-"""Exact k-nearest-neighbour join (RS0).
+"""k-nearest-neighbour join (RS0), exact unless ``method="lsh"`` is asked for (``operators.lsh``).
 
 Base rows are assigned to the nearest of a bounded set of pivots; a pivot's rows
 form a cell with known count and radius. A query is first searched in its nearest
@@ -22,13 +22,14 @@ from pyspark.sql.window import Window
 
 from netlens.functions.lineage import cut_lineage
 from netlens.functions.numbers import seeded_digest
+from netlens.operators.lsh import LshParams, lsh_candidates
 
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 2048
 MAX_PIVOTS = 1024
 DISTANCE_DIGITS = 9
 
-_FOUND = "q_id bigint, b_id bigint, b_y int, d2 double"
+FOUND = "q_id bigint, b_id bigint, b_y int, d2 double"
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -40,7 +41,7 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
 
 
-def _nearest(k: int, exclude_self: bool):
+def nearest(k: int, exclude_self: bool):
     """The k nearest rows of one block for every query of one chunk."""
 
     def search(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
@@ -145,7 +146,17 @@ def _search(routed: DataFrame, blocks: DataFrame, cells: pd.DataFrame, k: int, e
         F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
     )
     key = ["cell", "block", "chunk"]
-    return q.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(_nearest(k, exclude_self), _FOUND)
+    return q.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(nearest(k, exclude_self), FOUND)
+
+
+def _named(best: DataFrame, id_col: str) -> DataFrame:
+    return best.select(
+        F.col("q_id").alias(id_col),
+        "rank",
+        F.col("b_id").alias("neighbour_id"),
+        F.col("b_y").alias("neighbour_y"),
+        F.sqrt("d2").alias("distance"),
+    )
 
 
 def knn_join(
@@ -158,17 +169,31 @@ def knn_join(
     exclude_self: bool = True,
     block_rows: int = BLOCK_ROWS,
     seed: int = 42,
+    method: str = "exact",
+    lsh: LshParams | None = None,
 ) -> DataFrame:
-    """(id, rank, neighbour_id, neighbour_y, distance): the exact k nearest base rows.
+    """(id, rank, neighbour_id, neighbour_y, distance): the k nearest base rows.
 
     Equal distances (to nine digits of the square) are settled by id. ``features``
-    are arrays of doubles; ids are integers.
+    are arrays of doubles; ids are integers. ``method="lsh"`` may miss neighbours, at
+    a rate that ``lsh`` sets; the method never follows from the size of the tables.
     """
+    if method not in ("exact", "lsh"):
+        raise ValueError(f"Unknown method of the neighbour join: {method}")
     q = queries.select(F.col(id_col).cast("long").alias("q_id"), F.col(features).alias("features"))
     b = base.select(
         F.col(id_col).cast("long").alias("b_id"), F.col(label).cast("int").alias("b_y"), F.col(features).alias("features")
     )
     b = cut_lineage(_useful_copies(b, k))
+    if method == "lsh":
+        best = cut_lineage(_best(lsh_candidates(q, b, k, exclude_self, lsh or LshParams()), k))
+        least = min(k, b.count() - exclude_self)
+        few = q.join(best.where(F.col("rank") == least).select("q_id"), "q_id", "left_anti")
+        few = cut_lineage(few.select(F.col("q_id").alias(id_col), F.col("features").alias(features)))
+        if few.isEmpty():
+            return _named(best, id_col)
+        rest = knn_join(few, base, k, id_col, features, label, exclude_self, block_rows, seed)
+        return _named(best, id_col).join(few.select(id_col), id_col, "left_anti").unionByName(rest)
     n = b.count()
     size = max(1, min(MAX_PIVOTS, n // (4 * block_rows)))
     chosen = b.orderBy(seeded_digest(seed, "b_id"), "b_id").limit(size).select("features").toPandas()  # <= MAX_PIVOTS
@@ -198,10 +223,4 @@ def knn_join(
         routed = cut_lineage(open_queries.mapInPandas(_route(pivots, cells, k, False), routed_schema))
         more = _search(routed, blocks, cells, k, exclude_self)
         best = _best(best.drop("rank").unionByName(more), k)
-    return best.select(
-        F.col("q_id").alias(id_col),
-        "rank",
-        F.col("b_id").alias("neighbour_id"),
-        F.col("b_y").alias("neighbour_y"),
-        F.sqrt("d2").alias("distance"),
-    )
+    return _named(best, id_col)

@@ -73,9 +73,9 @@ def random_undersample(df: DataFrame, seed: int = 42) -> DataFrame:
     return _rows(assign_segments(df, "id", "y", quotas, seed))
 
 
-def minority_neighbours(seeds: DataFrame, pool: DataFrame, k: int = SMOTE_K) -> DataFrame:
+def minority_neighbours(seeds: DataFrame, pool: DataFrame, k: int = SMOTE_K, method: str = "exact") -> DataFrame:
     """Seeds with ``neighbours``: the vectors of their k nearest rows of ``pool``, nearest first."""
-    found = knn_join(seeds, pool, k)
+    found = knn_join(seeds, pool, k, method=method)
     vectors = pool.select(F.col("id").alias("neighbour_id"), F.col("features").alias("vector"))
     listed = (
         found.join(vectors, "neighbour_id")
@@ -97,13 +97,14 @@ def _between(rows: DataFrame, seed: int, purpose: str, *parts: Column) -> Column
 
 
 def _synthesise(
-    df: DataFrame, seeds: DataFrame, pool: DataFrame, n: int, k: int, seed: int, purpose: str, first: int = 0
+    df: DataFrame, seeds: DataFrame, pool: DataFrame, n: int, k: int, seed: int, purpose: str, first: int = 0,
+    method: str = "exact",
 ) -> DataFrame:
     """``n`` synthetic rows from uniformly drawn seeds; ids −first−1, −first−2, …"""
     n_seeds = seeds.count()
     if n_seeds == 0 or n == 0:
         return _rows(df).limit(0)
-    ranked = class_ranks(minority_neighbours(seeds, pool, k), "id", "y", seed)
+    ranked = class_ranks(minority_neighbours(seeds, pool, k, method), "id", "y", seed)
     drawn = _draws(df, n, n_seeds, seed, purpose).join(ranked.drop("id"), "rank")
     point = _between(drawn, seed, purpose, F.col("draw"))
     return drawn.select((-F.col("draw") - first).alias("id"), "y", point.alias("features"))
@@ -117,28 +118,28 @@ def _minority(df: DataFrame, k: int) -> tuple[DataFrame, int, int]:
     return _rows(df).where(F.col("y") == minority), counts[minority], counts[majority] - counts[minority]
 
 
-def smote(df: DataFrame, seed: int = 42, k: int = SMOTE_K) -> DataFrame:
+def smote(df: DataFrame, seed: int = 42, k: int = SMOTE_K, method: str = "exact") -> DataFrame:
     """RS3: minority up to the majority count."""
     small, _, need = _minority(df, k)
-    return _rows(df).unionByName(_synthesise(df, small, small, need, k, seed, "smote"))
+    return _rows(df).unionByName(_synthesise(df, small, small, need, k, seed, "smote", method=method))
 
 
-def majority_share(df: DataFrame, k: int) -> DataFrame:
+def majority_share(df: DataFrame, k: int, method: str = "exact") -> DataFrame:
     """(id, share) of majority rows among the k nearest rows of each minority row."""
     minority, _, _ = _classes(df)
-    found = knn_join(_rows(df).where(F.col("y") == minority), _rows(df), k)
+    found = knn_join(_rows(df).where(F.col("y") == minority), _rows(df), k, method=method)
     return found.groupBy("id").agg(F.avg((F.col("neighbour_y") != minority).cast("double")).alias("share"))
 
 
-def borderline_smote(df: DataFrame, seed: int = 42, k: int = SMOTE_K, m: int = BORDER_M) -> DataFrame:
+def borderline_smote(df: DataFrame, seed: int = 42, k: int = SMOTE_K, m: int = BORDER_M, method: str = "exact") -> DataFrame:
     """RS4: seeds are minority rows with at least half, but not all, majority neighbours."""
     small, _, need = _minority(df, k)
-    danger = majority_share(df, m).where("share >= 0.5 and share < 1").select("id")
+    danger = majority_share(df, m, method).where("share >= 0.5 and share < 1").select("id")
     seeds = cut_lineage(small.join(danger, "id", "left_semi"))
-    return _rows(df).unionByName(_synthesise(df, seeds, small, need, k, seed, "border"))
+    return _rows(df).unionByName(_synthesise(df, seeds, small, need, k, seed, "border", method=method))
 
 
-def svm_smote(df: DataFrame, seed: int = 42, k: int = SMOTE_K) -> DataFrame:
+def svm_smote(df: DataFrame, seed: int = 42, k: int = SMOTE_K, method: str = "exact") -> DataFrame:
     """RS5: seeds are minority rows on or inside the margin of a linear SVM."""
     small, _, need = _minority(df, k)
     minority, _, _ = _classes(df)
@@ -147,10 +148,10 @@ def svm_smote(df: DataFrame, seed: int = 42, k: int = SMOTE_K) -> DataFrame:
     margin = vector_to_array("rawPrediction")[1]
     support = svm.transform(points.where("label = 1")).where(margin <= 1).select("id")
     seeds = cut_lineage(small.join(support, "id", "left_semi"))
-    return _rows(df).unionByName(_synthesise(df, seeds, small, need, k, seed, "svm"))
+    return _rows(df).unionByName(_synthesise(df, seeds, small, need, k, seed, "svm", method=method))
 
 
-def kmeans_smote(df: DataFrame, seed: int = 42, k: int = SMOTE_K, clusters: int = 8) -> DataFrame:
+def kmeans_smote(df: DataFrame, seed: int = 42, k: int = SMOTE_K, clusters: int = 8, method: str = "exact") -> DataFrame:
     """RS6: SMOTE inside clusters with more than the overall minority share.
 
     A cluster's part grows with its sparsity: root mean squared distance between
@@ -184,29 +185,29 @@ def kmeans_smote(df: DataFrame, seed: int = 42, k: int = SMOTE_K, clusters: int
     out, first = _rows(df), 0
     for c, n in quota.items():
         inside = placed.where((F.col("cluster") == c) & is_small).select("id", "y", "features")
-        out = out.unionByName(_synthesise(df, inside, inside, n, k, seed, f"kmeans{c}", first))
+        out = out.unionByName(_synthesise(df, inside, inside, n, k, seed, f"kmeans{c}", first, method))
         first += n
     return out
 
 
-def adasyn_quotas(df: DataFrame, k: int = SMOTE_K) -> DataFrame:
+def adasyn_quotas(df: DataFrame, k: int = SMOTE_K, method: str = "exact") -> DataFrame:
     """RS7, first part: (id, share, copies) per minority row."""
     _, _, need = _minority(df, k)
-    share = cut_lineage(majority_share(df, k))
+    share = cut_lineage(majority_share(df, k, method))
     total = share.agg(F.sum("share")).first()[0]
     if not total:
         raise ValueError("No minority row has a majority neighbour.")
     return share.withColumn("copies", F.rint(F.col("share") / F.lit(total) * need).cast("long"))
 
 
-def adasyn(df: DataFrame, seed: int = 42, k: int = SMOTE_K) -> DataFrame:
+def adasyn(df: DataFrame, seed: int = 42, k: int = SMOTE_K, method: str = "exact") -> DataFrame:
     """RS7: more synthetic rows where the majority surrounds; totals about balanced.
 
     A row with many copies is first cut into chunks that are spread over tasks.
     """
     small, _, _ = _minority(df, k)
-    quotas = adasyn_quotas(df, k).where("copies > 0")
-    seeds = minority_neighbours(small, small, k).join(quotas.select("id", "copies"), "id")
+    quotas = adasyn_quotas(df, k, method).where("copies > 0")
+    seeds = minority_neighbours(small, small, k, method).join(quotas.select("id", "copies"), "id")
     seeds = class_ranks(seeds, "id", "y", seed)
     chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / CHUNK))).alias("chunk")
     spread = seeds.select("*", chunk).repartition(F.col("id"), F.col("chunk"))
@@ -219,33 +220,33 @@ def adasyn(df: DataFrame, seed: int = 42, k: int = SMOTE_K) -> DataFrame:
     return _rows(df).unionByName(made.select((-number).alias("id"), "y", "features"))
 
 
-def drop_tomek_links(df: DataFrame) -> DataFrame:
+def drop_tomek_links(df: DataFrame, method: str = "exact") -> DataFrame:
     """RS9, second part: both rows of mutual nearest neighbours of different class go."""
     rows = _rows(df)
     nearest = cut_lineage(
-        knn_join(rows, rows, 1).join(rows.select("id", "y"), "id").select("id", "y", "neighbour_id", "neighbour_y")
+        knn_join(rows, rows, 1, method=method).join(rows.select("id", "y"), "id").select("id", "y", "neighbour_id", "neighbour_y")
     )
     back = nearest.select(F.col("id").alias("neighbour_id"), F.col("neighbour_id").alias("id"))
     linked = nearest.where("y <> neighbour_y").join(back, ["id", "neighbour_id"]).select("id")
     return rows.join(linked, "id", "left_anti")
 
 
-def smote_tomek(df: DataFrame, seed: int = 42) -> DataFrame:
+def smote_tomek(df: DataFrame, seed: int = 42, method: str = "exact") -> DataFrame:
     """RS9."""
-    return drop_tomek_links(cut_lineage(smote(df, seed)))
+    return drop_tomek_links(cut_lineage(smote(df, seed, method=method)), method)
 
 
-def drop_noisy(df: DataFrame, k: int = ENN_K) -> DataFrame:
+def drop_noisy(df: DataFrame, k: int = ENN_K, method: str = "exact") -> DataFrame:
     """RS10, second part: rows whose k neighbours do not all share their class go."""
     rows = _rows(df)
-    votes = knn_join(rows, rows, k).join(rows.select("id", "y"), "id")
+    votes = knn_join(rows, rows, k, method=method).join(rows.select("id", "y"), "id")
     noisy = votes.groupBy("id").agg(F.max((F.col("neighbour_y") != F.col("y")).cast("int")).alias("other"))
     return rows.join(noisy.where("other = 1").select("id"), "id", "left_anti")
 
 
-def smote_enn(df: DataFrame, seed: int = 42) -> DataFrame:
+def smote_enn(df: DataFrame, seed: int = 42, method: str = "exact") -> DataFrame:
     """RS10."""
-    return drop_noisy(cut_lineage(smote(df, seed)))
+    return drop_noisy(cut_lineage(smote(df, seed, method=method)), method=method)
 
 
 SAMPLERS = {
@@ -262,13 +263,15 @@ SAMPLERS = {
 UNSAMPLED = ("baseline", "class_weight")  # RS1
 
 
-def resample(df: DataFrame, strategy: str, seed: int = 42) -> DataFrame:
-    """RS1-RS11: the frame after ``strategy``."""
+def resample(df: DataFrame, strategy: str, seed: int = 42, method: str = "exact") -> DataFrame:
+    """RS1-RS11: the frame after ``strategy``; ``method`` is that of the neighbour join."""
     if strategy in UNSAMPLED:
         return _rows(df)
     if strategy not in SAMPLERS:
         raise ValueError(f"Unknown sampling strategy: {strategy}")
-    return SAMPLERS[strategy](df, seed)
+    if strategy in ("random_oversample", "random_undersample"):
+        return SAMPLERS[strategy](df, seed)
+    return SAMPLERS[strategy](df, seed, method=method)
 
 
 def resampling_summary(before: DataFrame, after: DataFrame) -> DataFrame:
