@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 import tempfile
-import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 
-_open = threading.local()
+_open: ContextVar[list[str] | None] = ContextVar("open", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,21 +36,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/netlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if getattr(_open, "paths", None) is not None:
-        _open.paths.append(path)
+    if (paths := _open.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Copies made inside are deleted at the end; results must be written before."""
-    outer, _open.paths = getattr(_open, "paths", None), []
+    paths: list[str] = []
+    outer = _open.set(paths)
     try:
         yield
     finally:
-        for path in _open.paths:
+        _open.reset(outer)
+        for path in paths:
             delete_path(spark, path)
-        _open.paths = outer
+
+
+def side_by_side(run: Callable, items: Iterable, workers: int) -> list:
+    """Independent Spark jobs in threads, whose copies belong to the caller's ``scratch``."""
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+        waiting = [pool.submit(copy_context().run, run, x) for x in items]
+        return [w.result() for w in waiting]
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -2,14 +2,14 @@
 
 Models train on ``features`` (array), ``y`` and optionally ``weight``; scoring
 adds ``score`` in [0, 1]. Differences from the usual single-machine learners:
-trees are at most 30 deep and choose split points from ``max_bins`` histogram bins, and the intercept of logistic regression is not penalised.
+trees other than the extra trees are at most 30 deep and choose split points from
+``max_bins`` histogram bins, and the intercept of logistic regression is not penalised.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import (
@@ -23,12 +23,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlens.functions.lineage import cut_lineage
+from netlens.functions.lineage import cut_lineage, side_by_side
 from netlens.operators.boosting import boosted_stumps, flat, score_column
 from netlens.operators.knn import knn_join
 from netlens.operators.metrics import min_max_scores
 from netlens.operators.ranks import class_counts
 from netlens.operators.resample import random_undersample
+from netlens.operators.trees import extra_trees, importances, score_trees
 
 # Neighbours of the knn model and focusing exponent of the focal loss.
 KNN_K, FOCAL_GAMMA = 7, 2.0
@@ -86,7 +87,7 @@ class Fitted:
     """A trained model: Spark ML models with a rule that turns them into a score."""
 
     name: str
-    kind: str  # probability, margin, boosted, neighbours, pipeline
+    kind: str  # probability, margin, boosted, neighbours, trees, pipeline
     models: list = field(default_factory=list)
     stumps: list[list[float]] = field(default_factory=list)
     bounds: tuple[float, float] | None = None
@@ -103,6 +104,8 @@ class Fitted:
             scored = self.models[0].transform(df)
             made = _probability if "probability" in scored.columns else label_score
             return made(self.models[0], df, "score")
+        if self.kind == "trees":
+            return score_trees(df, self.base)
         if self.kind == "boosted":
             return df.withColumn("score", score_column(self.stumps))
         out = df.withColumn("_v", array_to_vector("features"))
@@ -125,8 +128,10 @@ class Fitted:
         low, high = self.bounds
         return math.nextafter(-low / (high - low), math.inf) if high > low else 0.5
 
-    def importances(self) -> list[float] | None:
-        """Mean feature importances, for models that have them."""
+    def importances(self, width: int) -> list[float] | None:
+        """Mean importances of ``width`` features, for models that have them."""
+        if self.kind == "trees":
+            return importances(self.base, width)
         found = [m.featureImportances.toArray() for m in self.models if hasattr(m, "featureImportances")]
         return list(sum(found) / len(found)) if found and self.kind == "probability" else None
 
@@ -199,10 +204,10 @@ def fit_decision_tree(df: DataFrame, s: Settings, seed: int) -> Fitted:
     return Fitted("decision_tree", "probability", [tree.fit(_points(df))])
 
 
-def _forest(df: DataFrame, s: Settings, seed: int, trees: int, bootstrap: bool = True):
+def _forest(df: DataFrame, s: Settings, seed: int, trees: int):
     return RandomForestClassifier(
         **_common(), numTrees=trees, maxDepth=s.forest_depth, maxBins=s.max_bins, seed=seed,
-        bootstrap=bootstrap, featureSubsetStrategy="sqrt", maxMemoryInMB=1024,
+        featureSubsetStrategy="sqrt", maxMemoryInMB=1024,
     ).fit(_points(df))
 
 
@@ -212,8 +217,8 @@ def fit_random_forest(df: DataFrame, s: Settings, seed: int) -> Fitted:
 
 
 def fit_extra_trees(df: DataFrame, s: Settings, seed: int) -> Fitted:
-    """MD7: whole sample per tree, random feature subsets; split points are not random."""
-    return Fitted("extra_trees", "probability", [_forest(df, s, seed, s.extra_trees, bootstrap=False)])
+    """MD7: whole sample per tree, random feature subsets and cuts, no depth limit."""
+    return Fitted("extra_trees", "trees", base=extra_trees(df, s.extra_trees, seed))
 
 
 def fit_gradient_boosting(df: DataFrame, s: Settings, seed: int) -> Fitted:
@@ -245,8 +250,7 @@ def fit_balanced_forest(df: DataFrame, s: Settings, seed: int) -> Fitted:
 
 def _each_bag(fit: Callable[[int], object], bags: int, s: Settings) -> list:
     """Bags are independent Spark jobs; a few run side by side."""
-    with ThreadPoolExecutor(max_workers=s.parallel_bags) as pool:
-        return list(pool.map(fit, range(bags)))
+    return side_by_side(fit, range(bags), s.parallel_bags)
 
 
 def fit_easy_ensemble(df: DataFrame, s: Settings, seed: int) -> Fitted:
