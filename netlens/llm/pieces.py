@@ -47,7 +47,7 @@ from netlens.llm.common import cut_lineage, extended, fresh, small_batches, with
 SPACE = "▁"
 NEVER = -(1 << 60)
 BLOCK = 64
-CACHE = 100_000
+CACHE = 200_000
 CACHED_CHARS = 32
 TOGETHER = 8192
 
@@ -154,7 +154,7 @@ class Pieces:
         letter = re.compile(r"[^\W\d_]")
         after = {b for p in self.table for a, b in pairwise(p) if letter.match(a)}
         if signs := "".join(c for c in ".,;:!?" if c not in after):  # no piece goes from a letter to one of these
-            pattern = rf"{SPACE}*[^\W\d_]+(?=[{signs}])|{pattern}"
+            pattern = rf"{SPACE}*+[^\W\d_]++(?=[{signs}])|{pattern}"
         self.units = re.compile(pattern if words else r"(?s).+")
         self.scores = np.zeros(len(self.strings), np.int64)
         self.scores[self.byte_ids[:128] + self.byte_ids[192:]] = self.unknown  # once for a character, at its first byte
@@ -164,6 +164,15 @@ class Pieces:
         self.known = {p[:k]: None for p in self.table for k in range(1, len(p))} | self.table  # None: only begins a piece
 
 
+    def __getstate__(self):
+        """Only the file's content travels; each worker process builds the tables that follow from it."""
+        return self.table, self.byte_ids, self.strings, self.unknown, self.longest
+
+    def __setstate__(self, state):
+        self.table, self.byte_ids, self.strings, self.unknown, self.longest = state
+        self.__post_init__()
+
+
 def load_pieces(path: str) -> Pieces:
     """Pieces of a SentencePiece model file with byte fallback and an identity normalizer."""
     from sentencepiece import SentencePieceProcessor
@@ -397,17 +406,24 @@ def _ids_array(ids: list[bytes | None]) -> pa.Array:
 
 
 def encode(
-    docs: DataFrame, pieces: Pieces, *, text: str = "text", ids: str = "token_ids", chunk_chars: int = 65_536
-) -> DataFrame:
-    """``docs`` with the ids of each whole text."""
+    docs: DataFrame, pieces: Pieces, *, text: str = "text", ids: str = "token_ids", chunk_chars: int = 65_536,
+    decoded: str | None = None,
+) -> DataFrame:
+    """``docs`` with the ids of each whole text; ``decoded`` adds the text that the ids give, in the same pass."""
     ids = fresh(docs, ids)
+    fields = [(ids, "array<int>")]
+    if decoded:
+        decoded = fresh(docs, decoded)
+        fields.append((decoded, "string"))
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # a model file
-    at, schema = docs.columns.index(text), extended(docs, (ids, "array<int>"))
+    at, schema = docs.columns.index(text), extended(docs, *fields)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(shared.value)
         for batch in small_batches(batches, at, 1 << 20):
-            yield with_columns(batch, schema, _ids_array(encode_texts(units, batch.column(at).to_pylist())))
+            found = encode_texts(units, batch.column(at).to_pylist())
+            more = [pa.array(_texts_of(shared.value, found), pa.string())] if decoded else []
+            yield with_columns(batch, schema, _ids_array(found), *more)
 
     size = F.length(text)
     short = docs.where(size.isNull() | (size < chunk_chars)).mapInArrow(whole, schema)
@@ -416,7 +432,8 @@ def encode(
     found = _encode_long(long.select(F.col(uid).alias("uid"), F.col(text).alias("t")), shared, chunk_chars)
     found = found.toDF(f"{uid}_of", f"{uid}_ids")
     joined = long.join(found, F.col(uid) == F.col(f"{uid}_of"), "left")
-    return short.union(joined.select(*(f"`{c}`" for c in docs.columns), f"{uid}_ids"))
+    encoded = joined.select(*(f"`{c}`" for c in docs.columns), F.col(f"{uid}_ids").alias(ids))
+    return short.union(decode(encoded, pieces, ids=ids, text=decoded) if decoded else encoded)
 
 
 def _encode_long(long: DataFrame, shared, chunk_chars: int) -> DataFrame:
@@ -513,21 +530,26 @@ def _encode_long(long: DataFrame, shared, chunk_chars: int) -> DataFrame:
     return parts.groupBy("uid").agg(F.flatten(F.transform(order, lambda x: x["part"])).alias("ids"))
 
 
+def _texts_of(pieces: Pieces, ids: list[bytes | None]) -> list[str | None]:
+    """Texts of ids as bytes."""
+    get = pieces.strings.__getitem__
+    return [
+        None if x is None else b"".join(map(get, np.frombuffer(x, "<i4").tolist())).removeprefix(b" ").decode(errors="replace")
+        for x in ids
+    ]
+
+
 def decode(docs: DataFrame, pieces: Pieces, *, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """``docs`` with the text of the ids; null ids give null, control ids nothing."""
     text = fresh(docs, text)
-    shared = docs.sparkSession.sparkContext.broadcast(pieces.strings)
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
     at, schema = docs.columns.index(ids), extended(docs, (text, "string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = shared.value
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                found = [
-                    b"".join(map(strings.__getitem__, x.as_py())).removeprefix(b" ").decode(errors="replace") if x.is_valid else None
-                    for x in batch.column(at)
-                ]
-                yield with_columns(batch, schema, pa.array(found, pa.string()))
+                found = [x.values.to_numpy().astype("<i4").tobytes() if x.is_valid else None for x in batch.column(at)]
+                yield with_columns(batch, schema, pa.array(_texts_of(shared.value, found), pa.string()))
 
     return docs.mapInArrow(run, schema)

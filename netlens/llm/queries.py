@@ -130,7 +130,7 @@ from judged where own
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.decode(pieces.encode(docs, model), model).select(
+    return pieces.encode(docs, model, decoded="decoded").select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.xxhash64("token_ids").alias("ids_xxhash64"),
