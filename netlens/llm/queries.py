@@ -30,6 +30,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.verify(found, model).select(
         F.col("key").alias("doc_id"),
         "position",
+        "part",
         F.sha2("value", 256).alias("value_sha256"),
         held_out.alias("held_out"),
         label.alias("label"),
@@ -71,25 +72,41 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def _attribute_sql(name: str) -> str:
+    pattern = rf"""(?is)[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
+    return "trim(" + " || ".join(f"regexp_extract(tag, '{pattern}', {k})" for k in (1, 2, 3)) + ")"
+
+
 OP3_SQL = r"""
 with recursive base as (
     select page_id, url, html, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
     from pages
+), tags as (
+    select page_id, url, host, path, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) as tag from base
+), attributes as (
+    select *, tag ilike '<link%' as link, {rel} as rel, {property} as property, {equiv} as equiv, {href} as href, {content} as content from tags
 ), raw as (
-    select page_id, url, host, unnest([
-        regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
-            '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-        regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bproperty\s*=\s*["'']?og:url\b[^>]*>'),
-            '(?is)\bcontent\s*=\s*["'']?([^"''\s>]+)', 1),
-        regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'),
-            '(?is)\burl\s*=\s*[''"]?([^"''\s>]+)', 1)]) as x
-    from base
+    select page_id, url, host, path, case when link and list_contains(regexp_split_to_array(lower(rel), '\s+'), 'canonical') then href
+        when not link and lower(property) = 'og:url' then content
+        when not link and lower(equiv) = 'refresh' then regexp_extract(content, '(?is)\burl\s*=\s*[''"]?([^"''\s>]+)', 1) end as x
+    from attributes
+), split as (
+    select page_id, url, path, x, regexp_extract(url, '(?s)^(.*?)://', 1) as scheme, host, regexp_extract(x, '(?s)^[^?#]*') as xpath
+    from raw where x <> ''
+), merged as (
+    select *, case when xpath like '/%' then xpath else regexp_replace('/' || regexp_replace(path, '^/', ''), '[^/]*$', '') || xpath end as whole
+    from split
 ), goals as (
-    select page_id, case when x like '//%' then regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || x
-        when x like '/%' then regexp_extract(url, '(?s)^(.*?)://', 1) || '://' || host || x
-        when contains(x, '://') then x end as url
-    from raw
+    select page_id, case when x like '#%' then null
+        when regexp_matches(x, '(?s)^[A-Za-z][A-Za-z0-9+.-]*://') then x
+        when x like '//%' then scheme || ':' || x
+        when regexp_matches(x, '(?s)^[A-Za-z][A-Za-z0-9+.-]*:') then null
+        when x like '?%' then scheme || '://' || host || path || x
+        else scheme || '://' || host || list_reduce(list_prepend('', string_split(whole, '/')[2:]), lambda d, p: case
+            when p = '..' then regexp_replace(d, '/[^/]*$', '') when p = '.' then d else d || '/' || p end)
+            || case when regexp_matches(whole, '(?s)/\.\.?$') then '/' else '' end || substr(x, length(xpath) + 1) end as url
+    from merged
 ), urls as (
     select page_id, url, true as own from base union all select page_id, url, false from goals where url is not null
 ), parsed as (
@@ -125,6 +142,8 @@ select page_id, host, path, rule,
     coalesce(verdict, case when node in (select node from bad) then 'block' else 'allow' end) as verdict
 from judged where own
 """
+for _name, _attribute in (("rel", "rel"), ("property", "property"), ("equiv", "http-equiv"), ("href", "href"), ("content", "content")):
+    OP3_SQL = OP3_SQL.replace("{" + _name + "}", _attribute_sql(_attribute))
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """Secret candidates, and a random forest that removes false positives.
 
-DataFrame functions and Spark ML only. A candidate is a run of ``min_chars`` or more
-of ``[A-Za-z0-9+/_.-]`` (with ``=`` at its end) that holds a digit, at the end of a
-word. Features of a candidate:
+DataFrame functions and Spark ML only. Words are cut at ``= : @ & , ; |``, quotes and
+brackets; every part, without punctuation at its ends, is a candidate if it has
+``min_chars`` characters and a digit or sixteen capitals in front, or if it has ``named_chars`` characters and what
+stands before it names a secret and assigns it (``password=``, ``token :``). So all values
+of query strings, addresses with credentials, lists and minified objects are found. A
+word is cut in one pass; of its neighbours only ``CONTEXT`` characters are kept, so very
+long words take time in proportion to their length. Features of a candidate:
 
 * length, shares of digits, capitals, small letters and other characters, different
   characters, and entropy;
@@ -19,7 +23,7 @@ hash, in one partition, so that it repeats exactly. Rows are never gathered by t
 a text's candidates are found inside its row. The table of dictionary words is only
 joined to the letter runs of candidates.
 
-Null and empty texts have no candidates. Null keys and paths are kept. Findings
+Null and empty texts have no candidates; very long ones are cut whole. Null keys and paths are kept. Findings
 whose label is null are not learned from; without both classes every finding is kept
 with the share of the labels (1 without any). Repeated rows give repeated findings.
 Other columns are not read. Empty tables give empty results.
@@ -38,7 +42,9 @@ from pyspark.sql import functions as F
 from netlens.llm.common import cut_lineage
 
 WHITE = r"[\x20\x09-\x0D]+"
-VALUE = r"([A-Za-z0-9+/_.-]{%d,}={0,2})[^A-Za-z0-9]*$"
+PART = r"""[^=:@&,;|"'`()\[\]{}<>]+"""
+EDGES = "!#$%*+-./?\\^_~"
+CONTEXT = 80
 #: Words that name a secret, and words of examples.
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential"
 EXAMPLES = "example|sample|dummy|test|fixture|placeholder|changeme|lorem"
@@ -47,6 +53,7 @@ EXAMPLES = "example|sample|dummy|test|fixture|placeholder|changeme|lorem"
 @dataclass(frozen=True)
 class SecretParams:
     min_chars: int = 12
+    named_chars: int = 6
     min_texts: int = 5
     per_class: int = 10_000
     trees: int = 40
@@ -61,8 +68,10 @@ def bound(value: Column, body) -> Column:
 
 
 def candidates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: str = "source", params: SecretParams | None = None) -> DataFrame:
-    """(key, position, value, before, name, after, path) of all candidates; ``position`` counts words from 0."""
-    value = VALUE % (params or SecretParams()).min_chars
+    """(key, position, part, value, before, name, prior, after, path) of all candidates; words and their parts count from 0."""
+    p = params or SecretParams()
+    tail, head = (lambda c: F.right(c, F.lit(CONTEXT))), (lambda c: F.left(c, F.lit(CONTEXT)))
+    assigned = rf"(?:{NAMES})\W{{0,4}}[=:]\W{{0,4}}$"
 
     def found(words: Column) -> Column:
         each = F.transform(
@@ -70,29 +79,39 @@ def candidates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path
             lambda w, i: F.struct(
                 i.alias("position"),
                 w.alias("word"),
-                F.get(words, i - 2).alias("far"),
-                F.get(words, i - 1).alias("near"),
-                F.get(words, i + 1).alias("after"),
+                F.lower(tail(F.concat_ws(" ", tail(F.get(words, i - 2)), tail(F.get(words, i - 1))))).alias("near"),
+                F.lower(tail(F.coalesce(F.get(words, i - 1), F.lit("")))).alias("prior"),
+                F.lower(head(F.coalesce(F.get(words, i + 1), F.lit("")))).alias("after"),
+            ),
+        )
+        return F.filter(each, lambda x: x["word"].rlike("[0-9]|[=:]") | x["near"].rlike(assigned))
+
+    def parts(word: Column) -> Column:
+        cut = F.struct(F.regexp_extract_all(word, F.lit(PART), F.lit(0)).alias("p"), F.split(word, PART, -1).alias("g"))
+        text_of = lambda array, k: F.coalesce(F.get(array, k), F.lit(""))
+        return bound(
+            cut,
+            lambda c: F.transform(
+                c["p"],
+                lambda x, k: F.struct(
+                    k.alias("part"),
+                    F.btrim(x, F.lit(EDGES)).alias("value"),
+                    tail(
+                        F.concat(tail(text_of(c["p"], k - 2)), text_of(c["g"], k - 1), tail(text_of(c["p"], k - 1)), text_of(c["g"], k))
+                    ).alias("before"),
+                ),
             ),
         )
-        return F.filter(each, lambda x: x["word"].rlike("[0-9]") & F.regexp_extract(x["word"], value, 1).rlike("[0-9]"))
 
     words = F.filter(F.split(F.col(text), WHITE), lambda w: w != "")
-    rows = docs.where(F.col(text).rlike("[0-9]")).select(
-        F.col(key).alias("key"), F.col(path).alias("path"), F.explode(bound(words, found)).alias("x")
-    )
-    own = F.regexp_extract("x.word", value, 1)
-    before = F.regexp_extract("x.word", r"^(.*?)" + value, 1)
-    return rows.select(
-        "key",
-        F.col("x.position").cast("long").alias("position"),
-        own.alias("value"),
-        before.alias("before"),
-        F.lower(F.concat_ws(" ", "x.far", "x.near", before)).alias("name"),
-        F.lower(F.coalesce("x.near", F.lit(""))).alias("prior"),
-        F.lower(F.coalesce("x.after", F.lit(""))).alias("after"),
-        "path",
-    )
+    rows = docs.select(F.col(key).alias("key"), F.col(path).alias("path"), F.explode(bound(words, found)).alias("x"))
+    name = F.concat_ws(" ", "x.near", F.lower("y.before"))
+    cells = rows.select("key", "path", "x", F.explode(parts(F.col("x.word"))).alias("y")).select(
+        "key", F.col("x.position").cast("long").alias("position"), F.col("y.part").cast("long").alias("part"), F.col("y.value").alias("value"),
+        F.col("y.before").alias("before"), name.alias("name"), F.col("x.prior").alias("prior"), F.col("x.after").alias("after"), "path",
+    )
+    long = (F.length("value") >= p.min_chars) & F.col("value").rlike("[0-9]|^[A-Z]{16}")
+    return cells.where(long | ((F.length("value") >= p.named_chars) & F.col("name").rlike(rf"(?:{NAMES})\W{{0,4}}[=:]\W{{0,4}}$")))
 
 
 def dictionary(docs: DataFrame, runs: DataFrame, text: str, min_texts: int) -> DataFrame:
@@ -158,7 +177,7 @@ def fit(rows: DataFrame, label: Column, params: SecretParams | None = None) -> R
     p = params or SecretParams()
     names = feature_names(rows)
     marked = rows.withColumn("label", label.cast("double")).where("label in (0, 1)")
-    order = [F.xxhash64("key", "position", "value", F.lit(p.seed)), *(F.col(c) for c in names)]
+    order = [F.xxhash64("key", "position", "part", "value", F.lit(p.seed)), *(F.col(c) for c in names)]
     parts = [marked.where(F.col("label") == y).orderBy(*order).limit(p.per_class).select("label", *names) for y in (0, 1)]
     sample = cut_lineage(parts[0].union(parts[1]))
     share = sample.agg(F.avg("label")).first()[0]

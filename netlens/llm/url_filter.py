@@ -3,14 +3,17 @@
 DataFrame functions only. A rule is a host (with all its subdomains) and a beginning
 of the path; the longest rule decides a url. Urls without a rule of their own take
 the decision of their redirect class: urls are nodes, redirects and canonical links
-(``<link rel=canonical>``, ``<meta http-equiv=refresh>``, ``og:url``) are links, and
-the classes are the connected components. A class in which any url is blocked by a
+(``<link rel=canonical>``, ``<meta http-equiv=refresh>``, ``og:url``; all of a page's
+tags, whatever else their lists of relations name) are links, and the classes are the
+connected components. A class in which any url is blocked by a
 rule is blocked, except for the urls that a rule allows: an explicit allow always
 wins. Everything else is allowed.
 
 Urls that differ only in the scheme, the fragment, ``utm_`` parameters, a slash at
-the end of the path or the case of the host are one node. Targets may be absolute,
-without a scheme (``//host/``) or begin with ``/``; others are left out.
+the end of the path or the case of the host are one node. Targets are resolved against
+their page: absolute ones, ``//host/``, ``/path``, ``?query``, and relative paths with
+``.`` and ``..``. Empty ones, fragments of the page itself and schemes without ``://``
+(``mailto:``) are no targets; entities in attributes are not decoded.
 
 A null url, or one without ``://``, has an empty host and path, no rule and no node,
 and is allowed. Of rules of equal length an allowing one wins, then the longer host.
@@ -60,35 +63,57 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
     return chosen
 
 
-def targets_of(html: Column, url: Column) -> Column:
-    """Absolute targets of a page's redirect and canonical link."""
-    quoted = r"""\s*=\s*["']?"""
-    end = r"""[^"'\s>]+"""
-    canonical = F.regexp_extract(html, rf"(?is)<link\b[^>]*\brel{quoted}canonical\b[^>]*>", 0)
-    og = F.regexp_extract(html, rf"(?is)<meta\b[^>]*\bproperty{quoted}og:url\b[^>]*>", 0)
-    refresh = F.regexp_extract(html, rf"(?is)<meta\b[^>]*\bhttp-equiv{quoted}refresh\b[^>]*>", 0)
-    found = F.array(
-        F.regexp_extract(canonical, rf"(?is)\bhref{quoted}({end})", 1),
-        F.regexp_extract(og, rf"(?is)\bcontent{quoted}({end})", 1),
-        F.regexp_extract(refresh, rf"(?is)\burl\s*=\s*['\"]?({end})", 1),
-    )
+def _attribute(tag: Column, name: str) -> Column:
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.trim(F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3))))
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The target of a link on the page ``url``, as a whole url; null if it has none."""
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    whole = lambda x: (
-        F.when(x.startswith("//"), F.concat(scheme, F.lit(":"), x))
-        .when(x.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), x))
-        .when(F.contains(x, F.lit("://")), x)
+    site = F.concat(scheme, F.lit("://"), host_of(url))
+    path = F.regexp_extract(target, r"(?s)^[^?#]*", 0)
+    rest = F.substr(target, F.length(path) + 1)
+    folder = F.regexp_replace(F.concat(F.lit("/"), F.regexp_replace(path_of(url), "^/", "")), r"[^/]*$", "")
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
+    step = lambda done, part: (
+        F.when(part == "..", F.regexp_replace(done, r"/[^/]*$", "")).when(part == ".", done).otherwise(F.concat(done, F.lit("/"), part))
+    )
+    parts = F.split(whole, "/")
+    clean = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.lit(""), step)
+    clean = F.concat(clean, F.when(whole.rlike(r"(?s)/\.\.?$"), "/").otherwise(""))
+    return (
+        F.when((target == "") | target.startswith("#"), None)
+        .when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(target.startswith("?"), F.concat(site, path_of(url), target))
+        .otherwise(F.concat(site, clean, rest))
+    )
+
+
+def targets_of(html: Column, url: Column) -> Column:
+    """Whole urls that a page redirects to or names as its canonical one."""
+    tags = lambda name: F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
+    canonical = F.filter(tags("link"), lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"))
+    og = F.filter(tags("meta"), lambda t: F.lower(_attribute(t, "property")) == "og:url")
+    refresh = F.filter(tags("meta"), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
+    found = F.concat(
+        F.transform(canonical, lambda t: _attribute(t, "href")),
+        F.transform(og, lambda t: _attribute(t, "content")),
+        F.transform(refresh, lambda t: F.regexp_extract(_attribute(t, "content"), r"""(?is)\burl\s*=\s*['"]?([^"'\s>]+)""", 1)),
     )
-    return F.filter(F.transform(found, whole), lambda x: x.isNotNull())
+    return F.filter(F.transform(found, lambda x: resolved(x, url)), lambda x: x.isNotNull())
 
 
 def judge(
     pages: DataFrame, rules: list[tuple[str, str, str]], *, key: str = "page_id", url: str = "url", html: str | None = "html"
 ) -> DataFrame:
     """(key, host, path, rule, verdict) of every page."""
-    u = F.col(url)
+    u, none = F.col(url), F.array().cast("array<string>")
     rows = pages.select(
         F.col(key).alias("id"), host_of(u).alias("host"), path_of(u).alias("path"), node_of(u).alias("node"),
-        (targets_of(F.col(html), u) if html else F.array().cast("array<string>")).alias("targets"),
+        (F.coalesce(targets_of(F.col(html), u), none) if html else none).alias("targets"),
     )
     rows = cut_lineage(rows.withColumn("own", rule_for(F.col("host"), F.col("path"), rules)))
     goals = rows.where("node is not null").select("node", F.explode("targets").alias("target"))

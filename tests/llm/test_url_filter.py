@@ -1,9 +1,10 @@
 import re
+from urllib.parse import urljoin
 
 import pytest
 
 from netlens.llm import url_filter as uf
-from netlens.llm.queries import URL_RULES
+from netlens.llm.queries import OP3_SQL, URL_RULES
 
 PAGES = [
     (1, "http://a.net/es/1", ""),
@@ -22,6 +23,15 @@ PAGES = [
     (14, "http://b.org/#f", ""),
     (14, "http://b.org/#f", ""),
     (15, "http:///path?x", ""),
+    (16, "http://a.net/d/e", "<link rel='alternate canonical' href='../es/x'>"),
+    (17, "http://r.org/1", '<link rel="canonical" href="http://r.org/2"><link rel="next" href="n"><link href=http://c.net/fr/ rel=Canonical>'),
+    (18, "http://c.net/y/z.html", '<meta property="og:title" content="x"><meta content="?k=1" property="og:url"/>'),
+    (19, "http://c.net/y/z.html?k=1", '<meta http-equiv=refresh content="5;url=../fr/./a">'),
+    (20, "http://c.net/q", "<link rel=canonical href='#top'><link rel=canonical href='mailto:a@b.net'><link rel=canonical href=''>"),
+    (21, "http://c.net", "<link rel=canonical href='w?u=http://a.net/es/'><link data-rel=canonical href='/es/'>"),
+    (22, "http://t.org/a", "<link rel=canonical href='//c.net/fr/..'>"),
+    (23, "http://t.org/b", "<link rel=canonical href='http://u.net/x'><link rel=canonical href='http://c.net/es/'>"),
+    (24, "http://u.net/x", "<link rel='not-canonical' href='/es/'>"),
 ]
 
 
@@ -40,15 +50,22 @@ def brute(pages, rules):
         kept = [x for x in q[1:].split("&") if x and not x.lower().startswith("utm_")]
         return h + re.sub("/$", "", p) + ("?" + "&".join(kept) if kept else "") if h else None
 
+    def attribute(tag, name):
+        m = re.search(rf"""[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", tag, re.I)
+        return next((x for x in m.groups() if x is not None), "").strip() if m else ""
+
     def targets(url, html):
-        for tag, attr in ((r"<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
-                          (r"<meta\b[^>]*\bproperty\s*=\s*[\"']?og:url\b[^>]*>", r"\bcontent\s*=\s*[\"']?([^\"'\s>]+)"),
-                          (r"<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"\burl\s*=\s*['\"]?([^\"'\s>]+)")):
-            m = re.search(tag, html or "", re.I | re.S)
-            m = m and re.search(attr, m[0], re.I)
-            if m:
-                scheme = url.split("://")[0]
-                yield f"{scheme}:{m[1]}" if m[1].startswith("//") else f"{scheme}://{parse(url)[0]}{m[1]}" if m[1][0] == "/" else m[1]
+        for tag in re.findall(r"<(?:link|meta)\b[^>]*>", html or "", re.I):
+            x = ""
+            if tag.lower().startswith("<link"):
+                if "canonical" in attribute(tag, "rel").lower().split():
+                    x = attribute(tag, "href")
+            elif attribute(tag, "property").lower() == "og:url":
+                x = attribute(tag, "content")
+            elif attribute(tag, "http-equiv").lower() == "refresh":
+                x = re.search(r"""\burl\s*=\s*['"]?([^"'\s>]+)""", attribute(tag, "content"), re.I)[1]
+            if x and x[0] != "#" and not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:(?!//)", x):
+                yield urljoin(url, x)
 
     groups, blocked = {}, set()
     for _, url, html in pages:
@@ -76,6 +93,25 @@ def test_against_brute_force(spark):
     assert got == brute(PAGES, URL_RULES)
     verdicts = {r[0]: r[4] for r in got}
     assert [verdicts[k] for k in (2, 3, 7, 12, 14)] == ["block", "block", "allow", "allow", "block"]
+    assert [verdicts[k] for k in (16, 17, 18, 19)] == ["block"] * 4 and (verdicts[20], verdicts[24]) == ("allow", "block")
+
+
+def test_sql_with_links(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", PAGES)
+    assert sorted(con.execute(OP3_SQL).fetchall(), key=repr) == brute(PAGES, URL_RULES)
+
+
+@pytest.mark.parametrize("target", ["b", "./b/", "../b?x", "../../b", "/b/../c/.", "//h.org/q", "?k=1", "b/c#f", "..", "http://z.org/a", "b?u=http://x"])
+def test_targets_resolve_as_in_browsers(spark, target):
+    base = "http://a.org/d/e/f.html?q#r"
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([(target, base)], "t string, u string").select(uf.resolved(F.col("t"), F.col("u"))).first()
+    assert row[0].rstrip("/") == urljoin(base, target).rstrip("/")
 
 
 def test_long_chain_and_large_class(spark):
