@@ -12,12 +12,13 @@ What is learned:
 1. Windows (context and next byte) of all training texts are counted: by block in
    the tasks, then over all with ``groupBy``. Their number grows with the corpus.
 2. The windows give the counts of the context slots, summed again with ``groupBy``.
-   Slots are hashes into tables of ``2^bits`` entries for each order, whatever the
-   corpus, so the tables can be broadcast (``4 * 2^bits`` bytes for each order).
+   Slots are hashes into tables that grow with the number of different windows up to
+   ``2^bits`` entries for each order, so that they can be broadcast (``4 * 2^bits`` bytes
+   for each order, once for learning and once for scoring); beyond, contexts share slots.
 3. Weights are learned online, in small steps over the windows of each task, and the
    tasks' weights are averaged; ``rounds`` times. A window is predicted from counts
    without itself, so that contexts seen once are not trusted too much. The adaptive
-   map sums the same predictions over all windows.
+   map sums the predictions that the last round starts with, over all windows.
 
 All training texts take part in every step. Scoring computes each different window
 once for each process, as far as its table of known windows goes.
@@ -35,7 +36,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -125,29 +126,48 @@ def slots_of(windows: np.ndarray, order: int, bits: int) -> Iterator[tuple[np.nd
 # -- model --------------------------------------------------------------------------------------------------------
 
 
+class Tables:
+    """For each order (2, 2^bits) counts of zeros and ones, as 16-bit integers; sent to each process once."""
+
+    def __init__(self, params: MixParams, counts: list[np.ndarray]):
+        self.params, self.counts, self._read = params, counts, None
+
+    def __getstate__(self):
+        return self.params, self.counts
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def read(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Logit and level of every slot, made once in each process."""
+        if self._read is None:
+            self._read = [read_counts(self.params, *c.astype(np.float32)) for c in self.counts]
+        return self._read
+
+
+def read_counts(params: MixParams, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = n0 + n1
+    level = (n > 0).astype(np.int8)  # 0: the context is not known
+    for least in LEVELS:
+        level += n >= least
+    return np.log((n1 + np.float32(params.prior)) / (n0 + np.float32(params.prior))), level
+
+
 class Mixer:
     """Context tables, weights and the adaptive map."""
 
-    def __init__(self, params: MixParams, counts: list[np.ndarray]):
-        """``counts``: for each order (2, 2^bits) counts of zeros and ones, as 16-bit integers."""
-        self.params, self.counts = params, counts
+    def __init__(self, params: MixParams, tables: Tables):
+        self.params, self.tables = params, tables
         n = len(params.orders)
         self.weights = np.full((n * (len(LEVELS) + 1) + 1, n + 1), 1.0 / n)
         self.weights[:, -1] = 0.0
         self.map = np.tile((np.arange(BINS) - BINS // 2) / 2.0, (256, 1))
 
-    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Logit and level of every slot, made once in each process."""
-        if "kept" not in self.__dict__:
-            self.kept = [self._read(*c.astype(np.float32)) for c in self.counts]
-        return self.kept
-
-    def _read(self, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = n0 + n1
-        level = (n > 0).astype(np.int8)  # 0: the context is not known
-        for least in LEVELS:
-            level += n >= least
-        return np.log((n1 + np.float32(self.params.prior)) / (n0 + np.float32(self.params.prior))), level
+    def with_tables(self, tables: Tables | None) -> Mixer:
+        """The same weights and map over other tables; without any, what can travel in a closure."""
+        out = Mixer(self.params, tables)
+        out.weights, out.map = self.weights, self.map
+        return out
 
     def inputs(self, windows: np.ndarray, leave_out: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each decision: logits (orders and a constant, rows), gates, nodes and bits."""
@@ -160,10 +180,10 @@ class Mixer:
             for j, stream in enumerate(streams):
                 slot, bit = next(stream)
                 if leave_out:
-                    n0, n1 = self.counts[j][:, slot].astype(np.float32)
-                    x[j], level = self._read(np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0))
+                    n0, n1 = self.tables.counts[j][:, slot].astype(np.float32)
+                    x[j], level = read_counts(p, np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0))
                 else:
-                    x[j], level = (table[slot] for table in self.tables()[j])
+                    x[j], level = (table[slot] for table in self.tables.read()[j])
                 gate = np.where(level > 0, level + j * (len(LEVELS) + 1), gate)
             yield x, gate, (1 << (7 - k)) | (byte >> (k + 1)), bit.astype(np.float32)
 
@@ -181,7 +201,7 @@ class Mixer:
     def learn(self, windows: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
         """Weights after one online pass over the windows."""
         p, order = self.params, np.random.default_rng(seed).permutation(len(windows))
-        own = Mixer(p, self.counts)
+        own = self.with_tables(self.tables)
         own.weights = self.weights.copy()
         seen = np.full(own.weights.shape, 1e-6)
         for a in range(0, len(order), p.step):
@@ -352,37 +372,50 @@ def context_counts(windows: DataFrame, params: MixParams) -> list[np.ndarray]:
     return out
 
 
+def sized(params: MixParams, windows: int) -> MixParams:
+    """``params`` with tables no larger than sixteen slots for each different window, two for each of its decisions."""
+    enough = max(8, (16 * max(1, windows) - 1).bit_length())
+    return replace(params, bits=tuple(min(b, enough) for b in params.bits))
+
+
 def fit(texts: DataFrame, params: MixParams | None = None) -> Mixer:
     """Learn from all rows of the one text column."""
-    params = params or MixParams()
-    sc = texts.sparkSession.sparkContext
-    windows = cut_lineage(count_windows(texts, params))
-    model = Mixer(params, context_counts(windows, params))
+    windows = cut_lineage(count_windows(texts, params or MixParams()))
+    params = sized(params or MixParams(), windows.count())
+    tables = Tables(params, context_counts(windows, params))
+    model = Mixer(params, tables)
+    shared = texts.sparkSession.sparkContext.broadcast(tables)  # the tables once, weights with each round
 
     def summed(part) -> np.ndarray:
         """Sums over the tasks of ``part(model, windows, counts)``, arrays of a fixed size."""
-        shared = sc.broadcast(model)
+        light = model.with_tables(None)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for found, n in _whole(batches, 500_000):
-                total = part(shared.value, found, n).astype(float).tobytes()
+                total = part(light.with_tables(shared.value), found, n).astype(float).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([total], pa.binary())], names=["sums"])
 
         out = None
         for r in windows.mapInArrow(run, "sums binary").toLocalIterator():
             row = np.frombuffer(r.sums)
             out = row.copy() if out is None else out + row
-        shared.unpersist()
         return np.empty(0) if out is None else out
 
     shape = model.weights.shape
+    size = model.weights.size + 1
     for k in range(params.rounds):
-        got = summed(lambda m, w, n, k=k: np.append(m.learn(w, n, k).ravel() * n.sum(), n.sum()))
+        last = k == params.rounds - 1  # the map comes from the predictions that the last round starts with
+
+        def part(m: Mixer, w: np.ndarray, n: np.ndarray, k: int = k, last: bool = last) -> np.ndarray:
+            out = np.append(m.learn(w, n, k).ravel() * n.sum(), n.sum())
+            return np.append(out, m.bins(w, n).ravel()) if last else out
+
+        got = summed(part)
         if len(got):
-            model.weights = (got[:-1] / got[-1]).reshape(shape)
-    got = summed(lambda m, w, n: m.bins(w, n).ravel())
-    if len(got):
-        model.set_map(got.reshape(2, -1))
+            model.weights = (got[: size - 1] / got[size - 1]).reshape(shape)
+            if last:
+                model.set_map(got[size:].reshape(2, -1))
+    shared.destroy()
     return model
 
 
@@ -414,13 +447,24 @@ def _word_rows(texts: list[bytes], train: np.ndarray) -> tuple[list[bytes], np.n
     return index, learned, [rows[2 * a : 2 * b] for a, b in spans], [times[a:b] for a, b in spans], sizes
 
 
+_models: dict[int, Mixer] = {}
+
+
+def _process_model(light: Mixer, shared) -> Mixer:
+    """One model, with its table of known windows, for all tasks of a process."""
+    if shared.value is not getattr(_models.get(0), "tables", None):
+        _models[0] = light.with_tables(shared.value)
+    return _models[0]
+
+
 def scored_parts(docs: DataFrame, model: Mixer) -> DataFrame:
     """One pass over rows (key, train, t): a row for each text, and a row for each different word of a block of texts.
 
     Texts: (uid, key, train, words, score). Words: (block, word, learned, rows, times), where ``rows`` count from
     the block's first uid.
     """
-    shared, kind = docs.sparkSession.sparkContext.broadcast(model), docs.schema["key"].dataType
+    shared, kind = docs.sparkSession.sparkContext.broadcast(model.tables), docs.schema["key"].dataType
+    light = model.with_tables(None)
     schema = T.StructType.fromDDL("uid long").add("key", kind)
     for f in T.StructType.fromDDL(
         "train boolean, words long, score double, block long, word binary, learned long, rows binary, times binary"
@@ -433,7 +477,7 @@ def scored_parts(docs: DataFrame, model: Mixer) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, k) if not isinstance(x, pa.Array) else x for x, k in zip(arrays, kinds, strict=True)], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid, held = TaskContext.get().partitionId() << 40, shared.value
+        uid, held = TaskContext.get().partitionId() << 40, _process_model(light, shared)
         for part in small_batches(_joined(batches, WORD_BLOCK), 2, WORD_BLOCK):
             for start in range(0, part.num_rows, 1 << 16):
                 batch = part.slice(start, 1 << 16)
