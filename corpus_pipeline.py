@@ -47,8 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of ``documents`` with ``token_ids``, their number, and whether they decode to the text."""
     model = pieces.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     ids, decoded = fresh(docs, "token_ids"), fresh(docs, "decoded")
-    both = pieces.decode(pieces.encode(docs, model, ids=ids), model, ids=ids, text=decoded)
-    return both.select(
+    return pieces.encode(docs, model, ids=ids, decoded=decoded).select(
         *(f"`{c}`" for c in docs.columns),
         ids,
         F.size(ids).cast("long").alias(fresh(docs, "n_tokens")),
