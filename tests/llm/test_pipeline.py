@@ -98,5 +98,5 @@ def test_registered_names(spark):
     import __spark_entry__ as registry
 
     names = list(registry.queries())
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
     assert set(SQL) <= set(names) and sh.BITS == 2
