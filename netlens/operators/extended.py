@@ -1,8 +1,8 @@
 """Flow statistics beyond the 82-column record (FX1-FX12).
 
-Medians and modes keep the distinct values of one flow while it is aggregated:
-at most 65,536 packet lengths, and for times the packets of one flow, which the
-duration cap bounds.
+Medians and modes come from counts of (flow, value): the values of a flow are cut into
+at most ``BUCKETS`` equal ranges, whose counts tell in which range the middle ranks are,
+and only values of those ranges are ordered, by range. No flow is held as a whole.
 """
 
 from __future__ import annotations
@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from netlens.functions.lineage import cut_lineage
 from netlens.functions.numbers import ratio
 from netlens.operators.features import FLOW_START
 from netlens.params import MICROS, FlowParams
 
+BUCKETS = 256
+
 
 def _shape(name: str) -> dict[str, Column]:
     """Skewness by median and by mode, and coefficient of variation."""
@@ -26,15 +29,42 @@ def _shape(name: str) -> dict[str, Column]:
     }
 
 
+def medians_and_modes(assigned: DataFrame, flow: list[str], values: dict[str, Column]) -> DataFrame:
+    """(flow, name_median, name_mode) of integral values; of several modes the smallest."""
+    named = F.array(*(F.struct(F.lit(n).alias("stat"), v.cast("long").alias("value")) for n, v in values.items()))
+    key = [*flow, "stat"]
+    cells = assigned.select(*flow, F.explode(named).alias("c")).select(*flow, "c.*").where("value is not null")
+    cells = cut_lineage(cells.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n")))
+    width = F.lit(1).cast("long")
+    for r in cells.groupBy("stat").agg(F.min("value").alias("low"), F.max("value").alias("high")).collect():  # one row a name
+        width = F.when(F.col("stat") == r.stat, F.lit((r.high - r.low) // BUCKETS + 1)).otherwise(width)
+    cells = cells.withColumn("bucket", F.floor(F.col("value") / width).cast("long"))
+    counts = cells.groupBy(*key, "bucket").agg(F.sum("n").alias("m"))
+    in_order = Window.partitionBy(*key).orderBy("bucket")  # BUCKETS + 1 rows at most
+    counts = counts.withColumns(
+        {"before": F.sum("m").over(in_order) - F.col("m"), "total": F.sum("m").over(Window.partitionBy(*key))}
+    )
+    middle = {"low": F.floor((F.col("total") - 1) / 2) - F.col("before"), "high": F.floor(F.col("total") / 2) - F.col("before")}
+    holds = [(at >= 0) & (at < F.col("m")) for at in middle.values()]
+    chosen = counts.where(holds[0] | holds[1]).select(*key, "bucket", *(at.alias(f"{n}_at") for n, at in middle.items()))
+    upto = F.sum("n").over(Window.partitionBy(*key, "bucket").orderBy("value"))
+    inside = cells.join(chosen, [*key, "bucket"]).withColumn("upto", upto)
+    picked = lambda n: F.max(F.when((F.col(f"{n}_at") >= F.col("upto") - F.col("n")) & (F.col(f"{n}_at") < F.col("upto")), F.col("value")))
+    medians = inside.groupBy(*key).agg(((picked("low") + picked("high")) / 2).alias("median"))
+    # most often first, then the smallest
+    modes = cells.groupBy(*key).agg((-F.max(F.struct("n", (-F.col("value")).alias("v")))["v"]).cast("double").alias("mode"))
+    both = medians.join(modes, key)
+    return both.groupBy(*flow).agg(
+        *(F.max(F.when(F.col("stat") == n, F.col(s))).alias(f"{n}_{s}") for n in values for s in ("median", "mode"))
+    )
+
+
 def _spread(name: str, value: Column) -> list[Column]:
-    """``value`` is integral, so medians and modes compare exactly."""
     number = value.cast("double")
     return [
         F.count(value).alias(f"{name}_n"),
         F.avg(number).alias(f"{name}_mean"),
         F.var_pop(number).alias(f"{name}_var"),
-        F.percentile(value, F.lit(0.5)).alias(f"{name}_median"),
-        F.mode(value, True).cast("double").alias(f"{name}_mode"),
     ]
 
 
@@ -58,8 +88,9 @@ def extended_records(assigned: DataFrame, p: FlowParams | None = None) -> DataFr
     """FX1-FX6, FX8, FX9, FX12: one row per flow, identified by ``start_us, start_seq``."""
     p = p or FlowParams()
     fwd, length, header = F.col("fwd"), F.col("length"), F.col("header_len")
-    response = F.when(is_response(), F.col("gap_us"))
-    flows = assigned.groupBy(*p.key_columns, *FLOW_START).agg(
+    flow = [*p.key_columns, *FLOW_START]
+    values = {"pkt_len": length, "pkt_time": F.col("us") - F.col("start_us"), "response": F.when(is_response(), F.col("gap_us"))}
+    flows = assigned.groupBy(*flow).agg(
         F.max("us").alias("end_us"),
         F.coalesce(F.sum(F.when(fwd, length)), F.lit(0)).alias("bytes_sent"),
         F.coalesce(F.sum(F.when(~fwd, length)), F.lit(0)).alias("bytes_received"),
@@ -70,10 +101,8 @@ def extended_records(assigned: DataFrame, p: FlowParams | None = None) -> DataFr
         F.min(F.when(fwd, header)).alias("fwd_header_min"),
         F.min(F.when(~fwd, header)).alias("bwd_header_min"),
         F.max(F.when(F.col("is_first"), F.col("ttl"))).alias("initial_ttl"),
-        *_spread("pkt_len", length),
-        *_spread("pkt_time", F.col("us") - F.col("start_us")),
-        *_spread("response", response),
-    )
+        *(c for n, v in values.items() for c in _spread(n, v)),
+    ).join(medians_and_modes(assigned, flow, values), flow)
     flows = flows.withColumns({**_in_seconds("pkt_time"), **_in_seconds("response", -1.0)})
     flows = flows.withColumns(
         {

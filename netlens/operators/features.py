@@ -35,6 +35,7 @@ subflow_fwd_byts subflow_bwd_byts
 
 FLAG_LETTERS = {"fin": "F", "syn": "S", "rst": "R", "psh": "P", "ack": "A", "urg": "U", "ece": "E"}
 FLOW_START = ["start_us", "start_seq", "start_d"]
+ARRIVAL_ROWS = 65_536
 
 
 def _of(cond: Column, value: Column) -> Column:
@@ -79,16 +80,28 @@ def _first_packet_twice(packets: DataFrame) -> DataFrame:
     ).drop("copy")
 
 
-def _gaps_by_arrival(packets: DataFrame, p: FlowParams) -> DataFrame:
+def _gaps_by_arrival(packets: DataFrame, p: FlowParams, part_rows: int = ARRIVAL_ROWS) -> DataFrame:
     """FF13, FF14 for packets out of time order.
 
     The flow gap runs to the latest time so far and is negative for a late packet;
-    a direction's gap runs to its packet before. Ordered per flow, which the cap bounds.
+    a direction's gap runs to its packet before. Ordered inside slices of the arrival
+    order; what a slice takes over from earlier ones is one row for each.
     """
     flow = [*p.key_columns, *FLOW_START]
-    one, way = Window.partitionBy(*flow).orderBy("seq"), Window.partitionBy(*flow, "fwd").orderBy("seq")
-    latest = F.max("us").over(one.rowsBetween(Window.unboundedPreceding, -1))
-    return packets.withColumns({"gap_us": F.col("us") - latest, "dir_gap_us": F.col("us") - F.lag("us").over(way)})
+    before = (Window.unboundedPreceding, -1)
+    rows = packets.withColumn("_part", F.floor(F.col("seq") / part_rows).cast("long"))
+    one = Window.partitionBy(*flow, "_part").orderBy("seq")
+    way = Window.partitionBy(*flow, "_part", "fwd").orderBy("seq")
+    rows = rows.withColumns({"_latest": F.max("us").over(one.rowsBetween(*before)), "_last": F.lag("us").over(way)})
+    last = F.struct("seq", "us")
+    carried = {"_c_latest": F.max("us"), "_c_fwd": F.max(_of(F.col("fwd"), last)), "_c_bwd": F.max(_of(~F.col("fwd"), last))}
+    slices = Window.partitionBy(*flow).orderBy("_part").rowsBetween(*before)
+    states = rows.groupBy(*flow, "_part").agg(*(a.alias(n) for n, a in carried.items()))
+    states = states.withColumns({n: F.max(n).over(slices) for n in carried})
+    rows = rows.join(states, [*flow, "_part"])
+    last_us = F.coalesce("_last", F.when(F.col("fwd"), F.col("_c_fwd.us")).otherwise(F.col("_c_bwd.us")))
+    gaps = {"gap_us": F.col("us") - F.greatest("_latest", "_c_latest"), "dir_gap_us": F.col("us") - last_us}
+    return rows.withColumns(gaps).select(*packets.columns)
 
 
 def _aggregates(p: FlowParams) -> list[Column]:
