@@ -30,7 +30,6 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.verify(found, model).select(
         F.col("key").alias("doc_id"),
         "position",
-        "part",
         F.sha2("value", 256).alias("value_sha256"),
         held_out.alias("held_out"),
         label.alias("label"),
