@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ from netlens.operators.prep import fit_preprocessor
 from netlens.plans.bundle import Bundle
 from netlens.sources.packets import PACKET_SCHEMA, stream_packets
 from netlens.streaming.alerts import AlertStream, flow_schema, stream_flows
-from netlens.streaming.flows import FlowStream, session_totals
-from tests.packets import A, B, frame, packet
+from netlens.streaming.flows import FlowStream, late_packets, session_totals, walk
+from tests.packets import A, B, frame, packet, sequential
 from tests.test_flows import random_packets
 
 
@@ -33,49 +34,64 @@ def key(df):
     return sorted(repr(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in rows)
 
 
+def started(stream, spark, tmp_path, **source):
+    query = stream.start(stream_packets(spark, f"{tmp_path}/in", **source), f"{tmp_path}/checkpoint", availableNow=True)
+    query.awaitTermination()
+    return query
+
+
 def test_stream_equals_batch(spark, tmp_path):
     p = FlowParams(idle_s=5, cap_s=12)
     rows = sorted(random_packets(11, 300), key=lambda r: r[1])
-    stream = FlowStream(f"{tmp_path}/out", f"{tmp_path}/state", p)
+    stream = FlowStream(f"{tmp_path}/out", p)
     for i in range(3):  # a restart between the files
         land(timed(spark, rows[100 * i : 100 * i + 100]), f"{tmp_path}/in", i)
-        source = stream_packets(spark, f"{tmp_path}/in", max_files=1)
-        stream.start(source, f"{tmp_path}/checkpoint", availableNow=True).awaitTermination()
-    before = spark.read.parquet(f"{tmp_path}/out")
-    closed = before.count()
-    stream.drain(spark)
+        started(stream, spark, tmp_path, max_files=1)
+    before = spark.read.parquet(f"{tmp_path}/out").count()
+    stream.end_of_input(spark, f"{tmp_path}/in", rows[-1][1])
+    started(stream, spark, tmp_path)
     got = spark.read.parquet(f"{tmp_path}/out")
-    assert closed < got.count()
+    assert 0 < before < got.count()
     assert key(got) == key(flow_records(timed(spark, rows), p))
-    # repeating a batch changes nothing
-    stream.drain(spark)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == got.count()
-
-
-def test_late_packet_joins_open_flow(spark, tmp_path):
-    stream = FlowStream(f"{tmp_path}/out", f"{tmp_path}/state", FlowParams(), delay_s=10)
-    stream.process(timed(spark, [packet(1, 0), packet(3, 4), packet(4, 12, B, A)]), 0)
-    stream.process(timed(spark, [packet(2, 2)]), 1)
-    stream.drain(spark)
-    got = spark.read.parquet(f"{tmp_path}/out")
-    assert sorted(r.tot_fwd_pkts for r in got.collect()) == [1, 3]
 
 
-def test_too_late_packet_is_dropped_and_counted(spark, tmp_path):
-    rows = [packet(1, 0), packet(2, 1), packet(3, 20), packet(4, 2)]
-    stream = FlowStream(f"{tmp_path}/out", f"{tmp_path}/state", FlowParams())
-    for batch_id, part in enumerate([rows[:2], rows[2:3], rows[3:], [packet(5, 21)]]):
-        stream.process(timed(spark, part), batch_id)
-    stream.drain(spark)
-    got = spark.read.parquet(f"{tmp_path}/out")
-    assert sorted(r.tot_fwd_pkts for r in got.collect()) == [2, 2] and stream.dropped(spark) == 1
-    assert key(got) == key(flow_records(timed(spark, [*rows[:3], packet(5, 21)]), FlowParams()))
+def test_late_packets_join_open_flows_or_are_dropped_and_counted(spark, tmp_path):
+    rows = [packet(1, 100), packet(2, 104), packet(3, 112, B, A), packet(4, 102), packet(5, 140), packet(6, 101)]
+    stream = FlowStream(f"{tmp_path}/out", FlowParams(), delay_s=10)
+    dropped = 0
+    for k, part in enumerate([rows[:3], rows[3:4], rows[4:5], rows[5:]]):  # the fourth is late but open, the sixth too late
+        land(timed(spark, part), f"{tmp_path}/in", k)
+        dropped += late_packets(started(stream, spark, tmp_path))
+    stream.end_of_input(spark, f"{tmp_path}/in", rows[4][1])
+    dropped += late_packets(started(stream, spark, tmp_path))
+    assert dropped == 1
+    assert key(spark.read.parquet(f"{tmp_path}/out")) == key(flow_records(timed(spark, rows[:5]), FlowParams()))
 
 
-def test_missing_state_is_an_error(spark, tmp_path):
-    stream = FlowStream(f"{tmp_path}/out", f"{tmp_path}/state", FlowParams())
-    with pytest.raises(FileNotFoundError):
-        stream.process(timed(spark, [packet(1, 0)]), 7)
+@pytest.mark.parametrize("seed", range(4))
+def test_walk_over_slices_equals_the_sequential_meter(seed):
+    rng = random.Random(seed)
+    p = FlowParams(idle_s=5, cap_s=12)
+    times = sorted(round(rng.choice([rng.uniform(0, 90), rng.randrange(90)]) * 1_000_000) for _ in range(120))
+    want = sequential([packet(k, t / 1_000_000) for k, t in enumerate(times)], p)
+    width, flow, closed = 7_000_000, None, []
+    for number in range(times[-1] // width + 1):
+        at = [k for k, t in enumerate(times) if t // width == number]
+        if at:
+            done, flow = walk(flow, number, np.array([times[k] for k in at]), np.array(at), p.idle_us, p.cap_us)
+            closed += done
+    got = {}
+    for f in [*closed, *([flow] if flow else [])]:
+        for number, _, start, a_us, a, b_us, b in f.places():
+            for k in range(a, b + 1):
+                assert times[k] // width == number and a_us <= times[k] <= b_us
+                got[k] = start
+    assert got == {k: v[0] for k, v in want.items()}
+
+
+def test_a_stream_needs_a_cap():
+    with pytest.raises(ValueError, match="cap"):
+        FlowStream("out", FlowParams(cap_s=None))
 
 
 def test_session_totals(spark, tmp_path):
