@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from catalog.common import prepared, round_col, round_sql, rounded, table
 from catalog.data_queries import quota_ctes, rank_sql
+from netlens.functions.lineage import cut_lineage
 from netlens.operators import knn, models, resample
 from netlens.operators.models import Settings, fit_model
 from netlens.operators.sampling import split_dataset
+from netlens.operators.trees import extra_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,6 +91,17 @@ def _(s, d):
     return rounded(knn.knn_join(v, v, 3, block_rows=16))  # many cells and blocks
 
 
+@add("rs00_knn_lsh", f"""with {BASE}, {near('n', 'e', 'e', 5)}
+select id, count(*) as neighbours, true as recall_90 from n group by id""")
+def _(s, d):
+    """Every row has its five neighbours, of which the approximate join finds nine tenths at least."""
+    v = vectors(s, d)
+    found = cut_lineage(knn.knn_join(v, v, 5, method="lsh"))
+    both = found.join(knn.knn_join(v, v, 5).select("id", "neighbour_id"), ["id", "neighbour_id"])
+    recall = both.count() / found.count()
+    return found.groupBy("id").agg(F.count("*").alias("neighbours"), F.lit(recall >= 0.9).alias("recall_90"))
+
+
 @add("rs02_random_oversample", f"""with {BASE}, {RANKED}, dr as (select i draw, {draw('ros', 'i')} % {N_MIN} + 1 rk from (select unnest(range(1, {NEED} + 1)) i)),
 o as (select id, y, x from e union all select -draw, y, x from dr join m using (rk)) select {DIGEST} from o""")
 def _(s, d):
@@ -245,6 +258,25 @@ for _n, _m in (
 _scored("md12_class_weight", "logistic_regression", "class_weight")
 
 
+TREES = 20
+
+
+@add("md07_first_cut", f"""with {BASE}, r as (select j, min(x[j + 1]) lo, max(x[j + 1]) hi from e, (select unnest(range(64)) j) group by j),
+o as (select t, j, lo, hi, row_number() over (partition by t order by md5('{SEED}:feature:' || t || '::' || j)) k
+  from r, (select unnest(range({TREES})) t) where hi > lo),
+f as (select *, ('0x' || substr(md5('{SEED}:cut:' || t || '::' || j), 1, 8))::bigint / 4294967296.0 u from o where k <= 8),
+c as (select t, j, k, case when lo + u * (hi - lo) < hi then lo + u * (hi - lo) else lo end cut from f),
+w as (select t, j, k, cut, count(*) n, sum(y) n1, count(*) filter (x[j + 1] <= cut) l, coalesce(sum(y) filter (x[j + 1] <= cut), 0) l1 from c, e group by all),
+g as (select *, 2.0 * n1 * (n - n1) / n - case when l > 0 then 2.0 * l1 * (l - l1) / l else 0 end
+  - case when n > l then 2.0 * (n1 - l1) * (n - l - n1 + l1) / (n - l) else 0 end gain from w)
+select t as tree, arg_min(j, k) as feature, {round_sql('arg_min(cut, k)', 9)} as threshold, {round_sql('max(gain)', 6)} as gain
+from (select *, max(round(gain, 9)) over (partition by t) best from g) where round(gain, 9) = best group by t""")
+def _(s, d):
+    """The root of each of the first extra trees."""
+    roots = extra_trees(vectors(s, d), TREES, SEED).where("node = ''").select("tree", "feature", "threshold", "gain")
+    return rounded(roots, 6, threshold=9)
+
+
 _E_COUNTS = "(select y, count(*) n from e group by y)"
 TRAIN = f"""{quota_ctes('sum(n) - ceil(sum(n) * 0.2)', _E_COUNTS)}, {quota_ctes('sum(n) - ceil(sum(n) * (0.2 / (1.0 - 0.2)))', '(select y, k n from q)', 'b')},
 er as (select *, {rank_sql('id')} rk from e), tr as (select er.* from er join bq on er.y = bq.y where rk <= bq.k)"""
