@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from netlens.operators import knn
 from netlens.operators.knn import knn_join
 from netlens.operators.lsh import LshParams, fit_index, probe_sets
 from netlens.operators.resample import resample
@@ -70,3 +71,17 @@ def test_samplers_take_the_method(spark):
     for strategy in ("smote", "adasyn", "smoteenn"):
         a, b = (resample(df, strategy, method=m).groupBy("y").count().orderBy("y").collect() for m in ("exact", "lsh"))
         assert [abs(x["count"] - z["count"]) <= 0.2 * x["count"] for x, z in zip(a, b, strict=True)] == [True, True]
+
+
+def test_rows_are_sent_to_a_bounded_number_of_blocks(spark, monkeypatch):
+    """With many small cells a row was sent once for each of them."""
+    df, search, sent = points(spark, n=1500), knn._search, []
+
+    def counted(asked, blocks, *more):
+        sent.append((blocks.select("block").distinct().count(), asked.agg(F.max(F.size("visits"))).first()[0]))
+        return search(asked, blocks, *more)
+
+    exact = {tuple(r) for r in knn_join(df, df, 3).select("id", "neighbour_id", "rank").collect()}
+    monkeypatch.setattr(knn, "_search", counted)
+    assert {tuple(r) for r in knn_join(df, df, 3, block_rows=16).select("id", "neighbour_id", "rank").collect()} == exact
+    assert len(sent) == 2 and all(max(counts) <= 2 * knn.GRID for counts in sent)
