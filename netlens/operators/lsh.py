@@ -3,9 +3,10 @@
 A hash cuts the projection on a random direction into cells of one width; a table's key
 joins several hashes (Datar et al., 2004). A query looks into its own bucket of each
 table and into those that its projections nearly fall into, in order of likelihood (Lv et
-al., 2007), and all candidates are ranked by their exact distance. Base rows are stored
-once for each table; buckets are cut into blocks and their queries into chunks of bounded
-size, so a dense bucket takes more tasks and not a longer one.
+al., 2007), and all candidates are ranked by their exact distance. Base rows are cut into
+blocks and queries into chunks, about ``knn.GRID`` of each and of bounded size; a task
+indexes its block and looks its chunk up there, so a row is sent once for each block or
+chunk of the other side, not for each bucket.
 
 The width, the hashes of a key and the number of probes come from a bounded sample of
 base rows: keys grow until a probe is expected to read ``bucket_rows`` rows, and probes
@@ -20,7 +21,7 @@ a share of about 1 - ``recall``. Every choice is a seeded draw, so retries repea
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.functions.lineage import cut_lineage
 from netlens.functions.numbers import seeded_digest
 
 
@@ -77,6 +77,23 @@ class LshIndex:
         )
         return np.stack([own + step[:, :, p].sum(2, dtype=np.uint64) for p in self.probes], axis=2)
 
+    def buckets(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each table: its keys in order, and each row's place among them."""
+        keys = self.keys(x)
+        return [np.unique(keys[:, t], return_inverse=True) for t in range(self.tables)]
+
+    def met(self, x: np.ndarray, buckets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """(queries, rows): whether a query looks into a bucket of the row."""
+        looked = self.probed(x)
+        out = np.zeros((len(x), len(buckets[0][1])), bool)
+        for t, (keys, place) in enumerate(buckets):
+            at = np.minimum(np.searchsorted(keys, looked[:, t]), len(keys) - 1)
+            rows, probes = np.nonzero(keys[at] == looked[:, t])
+            open_ = np.zeros((len(x), len(keys)), bool)
+            open_[rows, at[rows, probes]] = True
+            out |= open_[:, place]
+        return out
+
 
 def probe_sets(hashes: int, probes: int) -> list[list[int]]:
     """The likeliest sets of steps, as places in the order of a query's distances to its 2 * hashes cell borders.
@@ -139,40 +156,19 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 
 def lsh_candidates(q: DataFrame, b: DataFrame, k: int, exclude_self: bool, p: LshParams) -> DataFrame:
-    """(q_id, b_id, b_y, d2): the best of each bucket, a pair once, of queries (q_id, features) and base rows (b_id, b_y, features)."""
-    from netlens.operators.knn import BLOCK_ROWS, CHUNK_ROWS, FOUND, nearest
+    """(q_id, b_id, b_y, d2): the best of each block's buckets, a pair once, of queries (q_id, features) and base rows (b_id, b_y, features)."""
+    from netlens.operators.knn import BLOCK_ROWS, CHUNK_ROWS, FOUND, nearest, wide
 
     sample = b.orderBy(seeded_digest(p.seed, "b_id"), "b_id").limit(p.sample_rows).select("features").toPandas()
     if sample.empty:
         raise ValueError("The base of a neighbour join is empty.")
-    index = fit_index(_stack(sample["features"]), b.count(), k, p)
-    shared = b.sparkSession.sparkContext.broadcast(index)  # directions: dimensions x tables x hashes
-
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(keys=list(shared.value.keys(_stack(pdf["features"])).view(np.int64)))
-
-    def looked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                found = shared.value.probed(_stack(pdf["features"])).view(np.int64)
-                yield pdf.assign(keys=[[np.unique(t) for t in row] for row in found])
-
-    base = b.mapInPandas(placed, "b_id bigint, b_y int, features array<double>, keys array<bigint>")
-    base = cut_lineage(base.select("b_id", "b_y", "features", F.posexplode("keys").alias("t", "key")))
-    asked = q.mapInPandas(looked, "q_id bigint, features array<double>, keys array<array<bigint>>")
-    asked = asked.select("q_id", "features", F.posexplode("keys").alias("t", "some")).select("q_id", "features", "t", F.explode("some").alias("key"))
-    sizes = base.groupBy("t", "key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    # queries without a bucket to look into go; written, so that full buckets are plain join keys
-    asked = cut_lineage(asked.join(sizes, ["t", "key"]))
-    plan = cut_lineage(
-        asked.groupBy("t", "key").agg(F.max("blocks").alias("blocks"), F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
-    )
-    spread = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(plan.select("t", "key", "chunks"), ["t", "key"]).select("q_id", "features", "t", "key", spread("q_id", "chunks").alias("chunk"), every("blocks").alias("block"))
-    right = base.join(plan, ["t", "key"]).select("b_id", "b_y", "features", "t", "key", spread("b_id", "blocks").alias("block"), every("chunks").alias("chunk"))
-    key = ["t", "key", "block", "chunk"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(nearest(k, exclude_self), FOUND)
+    n, asked = b.count(), q.count()
+    index = fit_index(_stack(sample["features"]), n, k, p)  # directions: dimensions x tables x hashes
+    blocks, chunks = math.ceil(n / wide(n, BLOCK_ROWS)), max(1, math.ceil(asked / wide(asked, CHUNK_ROWS)))
+    spread = lambda of, parts: F.pmod(F.xxhash64(of), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = q.withColumns({"chunk": spread("q_id", chunks)}).withColumn("block", every(blocks))
+    right = b.withColumns({"block": spread("b_id", blocks)}).withColumn("chunk", every(chunks))
+    key = ["block", "chunk"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(nearest(k, exclude_self, index=index), FOUND)
     return found.groupBy("q_id", "b_id").agg(F.first("b_y").alias("b_y"), F.min("d2").alias("d2"))

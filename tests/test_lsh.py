@@ -85,3 +85,11 @@ def test_rows_are_sent_to_a_bounded_number_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(knn, "_search", counted)
     assert {tuple(r) for r in knn_join(df, df, 3, block_rows=16).select("id", "neighbour_id", "rank").collect()} == exact
     assert len(sent) == 2 and all(max(counts) <= 2 * knn.GRID for counts in sent)
+
+
+def test_a_query_meets_the_rows_of_its_buckets_only():
+    x = np.random.default_rng(2).normal(size=(300, 8))
+    index = fit_index(x, 300, 3, LshParams(tables=2, bucket_rows=20, max_probes=4))
+    own, looked = index.keys(x), index.probed(x[:40])
+    met = index.met(x[:40], index.buckets(x))
+    assert all(met[i, j] == any(own[j, t] in looked[i, t] for t in range(2)) for i in range(40) for j in range(300))
