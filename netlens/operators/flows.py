@@ -252,6 +252,9 @@ def assign_flows(packets: DataFrame, p: FlowParams | None = None) -> DataFrame:
     """
     p = p or FlowParams()
     rows = _sliced(packets, p)
+    if p.cap_us is not None:
+        # read three times below; from files, so that neither the order inside slices nor the keys are made again
+        rows = cut_lineage(rows)
     state = _slice_states(rows, p)
     restarts = None
     if p.cap_us is not None:

@@ -242,3 +242,10 @@ def test_read_per_file_and_merged(spark, tmp_path):
     assert [r.tot_fwd_pkts for r in merged.collect()] == [4]
     apart = flow_records(read_packets(spark, path, per_file=True), FlowParams(per_file=True))
     assert [r.tot_fwd_pkts for r in apart.collect()] == [2, 2]
+
+
+def test_slices_are_ordered_once(spark):
+    """The order inside slices was made again by each of three readers."""
+    rows = [packet(i, 0.5 * i) for i in range(8)]
+    plan = assign_flows(frame(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" not in plan
