@@ -9,8 +9,10 @@ trees other than the extra trees are at most 30 deep and choose split points fro
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -23,17 +25,18 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlens.functions.lineage import cut_lineage, side_by_side
+from netlens.functions.lineage import cut_lineage, shared_folder, side_by_side
 from netlens.operators.boosting import boosted_stumps, flat, score_column
 from netlens.operators.knn import knn_join
 from netlens.operators.metrics import min_max_scores
 from netlens.operators.ranks import class_counts
 from netlens.operators.resample import random_undersample
-from netlens.operators.trees import extra_trees, importances, score_trees
+from netlens.operators.trees import extra_trees, forest_table, importances, score_trees
 
 # Neighbours of the knn model and focusing exponent of the focal loss.
 KNN_K, FOCAL_GAMMA = 7, 2.0
 EPS = 1e-6
+DRIVER_NODES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -212,8 +215,20 @@ def _forest(df: DataFrame, s: Settings, seed: int, trees: int):
 
 
 def fit_random_forest(df: DataFrame, s: Settings, seed: int) -> Fitted:
-    """MD3."""
-    return Fitted("random_forest", "probability", [_forest(df, s, seed, s.forest_trees)])
+    """MD3; a forest of more than ``DRIVER_NODES`` possible nodes is grown in groups and becomes a table.
+
+    A tree has fewer than two nodes for each row, and Spark ML keeps the trees of a fit on
+    the driver; so a group's trees are written before the next group is grown.
+    """
+    together = max(1, DRIVER_NODES // max(1, 2 * df.count()))
+    if together >= s.forest_trees:
+        return Fitted("random_forest", "probability", [_forest(df, s, seed, s.forest_trees)])
+    folder, parts = f"{shared_folder(df.sparkSession)}/forest-{uuid.uuid4().hex}", []
+    for first in range(0, s.forest_trees, together):
+        _forest(df, s, seed + first, min(together, s.forest_trees - first)).save(f"{folder}/{first}")
+        nodes = df.sparkSession.read.parquet(f"{folder}/{first}/data")
+        parts.append(forest_table(nodes.withColumn("treeID", F.col("treeID") + first)))
+    return Fitted("random_forest", "trees", base=cut_lineage(reduce(DataFrame.unionByName, parts)))
 
 
 def fit_extra_trees(df: DataFrame, s: Settings, seed: int) -> Fitted:

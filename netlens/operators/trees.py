@@ -266,6 +266,33 @@ def _by_levels(rows: DataFrame, trees: list[int], seed: int, tried: int, enough:
     return cut_lineage(tops)
 
 
+def forest_table(nodes: DataFrame) -> DataFrame:
+    """The forest table of the saved nodes of a Spark ML forest; a task names the nodes of one tree."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        at = rows.set_index("id")
+        children = dict(zip(at.index, zip(at["l"], at["r"], strict=True), strict=True))
+        names, stack = {}, [(0, "")]
+        while stack:
+            n, name = stack.pop()
+            names[n] = name
+            left, right = children[n]
+            if left >= 0:
+                stack += [(left, name + "0"), (right, name + "1")]
+        return rows.assign(node=rows["id"].map(names))[_NAMES]
+
+    stats, leaf = F.col("nodeData.impurityStats"), F.col("nodeData.leftChild") < 0
+    weight = F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
+    flat = nodes.select(
+        F.col("treeID").cast("int").alias("tree"), F.col("nodeData.id").alias("id"), F.col("nodeData.leftChild").alias("l"),
+        F.col("nodeData.rightChild").alias("r"), F.when(leaf, -1).otherwise(F.col("nodeData.split.featureIndex")).cast("int").alias("feature"),
+        F.when(~leaf, F.col("nodeData.split.leftCategoriesOrThreshold")[0]).alias("threshold"),
+        F.coalesce(F.try_divide(F.get(stats, F.lit(1)), weight), F.lit(0.0)).alias("share"), weight.alias("weight"),
+        F.when(leaf, 0.0).otherwise(F.col("nodeData.gain") * weight).alias("gain"),
+    )
+    return flat.groupBy("tree").applyInPandas(run, FOREST)
+
+
 def _arrays(forest: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
     """For each tree: feature, threshold, place of the left and right child, share."""
     out = []

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from netlens.operators import models
 from netlens.operators import trees as tr
 from netlens.operators.models import Settings, fit_model
 
@@ -95,3 +96,23 @@ def test_registered_model(frame):
     scored = model.score(frame.drop("weight"))
     assert scored.agg(F.avg((F.abs(F.col("score") - F.col("y")) < 0.5).cast("int"))).first()[0] == 1.0
     assert len(model.importances(6)) == 6
+
+
+def test_large_random_forest_is_grown_in_groups(spark, monkeypatch):
+    """All trees of a forest were held by the driver together."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    df = spark.createDataFrame([(i, int(v[0] + v[1] > 0), v.tolist()) for i, v in enumerate(x)], "id long, y int, features array<double>").coalesce(1)
+    settings = models.Settings(forest_trees=4)
+    whole = models._forest(df, settings, 42, 2)
+    grown, forest = [], models._forest
+    monkeypatch.setattr(models, "_forest", lambda d, s, seed, trees: grown.append(trees) or forest(d, s, seed, trees))
+    monkeypatch.setattr(models, "DRIVER_NODES", 1200)
+    fitted = models.fit_random_forest(df, settings, 42)
+    assert grown == [2, 2] and fitted.base.select("tree").distinct().count() == 4
+    first = models.Fitted("random_forest", "trees", base=fitted.base.where("tree < 2"))
+    scores = [{r.id: r.score for r in m.score(df).collect()} for m in (first, models.Fitted("random_forest", "probability", [whole]))]
+    assert scores[0] == pytest.approx(scores[1], abs=1e-12)
+    assert first.importances(4) == pytest.approx(whole.featureImportances.toArray().tolist())
+    right = fitted.score(df).where((F.col("score") > 0.5) == (F.col("y") == 1)).count()
+    assert right >= 285
