@@ -5,11 +5,12 @@ four and five letters. Filters of several widths run over the words, each keeps
 its maximum over the whole text, and a logistic layer turns the maxima into a
 score from 0 to 1. Thresholds are calibrated for each language.
 
-Only training is bounded: ``CnnParams.per_class`` labelled texts of each class, of
-``max_train_chars`` at most, chosen by a hash of their id; longer ones take part in the
-calibration alone. Thresholds are calibrated on texts held out of training, each weighted
-so that its class and length stand for all labelled rows of these. Scoring covers whole
-texts, in blocks of words that overlap by the widest filter.
+Training reads all labelled texts, whole, but those held out: a fifth, chosen by a hash of
+their id, from whose scores the thresholds are calibrated, all of them, by hundredths of log
+odds, each class weighted so that it stands for all its labelled rows. In a pass each part of
+the rows trains a copy of the weights in its task; the next pass starts from their mean, taken
+for an embedding row over the parts that changed it. Only weights reach the driver. Training
+and scoring work in blocks of words that overlap by the widest filter.
 
 Null and empty texts are scored as texts without words. Labelled rows whose label
 or text is null are not learned from; without rows of both classes the score is
@@ -19,20 +20,26 @@ columns pass through; an added column whose name is taken gets an underscore.
 
 from __future__ import annotations
 
+import math
 import string
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netlens.functions.lineage import scratch
 from netlens.llm.common import cut_lineage, extended, fresh, small_batches, with_columns
 
 
+KEPT_WORDS = 1 << 17
+CELLS = 100
+
+
 @dataclass(frozen=True)
 class CnnParams:
     buckets: int = 1 << 16
@@ -42,10 +49,11 @@ class CnnParams:
     epochs: int = 8
     batch: int = 32
     rate: float = 0.08
-    per_class: int = 2500
-    max_train_chars: int = 40_000
+    per_class: int = 2500  #: of a part; a part has about twice as many rows
+    max_train_chars: int = 40_000  #: no longer read: texts of all lengths are trained on
     calibration: float = 0.2
     min_positives: int = 20
+    small_loss: float = 0.01
     block_words: int = 100_000
     seed: int = 11
 
@@ -81,6 +89,30 @@ def features(words: list[str], buckets: int) -> np.ndarray:
 # -- training -----------------------------------------------------------------------------------------------------
 
 
+class Words:
+    """Codes of words and their embedding rows; beyond ``KEPT_WORDS`` words all are forgotten before the next call."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.index, self.rows = buckets, _Index(), np.empty((0, 4), np.int32)
+
+    def codes(self, words: list[str]) -> tuple[np.ndarray, int]:
+        """The words' codes, and the first code that is new."""
+        if len(self.index) > KEPT_WORDS:
+            self.index, self.rows = _Index(), self.rows[:0]
+        known = len(self.index)
+        code = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
+        new = list(islice(reversed(self.index), len(self.index) - known))[::-1]
+        if new:
+            self.rows = np.concatenate([self.rows, features(new, self.buckets)])
+        return code, known
+
+
+class _Index(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        return code
+
+
 def _pool(x: np.ndarray, starts: np.ndarray, kernel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximum of each filter in each text, and the position where it stands."""
     width = len(kernel)
@@ -91,60 +123,188 @@ def _pool(x: np.ndarray, starts: np.ndarray, kernel: np.ndarray) -> tuple[np.nda
     return np.take_along_axis(z, at, 0), at
 
 
-def train(texts: list[list[str]], labels: np.ndarray, params: CnnParams) -> Cnn:
+def _pieces(starts: np.ndarray, end: int, pad: int, block: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Groups of (text, start, end) of about ``block`` words; longer texts in pieces that overlap by the widest filter."""
+    group, size = [], 0
+    for k, (a, b) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), end], strict=True)):
+        for at in range(a, max(a + 1, b - pad + 1), block):
+            group.append((k, at, min(b, at + block + pad - 1)))
+            size += group[-1][2] - at
+            if size >= block:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+class Trainer:
     """Adagrad over mini-batches; both classes weigh the same."""
-    model = Cnn(params, share=float(labels.mean()) if len(labels) else 0.0)
-    if len(labels) == 0 or labels.min() == labels.max():
+
+    def __init__(self, params: CnnParams, weights: list[np.ndarray], seen: list[np.ndarray], mean: float):
+        self.params, self.words, self.pad = params, Words(params.buckets), max(params.widths)
+        self.weights, self.seen = [w.copy() for w in weights], [w.copy() for w in seen]
+        self.balance = np.array([0.5 / (1 - mean), 0.5 / mean], np.float32)
+        self.touched = np.zeros(params.buckets, bool)
+
+    def _step(self, k: int, grad: np.ndarray, at: np.ndarray | slice = slice(None)) -> None:
+        self.seen[k][at] += grad * grad
+        self.weights[k][at] -= self.params.rate * grad / np.sqrt(self.seen[k][at])
+
+    def _pooled(self, code: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each width the filters' maxima in whole texts, and their positions."""
+        emb, kernels = self.weights[0], self.weights[1:-3]
+        uniq, place = np.unique(code, return_inverse=True)
+        vectors = emb[self.words.rows[uniq]].sum(1)
+        tops = [np.full((len(starts), k.shape[2]), -np.inf, np.float32) for k in kernels]
+        ats = [np.zeros(t.shape, np.int64) for t in tops]
+        for group in _pieces(starts, len(code), self.pad, self.params.block_words):
+            begins = np.cumsum([0, *(b - a for _, a, b in group[:-1])])
+            x = vectors[np.concatenate([place[a:b] for _, a, b in group])]
+            shift = np.array([a for _, a, _ in group]) - begins
+            for top, at, kernel in zip(tops, ats, kernels, strict=True):
+                best, where = _pool(x, begins, kernel)
+                for (k, _, _), v, w, d in zip(group, best, where, shift, strict=True):
+                    more = v > top[k]
+                    top[k][more], at[k][more] = v[more], (w + d)[more]
+        return tops, ats
+
+    def learn(self, texts: list[list[str]], y: np.ndarray) -> float:
+        """One step; the batch's weighted loss before it."""
+        p = self.params
+        padded = [[*t, *[""] * self.pad] for t in texts]
+        starts = np.cumsum([0, *(len(t) for t in padded[:-1])])
+        code, _ = self.words.codes([w for t in padded for w in t])
+        emb, kernels, (bias, out, out_bias) = self.weights[0], self.weights[1:-3], self.weights[-3:]
+        rows = self.words.rows
+        pooled, at = self._pooled(code, starts)
+        raw = np.concatenate(pooled, 1) + bias
+        hidden = np.maximum(raw, 0)
+        prob = 1 / (1 + np.exp(-np.clip(hidden @ out + out_bias[0], -30, 30)))
+        weigh = self.balance[y]
+        loss = -weigh * np.log(np.maximum(np.where(y == 1, prob, 1 - prob), 1e-13))
+        err = ((prob - y) * weigh / len(y)).astype(np.float32)
+        back = err[:, None] * out * (raw > 0)
+        touched, change = [], []
+        for k, kernel in enumerate(kernels):
+            g = back[:, k * p.filters : (k + 1) * p.filters]
+            grad = np.empty_like(kernel)
+            for j in range(len(kernel)):
+                here = rows[code[at[k] + j]]
+                grad[j] = np.einsum("dfc,df->cf", emb[here].sum(2), g)
+                touched.append(here.reshape(-1, here.shape[2]))
+                change.append((g[:, :, None] * kernel[j].T).reshape(-1, p.dim))
+            self._step(1 + k, grad)
+        self._step(len(self.weights) - 3, back.sum(0))
+        self._step(len(self.weights) - 2, hidden.T @ err)
+        self._step(len(self.weights) - 1, np.array([err.sum()], np.float32))
+        change, hit = np.concatenate(change), np.concatenate(touched).ravel()
+        uniq, inverse = np.unique(hit, return_inverse=True)
+        total = np.zeros((len(uniq), p.dim), np.float32)
+        np.add.at(total, inverse, np.repeat(change, rows.shape[1], 0))
+        self._step(0, total, uniq)
+        self.touched[uniq] = True
+        return float(loss.sum())
+
+
+def _packed(arrays: list[np.ndarray], dim: int) -> np.ndarray:
+    """All weights as rows of ``dim`` numbers, those of the embedding first."""
+    rest = np.concatenate([a.ravel() for a in arrays[1:]])
+    return np.concatenate([arrays[0], np.pad(rest, (0, -len(rest) % dim)).reshape(-1, dim)])
+
+
+def _unpacked(packed: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    out, at = [packed[: len(like[0])]], 0
+    rest = packed[len(like[0]) :].ravel()
+    for a in like[1:]:
+        out.append(rest[at : at + a.size].reshape(a.shape))
+        at += a.size
+    return out
+
+
+_CHANGES = "part int, slot int, n double, v array<float>"
+_ARROW = pa.schema([("part", pa.int32()), ("slot", pa.int32()), ("n", pa.float64()), ("v", pa.list_(pa.float32()))])
+
+
+def _changes(batch: list) -> pa.RecordBatch:
+    part, slots, n, values = batch
+    flat = pa.array(np.ascontiguousarray(values, np.float32).ravel())
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), flat)
+    fixed = pa.array(np.full(len(slots), part, np.int32)), pa.array(slots.astype(np.int32)), pa.array(np.full(len(slots), float(n)))
+    return pa.RecordBatch.from_arrays([*fixed, lists], schema=_ARROW)
+
+
+def _pass(rows: DataFrame, weights: list[np.ndarray], seen: list[np.ndarray], mean: float, params: CnnParams, epoch: int) -> DataFrame:
+    """One pass over (part, y, t): what a learner of each part changes, averaged over the parts that change it.
+
+    Rows (slot, n, v): changes of a row of packed weights and of their Adagrad sums; slot -1 holds the mean loss.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((weights, seen))  # of a size fixed by the parameters
+
+    def ended(part: int, n: int, loss: float, learner: Trainer) -> pa.RecordBatch:
+        old, old_seen = (_packed(a, params.dim) for a in shared.value)
+        new, new_seen = _packed(learner.weights, params.dim), _packed(learner.seen, params.dim)
+        slots = np.r_[np.flatnonzero(learner.touched), params.buckets : len(new)]
+        change = np.concatenate([new[slots] - old[slots], new_seen[slots] - old_seen[slots]], 1)
+        return _changes([part, np.r_[-1, slots], n, np.concatenate([np.full((1, 2 * params.dim), loss / n), change])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, loss, learner = None, 0, 0.0, None
+        for batch in small_batches(batches, 2, 1 << 23):
+            part, y, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            for ids in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+                if now != part[ids[0]]:
+                    if learner:
+                        yield ended(now, n, loss, learner)
+                    now, n, loss, learner = int(part[ids[0]]), 0, 0.0, Trainer(params, *shared.value, mean)
+                order = np.random.default_rng([params.seed, epoch, now, n]).permutation(ids)
+                for a in range(0, len(order), params.batch):
+                    some = order[a : a + params.batch]
+                    loss += learner.learn([words_of(texts[int(i)].as_py()) for i in some], y[some])
+                    n += len(some)
+        if learner:
+            yield ended(now, n, loss, learner)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if found:
+            slot, n = (np.concatenate([b.column(k).to_numpy() for b in found]) for k in (1, 2))
+            v = np.concatenate([b.column(3).flatten().to_numpy(zero_copy_only=False) for b in found]).reshape(len(slot), -1)
+            slots, first = np.unique(slot, return_index=True)
+            total = np.add.reduceat(n, first)
+            means = np.add.reduceat(v * n[:, None], first, axis=0) / total[:, None]
+            yield _changes([0, slots, 1, means])
+
+    changes = rows.select("part", "y", "t").mapInArrow(run, _CHANGES)
+    return changes.repartition("slot").sortWithinPartitions("slot", "part", "n").mapInArrow(merged, _CHANGES)
+
+
+def train(rows: DataFrame, n: int, toxic: int, params: CnnParams) -> Cnn:
+    """Passes over all of (part, y, t), ordered by part in their files, of which ``toxic`` of ``n`` are of class 1.
+
+    A pass trains one learner on each part of about twice ``per_class`` rows, all from the same weights, and goes on from the
+    mean of what they changed. Passes end early when the mean loss of one, taken before each step, is below ``small_loss``.
+    """
+    model = Cnn(params)
+    if toxic in (0, n):
         return model
     rng = np.random.default_rng(params.seed)
-    pad = max(params.widths)
-    index: dict[str, int] = {}
-    codes = [np.array([index.setdefault(w, len(index)) for w in [*t, *[""] * pad]], np.int32) for t in texts]
-    rows = features(list(index), params.buckets)
     size = [(params.buckets, params.dim), *((w, params.dim, params.filters) for w in params.widths)]
     weights = [rng.normal(0, 0.1, s).astype(np.float32) for s in size]
     n_out = params.filters * len(params.widths)
     weights += [np.zeros(n_out, np.float32), rng.normal(0, 0.3, n_out).astype(np.float32), np.zeros(1, np.float32)]
     seen = [np.full(w.shape, 1e-3, np.float32) for w in weights]
-    emb, kernels, (bias, out, out_bias) = weights[0], weights[1:-3], weights[-3:]
-    balance = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
-
-    def step(k: int, grad: np.ndarray, at: np.ndarray | slice = slice(None)) -> None:
-        seen[k][at] += grad * grad
-        weights[k][at] -= params.rate * grad / np.sqrt(seen[k][at])
-
-    for _ in range(params.epochs):
-        order = rng.permutation(len(labels))
-        for b in range(0, len(order), params.batch):
-            ids = order[b : b + params.batch]
-            code = np.concatenate([codes[i] for i in ids])
-            starts = np.cumsum([0, *(len(codes[i]) for i in ids[:-1])])
-            x = emb[rows[code]].sum(1)
-            pooled, at = zip(*(_pool(x, starts, k) for k in kernels), strict=True)
-            raw = np.concatenate(pooled, 1) + bias
-            hidden = np.maximum(raw, 0)
-            p = 1 / (1 + np.exp(-np.clip(hidden @ out + out_bias[0], -30, 30)))
-            err = (p - labels[ids]) * balance[ids] / len(ids)
-            back = err[:, None] * out * (raw > 0)
-            touched, change = [], []
-            for k, kernel in enumerate(kernels):
-                g = back[:, k * params.filters : (k + 1) * params.filters]
-                grad = np.empty_like(kernel)
-                for j in range(len(kernel)):
-                    where = at[k] + j
-                    grad[j] = np.einsum("dfc,df->cf", x[where], g)
-                    touched.append(code[where].ravel())
-                    change.append((g[:, :, None] * kernel[j].T).reshape(-1, params.dim))
-                step(1 + k, grad)
-            step(len(weights) - 3, back.sum(0))
-            step(len(weights) - 2, hidden.T @ err)
-            step(len(weights) - 1, np.array([err.sum()], np.float32))
-            change, hit = np.concatenate(change), rows[np.concatenate(touched)].ravel()
-            uniq, inverse = np.unique(hit, return_inverse=True)
-            total = np.zeros((len(uniq), params.dim), np.float32)
-            np.add.at(total, inverse, np.repeat(change, rows.shape[1], 0))
-            step(0, total, uniq)
-    model.embedding, model.kernels, model.bias, model.out, model.out_bias = emb, kernels, bias, out, float(out_bias[0])
+    for epoch in range(params.epochs):
+        found = _pass(rows, weights, seen, toxic / n, params, epoch).select("slot", "v").toArrow()  # fixed by the parameters
+        slots, v = found["slot"].to_numpy(), found["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(found.num_rows, -1)
+        change = np.zeros((len(_packed(weights, params.dim)), 2 * params.dim), np.float32)
+        change[slots[slots >= 0]] = v[slots >= 0]
+        weights, seen = (
+            _unpacked(_packed(a, params.dim) + change[:, at : at + params.dim], a) for a, at in ((weights, 0), (seen, params.dim))
+        )
+        if v[slots < 0][0, 0] < params.small_loss:
+            break
+    model.embedding, model.kernels, (model.bias, model.out) = weights[0], weights[1:-3], weights[-3:-1]
+    model.out_bias = float(weights[-1][0])
     return model
 
 
@@ -159,15 +319,17 @@ class Scorer:
         self.pad = max(p.widths)
         if model.embedding is not None:
             self.parts = np.concatenate([model.embedding @ k[j] for k in model.kernels for j in range(len(k))], 1)
+            self.words, self.sums = Words(p.buckets), np.empty((0, self.parts.shape[1]), np.float32)
 
     def _maxima(self, words: list[str], starts: np.ndarray) -> np.ndarray:
         """Maxima of the filters for texts that begin at ``starts``; each ends with padding."""
-        p, index = self.model.params, {}
-        code = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words))
-        rows = features(list(index), p.buckets)
-        parts = self.parts[rows[:, 0]]
+        p = self.model.params
+        code, known = self.words.codes(words)
+        rows = self.words.rows[known:]
+        new = self.parts[rows[:, 0]]
         for k in range(1, rows.shape[1]):
-            parts += self.parts[rows[:, k]]
+            new += self.parts[rows[:, k]]
+        parts = self.sums = np.concatenate([self.sums[:known], new])
         out, at = [], 0
         for width in p.widths:
             z = np.full((len(code), p.filters), -1e30, np.float32)
@@ -246,47 +408,44 @@ def fit(
     learn: Column | None = None,
     params: CnnParams | None = None,
 ) -> Cnn:
-    """Fit on ``per_class`` labelled texts of each class; ``learn`` is a condition on the key."""
+    """Fit on all labelled texts; ``learn`` is a condition on the key."""
     params = params or CnnParams()
     marks = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)")
     known = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
     if learn is not None:
         known = known.where(learn)
-    long = (F.length(text) > params.max_train_chars).cast("int")
-    lengths = known.select(F.col(key).alias("k"), long.alias("long"))
-    marked = cut_lineage(marks.distinct().join(lengths, "k").withColumn("h", F.xxhash64("k", F.lit(params.seed))))
-    totals = {(r.y, r.long): r.n for r in marked.groupBy("y", "long").agg(F.count("*").alias("n")).collect()}
-    keys = marked.select("k", "y", "h", "long").distinct()
-    limits = {0: params.per_class, 1: max(1, round(params.per_class * params.calibration))}
-    chosen = [
-        r for y in (0, 1) for long, n in limits.items()
-        for r in keys.where((F.col("y") == y) & (F.col("long") == long)).orderBy("h", "k").limit(n).collect()
-    ]
-    if not chosen:
+    texts = known.select(
+        F.col(key).alias("k"), F.col(text).alias("t"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("l")
+    )
+    marks = marks.distinct().withColumn("h", F.xxhash64("k", F.lit(params.seed)))
+    marks = marks.withColumn("held", F.pmod("h", F.lit(max(2, round(1 / params.calibration)))) == 0)
+    counts = {(r.y, r.held): r.n for r in texts.select("k").join(marks, "k").groupBy("y", "held").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return Cnn(params)
-    session = docs.sparkSession
-    ids = session.createDataFrame([tuple(r) for r in chosen], f"k {dict(docs.dtypes)[key]}, y int, h long, long int")
-    rows = known.select(
-        F.col(key).alias("k"), F.col(text).alias("t"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("l"),
-        long.alias("long"),
-    ).join(F.broadcast(ids), ["k", "long"])
-    sample = rows.where("long = 0").toPandas().sort_values(["h", "k", "y", "t"], kind="stable")
-    texts = [words_of(t) for t in sample["t"]]
-    y = sample["y"].to_numpy(np.float32)
-    held = np.arange(len(y)) % max(2, round(1 / params.calibration)) == 0
-    model = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held], params)
-    scores = Scorer(model).scores(list(sample["t"][held]))
-    kinds = [(int(v), 0) for v in y[held]]
-    langs = [x if isinstance(x, str) else None for x in sample["l"][held]]
-    if any(long for _, long in totals):  # scored on Spark: their texts can be of any length
-        more = score_toxicity(rows.where("long = 1"), model, text="t", lang="l").select("y", "l", "score")
-        more = more.orderBy("score", "y", "l").collect()
-        scores = np.append(scores, [r.score for r in more])
-        kinds += [(r.y, 1) for r in more]
-        langs += [r.l for r in more]
-    seen = Counter(kinds)
-    weights = np.array([totals[k] / seen[k] for k in kinds])
-    calibrate(model, scores, np.array([k[0] for k in kinds], np.float32), langs, weights)
+    totals = [counts.get((y, False), 0) + counts.get((y, True), 0) for y in (0, 1)]
+    learned = [counts.get((y, False), 0) for y in (0, 1)]
+    parts = max(1, math.ceil(sum(learned) / (2 * params.per_class)))
+    with scratch(docs.sparkSession):
+        if known.count() <= 8 * sum(totals):  # the join's partitions are the parts, so texts move once
+            joined = texts.repartition(parts, "k").join(marks.repartition(parts, "k").hint("merge"), "k")
+            placed = joined.withColumn("part", F.pmod(F.hash("k"), F.lit(parts)))
+        else:  # few labels: labelled texts move a second time
+            joined = texts.join(marks.hint("merge"), "k").withColumn("part", F.pmod(F.hash("k"), F.lit(parts)))
+            placed = joined.repartitionById(parts, "part")
+        rows = cut_lineage(placed.sortWithinPartitions("part", "h", "k", "y", "t").select("part", "held", "k", "y", "t", "l"))
+        model = train(rows.where("not held"), sum(learned), learned[1], params)
+        model.share = totals[1] / sum(totals)
+        scored = score_toxicity(rows.where("held").select("t", "l", "y"), model, text="t", lang="l")
+        sure = F.least(F.greatest("score", F.lit(1e-15)), F.lit(1 - 1e-15))
+        cells = scored.groupBy("l", "y", F.round(F.ln(sure / (1 - sure)) * CELLS).cast("int").alias("cell"))
+        found = cells.agg(F.count("*").alias("n")).orderBy("cell", "y", "l").collect()  # languages x classes x 70 CELLS at most
+    # a cell stands for n texts; as many entries of it as decide whether there are ``min_positives``
+    times = np.array([min(r.n, params.min_positives + 1) for r in found], int)
+    weights = np.array([r.n * totals[r.y] / counts[r.y, True] for r in found], float) / times
+    scores = 1 / (1 + np.exp(-np.array([r.cell for r in found], float) / CELLS))
+    y = np.array([r.y for r in found], np.float32)
+    entries = np.repeat(np.arange(len(found)), times)
+    calibrate(model, scores[entries], y[entries], [found[k].l for k in entries], weights[entries])
     return model
 
 

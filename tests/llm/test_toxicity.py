@@ -108,3 +108,54 @@ def test_thresholds_do_not_depend_on_the_caps(spark):
     assert seen == [pytest.approx((100, 1400))] * 2
     s, y = np.array([0.9, 0.8, 0.7, 0.6]), np.array([1, 0, 1, 0])
     assert tx.threshold(s, y) == pytest.approx(0.65) and tx.threshold(s, y, np.array([1, 9, 1, 9])) == pytest.approx(0.85)
+
+
+def test_rare_words_of_any_text_are_learned(spark):
+    """Each toxic row has a word of its own kind, some in long texts; a capped sample misses most kinds."""
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(30)]
+    rows = []
+    for k in range(1200):
+        text = [*rng.choice(words, 8), *([f"{'abcdefghijkl'[k // 2 % 12]}slur"] if k % 2 else [])]
+        rows.append((k, " ".join(text) + " pad" * (200 if k % 5 == 3 else 0), "en", "x"))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    marks = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    read = []
+    original, tx.train = tx.train, lambda rows, *rest: (read.append(sorted(r.k for r in rows.collect())), original(rows, *rest))[1]
+    try:
+        model = tx.fit(docs, marks, params=tx.CnnParams(buckets=1 << 10, epochs=10, per_class=60, max_train_chars=100, min_positives=5))
+    finally:
+        tx.train = original
+    scored = tx.score_toxicity(docs, model).collect()
+    held = {r.doc_id for r in scored} - set(read[0])
+    assert 0.15 * 1200 < len(held) < 0.25 * 1200 and any(k % 5 == 3 for k in read[0])
+    assert sum((r._score >= 0.5) == (r.doc_id % 2 == 1) for r in scored) >= 0.97 * len(scored)
+
+
+def test_long_texts_train_in_pieces():
+    params = tx.CnnParams(buckets=1 << 10, block_words=1000)
+    rng = np.random.default_rng(4)
+    size = [(params.buckets, params.dim), *((w, params.dim, params.filters) for w in params.widths)]
+    weights = [rng.normal(0, 0.1, s).astype(np.float32) for s in size] + [np.zeros(24, np.float32), rng.normal(0, 0.3, 24).astype(np.float32), np.zeros(1, np.float32)]
+    seen = [np.full(w.shape, 1e-3, np.float32) for w in weights]
+    texts = [[f"w{k}" for k in rng.integers(0, 60, n)] for n in (0, 1, 5, 30, 200)]
+    done = []
+    for block in (3, 7, 1000):
+        learner = tx.Trainer(tx.CnnParams(**{**vars(params), "block_words": block}), weights, seen, 0.4)
+        losses = [learner.learn(texts, np.array([0, 1, 0, 1, 0])) for _ in range(3)]
+        done.append((losses, learner.weights))
+    assert done[0][0] == pytest.approx(done[2][0], abs=1e-5) and done[1][0] == pytest.approx(done[2][0], abs=1e-5)
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(done[0][1], done[2][1], strict=True))
+    assert done[2][0][2] < done[2][0][0]
+
+
+def test_few_labels_among_many_texts(spark, fitted):
+    docs = fitted[0]
+    few = docs.where("doc_id < 12").selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic")
+    read = []
+    original, tx.train = tx.train, lambda rows, n, toxic, params: (read.append((rows.count(), n, toxic)), original(rows, n, toxic, params))[1]
+    try:
+        tx.fit(docs, few, params=PARAMS)
+    finally:
+        tx.train = original
+    assert read[0][0] == read[0][1] >= 6 and 0 < read[0][2] < read[0][1]
