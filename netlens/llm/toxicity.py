@@ -29,7 +29,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens.functions.lineage import scratch
@@ -221,40 +221,63 @@ def _unpacked(packed: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-_CHANGES = "part int, slot int, n double, v array<float>"
-_ARROW = pa.schema([("part", pa.int32()), ("slot", pa.int32()), ("n", pa.float64()), ("v", pa.list_(pa.float32()))])
+FAN_IN = 8
+_SUMS = "weight double, loss double, wide boolean, n binary, v binary"
+_ARROW = pa.schema([("weight", pa.float64()), ("loss", pa.float64()), ("wide", pa.bool_()), ("n", pa.binary()), ("v", pa.binary())])
 
 
-def _changes(batch: list) -> pa.RecordBatch:
-    part, slots, n, values = batch
-    flat = pa.array(np.ascontiguousarray(values, np.float32).ravel())
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), flat)
-    fixed = pa.array(np.full(len(slots), part, np.int32)), pa.array(slots.astype(np.int32)), pa.array(np.full(len(slots), float(n)))
-    return pa.RecordBatch.from_arrays([*fixed, lists], schema=_ARROW)
+def _sums(weight: float, loss: float, n: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """A row that stands for ``weight`` times (loss, n, v): n and the numbers v of each row of packed weights."""
+    values = (weight, loss, v.dtype == np.float64, n.astype(np.float64).tobytes(), v.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, _ARROW, strict=True)], schema=_ARROW)
 
 
-def _pass(rows: DataFrame, weights: list[np.ndarray], seen: list[np.ndarray], mean: float, params: CnnParams, epoch: int) -> DataFrame:
-    """One pass over (part, y, t): what a learner of each part changes, averaged over the parts that change it.
+def _read(row: pa.RecordBatch | pa.Table) -> tuple[float, float, np.ndarray, np.ndarray]:
+    weight, loss, wide, n, v = (row.column(k)[0] for k in range(5))
+    n = np.frombuffer(n.as_buffer(), np.float64)
+    v = np.frombuffer(v.as_buffer(), np.float64 if wide.as_py() else np.float32)
+    return weight.as_py(), loss.as_py(), n, v.reshape(len(n), -1)
 
-    Rows (slot, n, v): changes of a row of packed weights and of their Adagrad sums; slot -1 holds the mean loss.
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row, the sum of all; a single row as it is."""
+    first, loss, n, v = None, 0.0, None, None
+    for batch in batches:
+        for row in (batch.slice(k, 1) for k in range(batch.num_rows)):
+            if first is None:
+                first = row
+                continue
+            if n is None:
+                weight, loss, n, v = _read(first)
+                loss, n, v = weight * loss, weight * n, weight * v.astype(np.float64)
+            weight, more, times, change = _read(row)
+            loss, n, v = loss + weight * more, n + weight * times, v + weight * change
+    if first is not None:
+        yield first if n is None else _sums(1.0, loss, n, v)
+
+
+def _pass(rows: DataFrame, weights: list[np.ndarray], seen: list[np.ndarray], mean: float, params: CnnParams, epoch: int) -> tuple[float, np.ndarray]:
+    """One pass over (part, y, t): the mean loss, and what a learner of each part changes, averaged over the parts that change it.
+
+    Changes are rows of packed weights and of their Adagrad sums. A task writes the sum of its learners, ``FAN_IN`` sums are
+    added in a task until few are left, and all are deleted before the next pass.
     """
     shared = rows.sparkSession.sparkContext.broadcast((weights, seen))  # of a size fixed by the parameters
 
-    def ended(part: int, n: int, loss: float, learner: Trainer) -> pa.RecordBatch:
+    def ended(n: int, loss: float, learner: Trainer) -> pa.RecordBatch:
         old, old_seen = (_packed(a, params.dim) for a in shared.value)
         new, new_seen = _packed(learner.weights, params.dim), _packed(learner.seen, params.dim)
-        slots = np.r_[np.flatnonzero(learner.touched), params.buckets : len(new)]
-        change = np.concatenate([new[slots] - old[slots], new_seen[slots] - old_seen[slots]], 1)
-        return _changes([part, np.r_[-1, slots], n, np.concatenate([np.full((1, 2 * params.dim), loss / n), change])])
+        changed = np.r_[learner.touched, np.ones(len(new) - params.buckets, bool)]
+        return _sums(n, loss / n, changed, np.concatenate([new - old, new_seen - old_seen], 1).astype(np.float32))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, n, loss, learner = None, 0, 0.0, None
         for batch in small_batches(batches, 2, 1 << 23):
             part, y, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             for ids in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
                 if now != part[ids[0]]:
                     if learner:
-                        yield ended(now, n, loss, learner)
+                        yield ended(n, loss, learner)
                     now, n, loss, learner = int(part[ids[0]]), 0, 0.0, Trainer(params, *shared.value, mean)
                 order = np.random.default_rng([params.seed, epoch, now, n]).permutation(ids)
                 for a in range(0, len(order), params.batch):
@@ -262,20 +285,15 @@ def _pass(rows: DataFrame, weights: list[np.ndarray], seen: list[np.ndarray], me
                     loss += learner.learn([words_of(texts[int(i)].as_py()) for i in some], y[some])
                     n += len(some)
         if learner:
-            yield ended(now, n, loss, learner)
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [b for b in batches if b.num_rows]
-        if found:
-            slot, n = (np.concatenate([b.column(k).to_numpy() for b in found]) for k in (1, 2))
-            v = np.concatenate([b.column(3).flatten().to_numpy(zero_copy_only=False) for b in found]).reshape(len(slot), -1)
-            slots, first = np.unique(slot, return_index=True)
-            total = np.add.reduceat(n, first)
-            means = np.add.reduceat(v * n[:, None], first, axis=0) / total[:, None]
-            yield _changes([0, slots, 1, means])
+            yield ended(n, loss, learner)
 
-    changes = rows.select("part", "y", "t").mapInArrow(run, _CHANGES)
-    return changes.repartition("slot").sortWithinPartitions("slot", "part", "n").mapInArrow(merged, _CHANGES)
+    with scratch(rows.sparkSession):
+        found = cut_lineage(rows.select("part", "y", "t").mapInArrow(lambda batches: _added(learned(batches)), _SUMS))
+        while (files := len(found.inputFiles())) > FAN_IN:
+            found = cut_lineage(found.coalesce(math.ceil(files / FAN_IN)).mapInArrow(_added, _SUMS))
+        weight, loss, n, v = _read(found.coalesce(1).mapInArrow(_added, _SUMS).toArrow())
+    # a learner's loss is a mean over its rows; slots of the dense layers count every row
+    return loss * weight / (weight * n[-1]), np.where(n[:, None] > 0, v * weight / np.maximum(weight * n, 1)[:, None], 0.0)
 
 
 def train(rows: DataFrame, n: int, toxic: int, params: CnnParams) -> Cnn:
@@ -294,14 +312,12 @@ def train(rows: DataFrame, n: int, toxic: int, params: CnnParams) -> Cnn:
     weights += [np.zeros(n_out, np.float32), rng.normal(0, 0.3, n_out).astype(np.float32), np.zeros(1, np.float32)]
     seen = [np.full(w.shape, 1e-3, np.float32) for w in weights]
     for epoch in range(params.epochs):
-        found = _pass(rows, weights, seen, toxic / n, params, epoch).select("slot", "v").toArrow()  # fixed by the parameters
-        slots, v = found["slot"].to_numpy(), found["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(found.num_rows, -1)
-        change = np.zeros((len(_packed(weights, params.dim)), 2 * params.dim), np.float32)
-        change[slots[slots >= 0]] = v[slots >= 0]
+        loss, change = _pass(rows, weights, seen, toxic / n, params, epoch)
+        change = change.astype(np.float32)
         weights, seen = (
             _unpacked(_packed(a, params.dim) + change[:, at : at + params.dim], a) for a, at in ((weights, 0), (seen, params.dim))
         )
-        if v[slots < 0][0, 0] < params.small_loss:
+        if loss < params.small_loss:
             break
     model.embedding, model.kernels, (model.bias, model.out) = weights[0], weights[1:-3], weights[-3:-1]
     model.out_bias = float(weights[-1][0])
@@ -418,7 +434,8 @@ def fit(
         F.col(key).alias("k"), F.col(text).alias("t"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("l")
     )
     marks = marks.distinct().withColumn("h", F.xxhash64("k", F.lit(params.seed)))
-    marks = marks.withColumn("held", F.pmod("h", F.lit(max(2, round(1 / params.calibration)))) == 0)
+    held = F.pmod("h", F.lit(max(2, round(1 / params.calibration)))) == 0
+    marks = marks.withColumn("held", held)
     counts = {(r.y, r.held): r.n for r in texts.select("k").join(marks, "k").groupBy("y", "held").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Cnn(params)
@@ -426,12 +443,14 @@ def fit(
     learned = [counts.get((y, False), 0) for y in (0, 1)]
     parts = max(1, math.ceil(sum(learned) / (2 * params.per_class)))
     with scratch(docs.sparkSession):
-        if known.count() <= 8 * sum(totals):  # the join's partitions are the parts, so texts move once
-            joined = texts.repartition(parts, "k").join(marks.repartition(parts, "k").hint("merge"), "k")
-            placed = joined.withColumn("part", F.pmod(F.hash("k"), F.lit(parts)))
+        part = F.pmod(F.hash("k"), F.lit(parts))
+        if known.count() <= 8 * sum(totals):  # texts move once, by their part; most partitions hold one part or none
+            both = texts.unionByName(marks.drop("held"), allowMissingColumns=True).withColumn("part", part)
+            own = Window.partitionBy("part", "k")  # a join would shuffle by both columns again
+            placed = both.repartition(8 * parts, "part").withColumns({"ys": F.collect_set("y").over(own), "h": F.max("h").over(own)})
+            placed = placed.where("t is not null").withColumn("y", F.explode("ys")).withColumn("held", held)
         else:  # few labels: labelled texts move a second time
-            joined = texts.join(marks.hint("merge"), "k").withColumn("part", F.pmod(F.hash("k"), F.lit(parts)))
-            placed = joined.repartitionById(parts, "part")
+            placed = texts.join(marks.hint("merge"), "k").withColumn("part", part).repartitionById(parts, "part")
         rows = cut_lineage(placed.sortWithinPartitions("part", "h", "k", "y", "t").select("part", "held", "k", "y", "t", "l"))
         model = train(rows.where("not held"), sum(learned), learned[1], params)
         model.share = totals[1] / sum(totals)

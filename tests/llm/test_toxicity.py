@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from netlens.functions.lineage import list_names, shared_folder
 from netlens.llm import toxicity as tx
 
 PARAMS = tx.CnnParams(buckets=1 << 12, epochs=10, per_class=200, min_positives=5)
@@ -159,3 +160,38 @@ def test_few_labels_among_many_texts(spark, fitted):
     finally:
         tx.train = original
     assert read[0][0] == read[0][1] >= 6 and 0 < read[0][2] < read[0][1]
+
+
+def test_a_part_has_one_learner_and_leaves_no_changes(spark, tmp_path, monkeypatch):
+    """However many partitions rows are dealt over; a pass shuffles nothing and its sums are deleted."""
+    rows, labels = corpus(480)
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    plain, places, left = tx.DataFrame.repartition, [], []
+    monkeypatch.setattr(tx.DataFrame, "repartition", lambda df, n, *keys: plain(df, max(n, 37), *keys) if isinstance(n, int) else plain(df, n, *keys))
+    once = tx._pass
+
+    def noted(rows, *rest):
+        files = rows.select("part", tx.F.input_file_name().alias("f")).distinct().collect()
+        places.append((len(files), len({r.part for r in files})))
+        folder = shared_folder(spark)
+        before = set(list_names(spark, folder))
+        out = once(rows, *rest)
+        left.append(set(list_names(spark, folder)) - before)
+        return out
+
+    monkeypatch.setattr(tx, "_pass", noted)
+    model = tx.fit(docs, marks, params=tx.CnnParams(**{**vars(PARAMS), "per_class": 20, "epochs": 3}))
+    assert places == [(places[0][1], places[0][1])] * 3 and places[0][1] > tx.FAN_IN and left == [set()] * 3
+    assert model.embedding is not None and np.isfinite(model.embedding).all()
+
+
+def test_sums_are_means_over_the_learners_that_change_a_row():
+    v = [np.full((3, 2), x, np.float32) for x in (1.0, 2.0, 4.0)]
+    n = [np.array([1.0, 0, 1]), np.array([1.0, 1, 1]), np.array([0.0, 1, 1])]
+    parts = [tx._sums(w, w / 2, k, x * k[:, None].astype(np.float32)) for w, k, x in zip((1, 2, 5), n, v, strict=True)]
+    (one,) = tx._added([parts[0]])
+    assert one.equals(parts[0])
+    for batches in (parts, [next(tx._added(parts[:2])), parts[2]]):
+        weight, loss, times, total = tx._read(next(tx._added(batches)))
+        assert (weight, loss) == (1.0, 0.5 + 2 + 12.5) and times.tolist() == [3, 7, 8]
+        assert total[:, 0].tolist() == [5, 24, 25]
