@@ -317,7 +317,7 @@ QUERIES["flow_record_profile"] = _full_record
 def _extended(name: str, cols: dict[str, str], digits: int = 6, source: str = "ann", **special):
     def run(spark, sf_dir):
         ext = prepared(
-            spark, sf_dir, "extended", lambda: extended.extended_records(assigned(spark, sf_dir), FIXTURE)
+            spark, sf_dir, "extended", lambda: extended.extended_records(assigned(spark, sf_dir), FIXTURE, ())
         )
         return rounded(ext.select(F.col("start_seq").alias("first_seq"), *cols), digits, **special)
 
@@ -365,7 +365,7 @@ def _spread_ctes(value: str, where: str) -> str:
 def _spread(name: str, prefix: str, value: str, where: str, cols: list[str], scale: float, empty: bool, **digits):
     def run(spark, sf_dir):
         ext = prepared(
-            spark, sf_dir, "extended", lambda: extended.extended_records(assigned(spark, sf_dir), FIXTURE)
+            spark, sf_dir, f"extended-{prefix}", lambda: extended.extended_records(assigned(spark, sf_dir), FIXTURE, [prefix])
         )
         return rounded(
             ext.select(F.col("start_seq").alias("first_seq"), *[f"{prefix}_{c}" for c in cols]),

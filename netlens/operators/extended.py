@@ -7,6 +7,9 @@ and only values of those ranges are ordered, by range. No flow is held as a whol
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +20,7 @@ from netlens.operators.features import FLOW_START
 from netlens.params import MICROS, FlowParams
 
 BUCKETS = 256
+SPREADS = ("pkt_len", "pkt_time", "response")
 
 
 def _shape(name: str) -> dict[str, Column]:
@@ -84,12 +88,16 @@ def is_response() -> Column:
     return ~F.col("fwd") & F.coalesce(F.col("prev_fwd"), F.lit(False))
 
 
-def extended_records(assigned: DataFrame, p: FlowParams | None = None) -> DataFrame:
-    """FX1-FX6, FX8, FX9, FX12: one row per flow, identified by ``start_us, start_seq``."""
+def extended_records(assigned: DataFrame, p: FlowParams | None = None, spreads: Sequence[str] = SPREADS) -> DataFrame:
+    """FX1-FX6, FX8, FX9, FX12: one row per flow, identified by ``start_us, start_seq``.
+
+    Only values named in ``spreads`` get moments, medians and modes; the flows are the same.
+    """
     p = p or FlowParams()
     fwd, length, header = F.col("fwd"), F.col("length"), F.col("header_len")
     flow = [*p.key_columns, *FLOW_START]
-    values = {"pkt_len": length, "pkt_time": F.col("us") - F.col("start_us"), "response": F.when(is_response(), F.col("gap_us"))}
+    known = {"pkt_len": length, "pkt_time": F.col("us") - F.col("start_us"), "response": F.when(is_response(), F.col("gap_us"))}
+    values = {n: v for n, v in known.items() if n in spreads}
     flows = assigned.groupBy(*flow).agg(
         F.max("us").alias("end_us"),
         F.coalesce(F.sum(F.when(fwd, length)), F.lit(0)).alias("bytes_sent"),
@@ -101,22 +109,22 @@ def extended_records(assigned: DataFrame, p: FlowParams | None = None) -> DataFr
         F.min(F.when(fwd, header)).alias("fwd_header_min"),
         F.min(F.when(~fwd, header)).alias("bwd_header_min"),
         F.max(F.when(F.col("is_first"), F.col("ttl"))).alias("initial_ttl"),
+        F.count(F.coalesce(*(v.cast("long") for v in known.values()))).alias("with_value"),
         *(c for n, v in values.items() for c in _spread(n, v)),
-    ).join(medians_and_modes(assigned, flow, values), flow)
-    flows = flows.withColumns({**_in_seconds("pkt_time"), **_in_seconds("response", -1.0)})
-    flows = flows.withColumns(
-        {
-            "pkt_len_std": F.sqrt("pkt_len_var"),
-            "pkt_time_std": F.sqrt("pkt_time_var"),
-            "response_std": F.when(F.col("response_n") == 0, F.lit(-1.0)).otherwise(F.sqrt("response_var")),
-        }
     )
+    flows = flows.where(reduce(Column.__and__, [F.col("with_value") > 0, *(F.col(c).isNotNull() for c in flow)]))
+    if values:
+        flows = flows.join(medians_and_modes(assigned, flow, values), flow, "left")
+    for n in values:
+        if n != "pkt_len":
+            flows = flows.withColumns(_in_seconds(n, -1.0 if n == "response" else None))
+        std = F.sqrt(f"{n}_var")
+        flows = flows.withColumn(f"{n}_std", F.when(F.col(f"{n}_n") == 0, F.lit(-1.0)).otherwise(std) if n == "response" else std)
+    for n in values:
+        flows = flows.withColumns(_shape(n))
     seconds = (F.col("end_us") - F.col("start_us")) / MICROS
     flows = flows.withColumns(
         {
-            **_shape("pkt_len"),
-            **_shape("pkt_time"),
-            **_shape("response"),
             "sent_rate": ratio(F.col("bytes_sent"), seconds, -1),
             "received_rate": ratio(F.col("bytes_received"), seconds, -1),
             "fwd_header_rate": ratio(F.col("fwd_header_total"), seconds, -1),
@@ -124,7 +132,7 @@ def extended_records(assigned: DataFrame, p: FlowParams | None = None) -> DataFr
             "header_in_out_ratio": ratio(F.col("fwd_header_total"), F.col("bwd_header_total"), -1),
         }
     )
-    return flows.drop(*p.key_columns, "start_d", "end_us", "response_n", "pkt_len_n", "pkt_time_n")
+    return flows.drop(*p.key_columns, "start_d", "end_us", "with_value", *(f"{n}_n" for n in values))
 
 
 def first_lengths(assigned: DataFrame, p: FlowParams | None = None, n: int = 50) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netlens import FlowParams
+from netlens.operators import extended
 from netlens.operators.extended import extended_records, first_lengths, response_times
 from netlens.operators.features import FLOW_COLUMNS, flow_records
 from netlens.operators.flows import assign_flows, with_balanced_slices
@@ -168,6 +169,23 @@ def test_extended(spark):
     assert lone.pkt_len_skew == -10 and lone.sent_rate == -1
 
 
+def test_extended_orders_asked_values_only(spark, monkeypatch):
+    """fx06 needs lengths; times and gaps, nearly all different, are neither counted nor written for it."""
+    rows = [packet(1, 0, A, B, length=10), packet(2, 1, B, A, length=10), packet(3, 2, A, B, length=40), packet(4, 900, A, B, length=7)]
+    assigned = assign_flows(frame(spark, rows))
+    assigned = assigned.withColumn("length", F.when(F.col("seq") < 4, F.col("length")))  # a flow without lengths and replies
+    ordered, plain = [], extended.medians_and_modes
+    monkeypatch.setattr(extended, "medians_and_modes", lambda df, flow, values: ordered.append(set(values)) or plain(df, flow, values))
+    whole = {r.start_seq: r.asDict() for r in extended_records(assigned).collect()}
+    assert len(whole) == 2 and ordered == [{"pkt_len", "pkt_time", "response"}]
+    for spreads in ([], ["pkt_len"], ["pkt_time"], ["response"]):
+        some = extended_records(assigned, None, spreads)
+        got = {r.start_seq: r.asDict() for r in some.collect()}
+        assert got == {k: {c: v for c, v in r.items() if c in some.columns} for k, r in whole.items()}
+        assert {c.rpartition("_")[0] for c in some.columns if c.endswith("_skew2")} == set(spreads)
+    assert ordered[1:] == [{"pkt_len"}, {"pkt_time"}, {"response"}]
+
+
 def test_late_packet_in_arrival_order(spark):
     rows = [packet(1, 0), packet(2, 4), packet(3, 1), packet(4, 5)]
     (r,) = records(spark, rows, FlowParams(arrival_gaps=True))
