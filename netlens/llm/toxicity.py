@@ -236,7 +236,7 @@ def _read(row: pa.RecordBatch | pa.Table) -> tuple[float, float, np.ndarray, np.
     weight, loss, wide, n, v = (row.column(k)[0] for k in range(5))
     n = np.frombuffer(n.as_buffer(), np.float64)
     v = np.frombuffer(v.as_buffer(), np.float64 if wide.as_py() else np.float32)
-    return weight.as_py(), loss.as_py(), n, v.reshape(len(n), -1)
+    return weight.as_py(), loss.as_py(), n, v.reshape(len(n), -1).astype(np.float64)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +249,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if n is None:
                 weight, loss, n, v = _read(first)
-                loss, n, v = weight * loss, weight * n, weight * v.astype(np.float64)
+                loss, n, v = weight * loss, weight * n, weight * v
             weight, more, times, change = _read(row)
             loss, n, v = loss + weight * more, n + weight * times, v + weight * change
     if first is not None:
