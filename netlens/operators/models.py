@@ -25,6 +25,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netlens.functions.codegen import short_methods
 from netlens.functions.lineage import cut_lineage, shared_folder, side_by_side
 from netlens.operators.boosting import boosted_stumps, flat, score_column
 from netlens.operators.knn import knn_join
@@ -322,7 +323,8 @@ def fit_model(name: str, strategy: str, df: DataFrame, settings: Settings | None
     check_strategy(name, strategy)
     if strategy == "class_weight":
         df = balanced_weights(df)
-    return TRAINERS[name](df, settings or Settings(), seed)
+    with short_methods(df.sparkSession):
+        return TRAINERS[name](df, settings or Settings(), seed)
 
 
 def available(names: list[str]) -> tuple[list[str], list[str]]:

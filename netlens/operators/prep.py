@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from netlens.functions.codegen import short_methods
 from netlens.functions.numbers import clean_double
 from netlens.operators.profile import feature_types
 
-SMALL = 1_000_000
-ACCURACY = 20_000
+SMALL = 100_000
+ACCURACY = 1_000
 MAX_CATEGORIES = 100_000
 
 
@@ -27,52 +28,48 @@ def exact_medians(df: DataFrame, columns: Sequence[str], small: int = SMALL) ->
 
     Up to ``small`` values per column one aggregation does it. Beyond, an
     approximate percentile with a guaranteed rank error brackets each median, and
-    only the values inside the bracket (2e-4 of the rows, counted per value) are
-    ordered.
+    only the values inside the bracket (under a hundredth of the rows, counted per
+    value) are ordered.
     """
     if not columns:
         return {}
-    counts = df.agg(*[F.count(_number(c)).alias(c) for c in columns]).first()
+    with short_methods(df.sparkSession):
+        return _medians(df, columns, small)
+
+
+def _medians(df: DataFrame, columns: Sequence[str], small: int) -> dict[str, float | None]:
+    names = [f"n{i}" for i in range(len(columns))]
+    numbers = df.select(*[_number(c).alias(n) for c, n in zip(columns, names, strict=True)])
+    counts = numbers.agg(*map(F.count, names)).first()
     if max(counts) <= small:
-        row = df.agg(*[F.percentile(_number(c), F.lit(0.5)).alias(c) for c in columns]).first()
+        row = numbers.agg(*[F.percentile(n, F.lit(0.5)) for n in names]).first()
         return dict(zip(columns, row, strict=True))
     edge = 2 / ACCURACY
-    row = df.agg(
-        *[F.percentile_approx(_number(c), [0.5 - edge, 0.5 + edge], ACCURACY).alias(c) for c in columns]
-    ).first()
-    bracket = dict(zip(columns, row, strict=True))
-    found: dict[str, float | None] = {c: None for c in columns if counts[c] == 0}
-    open_columns = [c for c in columns if counts[c]]
-    cells = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("name"),
-                        F.when(_number(c) < bracket[c][0], F.lit(float("-inf"))).otherwise(_number(c)).alias("value"),
-                        F.lit(bracket[c][1]).alias("top"),
-                        F.lit((counts[c] - 1) // 2).alias("low_rank"),
-                        F.lit(counts[c] // 2).alias("high_rank"),
-                    )
-                    for c in open_columns
-                ]
-            )
-        ).alias("cell")
-    ).select("cell.*")
-    upto = Window.partitionBy("name").orderBy("value")
+    bracket = numbers.agg(*[F.percentile_approx(n, [0.5 - edge, 0.5 + edge], ACCURACY) for n in names]).first()
+    found: dict[str, float | None] = dict.fromkeys(columns)
+    values = []  # beside the bracket: all smaller ones as one, larger ones left out
+    for c, ends in zip(columns, bracket, strict=True):
+        low, top = ends or (None, None)
+        values.append(F.when(_number(c) < low, F.lit(float("-inf"))).when(_number(c) <= top, _number(c)))
+    upto = Window.partitionBy("at").orderBy("value")
     ranks = (
-        cells.where("value <= top")
-        .groupBy("name", "value", "low_rank", "high_rank")
+        df.select(F.array(*values).alias("values"))
+        .select(F.posexplode("values").alias("at", "value"))
+        .where("value is not null")
+        .groupBy("at", "value")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto", F.sum("n").over(upto))
     )
-    holds = lambda rank: (F.col("upto") - F.col("n") <= F.col(rank)) & (F.col(rank) < F.col("upto"))
-    picked = ranks.groupBy("name").agg(
-        F.max(F.when(holds("low_rank"), F.col("value"))).alias("low"),
-        F.max(F.when(holds("high_rank"), F.col("value"))).alias("high"),
+
+    def at_rank(ranks_of: list[int]) -> Column:
+        rank = F.get(F.array(*map(F.lit, ranks_of)), F.col("at"))
+        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("value")))
+
+    picked = ranks.groupBy("at").agg(
+        at_rank([max(0, n - 1) // 2 for n in counts]).alias("low"), at_rank([n // 2 for n in counts]).alias("high")
     )
     for r in picked.collect():  # one row per column
-        found[r["name"]] = (r["low"] + r["high"]) / 2
+        found[columns[r["at"]]] = (r["low"] + r["high"]) / 2
     return found
 
 
@@ -157,7 +154,8 @@ def fit_preprocessor(
         prep.medians = {c: prep.medians[c] for c in prep.numeric}
     if scale and prep.numeric:
         aggs = [f(prep.imputed(c)) for c in prep.numeric for f in (F.avg, F.stddev_pop)]
-        row = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()
+        with short_methods(df.sparkSession):
+            row = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()
         prep.means = {c: row[2 * i] for i, c in enumerate(prep.numeric)}
         prep.deviations = {c: row[2 * i + 1] for i, c in enumerate(prep.numeric)}
     prep.modes = most_frequent(df, prep.categorical)
