@@ -38,6 +38,7 @@ from netlens.operators.trees import extra_trees, forest_table, importances, scor
 KNN_K, FOCAL_GAMMA = 7, 2.0
 EPS = 1e-6
 DRIVER_NODES = 2_000_000
+GROUP_TREES = 32
 
 
 @dataclass(frozen=True)
@@ -219,16 +220,22 @@ def fit_random_forest(df: DataFrame, s: Settings, seed: int) -> Fitted:
     """MD3; a forest of more than ``DRIVER_NODES`` possible nodes is grown in groups and becomes a table.
 
     A tree has fewer than two nodes for each row, and Spark ML keeps the trees of a fit on
-    the driver; so a group's trees are written before the next group is grown.
+    the driver; so a group's trees are written before the next group is grown. A later group
+    has as many trees, up to ``GROUP_TREES``, as twice the largest tree so far leaves room for.
     """
     together = max(1, DRIVER_NODES // max(1, 2 * df.count()))
     if together >= s.forest_trees:
         return Fitted("random_forest", "probability", [_forest(df, s, seed, s.forest_trees)])
-    folder, parts = f"{shared_folder(df.sparkSession)}/forest-{uuid.uuid4().hex}", []
-    for first in range(0, s.forest_trees, together):
-        _forest(df, s, seed + first, min(together, s.forest_trees - first)).save(f"{folder}/{first}")
+    points = cut_lineage(df.select("y", "features", *(c for c in ("weight",) if c in df.columns)))  # read by every group
+    folder, parts, first, largest = f"{shared_folder(df.sparkSession)}/forest-{uuid.uuid4().hex}", [], 0, 0
+    while first < s.forest_trees:
+        trees = min(together, s.forest_trees - first)
+        _forest(points, s, seed + first, trees).save(f"{folder}/{first}")
         nodes = df.sparkSession.read.parquet(f"{folder}/{first}/data")
+        largest = max(largest, nodes.groupBy("treeID").count().agg(F.max("count")).first()[0])
         parts.append(forest_table(nodes.withColumn("treeID", F.col("treeID") + first)))
+        first += trees
+        together = max(together, min(GROUP_TREES, DRIVER_NODES // (2 * largest)))
     return Fitted("random_forest", "trees", base=cut_lineage(reduce(DataFrame.unionByName, parts)))
 
 

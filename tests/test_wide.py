@@ -46,3 +46,15 @@ def test_wide_medians_with_nulls_and_ties(spark):
     found = prep.exact_medians(df, df.columns, small=0)
     assert found["c.7"] is None and want["c.7"] is None
     assert {c: v for c, v in found.items() if v is not None} == pytest.approx({c: v for c, v in want.items() if v is not None})
+
+
+def test_small_trees_make_large_groups(spark, monkeypatch):
+    rows = [(i, i % 2, [float(i % 2), float(i)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, y int, features array<double>")
+    monkeypatch.setattr(models, "DRIVER_NODES", 400)
+    fits, plain = [], models._forest
+    monkeypatch.setattr(models, "_forest", lambda d, s, seed, trees: fits.append(trees) or plain(d, s, seed, trees))
+    fitted = models.fit_random_forest(df, models.Settings(forest_trees=40), 42)
+    assert fits[0] == 1 and sum(fits) == 40 and len(fits) < 10
+    assert sorted({r.tree for r in fitted.base.select("tree").collect()}) == list(range(40))
+    assert all((r.score > 0.5) == (r.y == 1) for r in fitted.score(df).collect())
