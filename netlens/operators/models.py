@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from netlens.functions.codegen import short_methods
 from netlens.functions.lineage import cut_lineage, shared_folder, side_by_side
+from netlens.operators import forests
 from netlens.operators.boosting import boosted_stumps, flat, score_column
 from netlens.operators.knn import knn_join
 from netlens.operators.metrics import min_max_scores
@@ -39,6 +40,7 @@ KNN_K, FOCAL_GAMMA = 7, 2.0
 EPS = 1e-6
 DRIVER_NODES = 2_000_000
 GROUP_TREES = 32
+GROUPED_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -92,7 +94,7 @@ class Fitted:
     """A trained model: Spark ML models with a rule that turns them into a score."""
 
     name: str
-    kind: str  # probability, margin, boosted, neighbours, trees, pipeline
+    kind: str  # probability, margin, boosted, neighbours, trees, forest, pipeline
     models: list = field(default_factory=list)
     stumps: list[list[float]] = field(default_factory=list)
     bounds: tuple[float, float] | None = None
@@ -111,6 +113,8 @@ class Fitted:
             return made(self.models[0], df, "score")
         if self.kind == "trees":
             return score_trees(df, self.base)
+        if self.kind == "forest":
+            return forests.score_forest(df, self.base)
         if self.kind == "boosted":
             return df.withColumn("score", score_column(self.stumps))
         out = df.withColumn("_v", array_to_vector("features"))
@@ -137,6 +141,8 @@ class Fitted:
         """Mean importances of ``width`` features, for models that have them."""
         if self.kind == "trees":
             return importances(self.base, width)
+        if self.kind == "forest":
+            return forests.importances(self.base, width)
         found = [m.featureImportances.toArray() for m in self.models if hasattr(m, "featureImportances")]
         return list(sum(found) / len(found)) if found and self.kind == "probability" else None
 
@@ -216,16 +222,31 @@ def _forest(df: DataFrame, s: Settings, seed: int, trees: int):
     ).fit(_points(df))
 
 
+def _binned(df: DataFrame, s: Settings) -> tuple[DataFrame, list]:
+    """Blocks of binned rows, and the cut points."""
+    points = cut_lineage(df.select("y", "features", *(c for c in ("weight",) if c in df.columns)))
+    cuts = forests.cut_points(points, s.max_bins)
+    return forests.binned(points, cuts), cuts
+
+
+def _grown(df: DataFrame, s: Settings, seed: int, trees: int, first: int = 0) -> DataFrame:
+    return forests.grow_forest(*_binned(df, s), trees, seed, s.forest_depth, first)
+
+
 def fit_random_forest(df: DataFrame, s: Settings, seed: int) -> Fitted:
-    """MD3; a forest of more than ``DRIVER_NODES`` possible nodes is grown in groups and becomes a table.
+    """MD3; a forest of more than ``DRIVER_NODES`` possible nodes becomes a table.
 
-    A tree has fewer than two nodes for each row, and Spark ML keeps the trees of a fit on
+    Beyond ``GROUPED_ROWS`` rows, tasks grow whole trees (``operators.forests``); below, Spark's
+    learner grows groups. A tree has fewer than two nodes for each row, and Spark ML keeps the trees of a fit on
     the driver; so a group's trees are written before the next group is grown. A later group
     has as many trees, up to ``GROUP_TREES``, as twice the largest tree so far leaves room for.
     """
-    together = max(1, DRIVER_NODES // max(1, 2 * df.count()))
+    n = df.count()
+    together = max(1, DRIVER_NODES // max(1, 2 * n))
     if together >= s.forest_trees:
         return Fitted("random_forest", "probability", [_forest(df, s, seed, s.forest_trees)])
+    if n > GROUPED_ROWS:
+        return Fitted("random_forest", "forest", base=_grown(df, s, seed, s.forest_trees))
     points = cut_lineage(df.select("y", "features", *(c for c in ("weight",) if c in df.columns)))  # read by every group
     folder, parts, first, largest = f"{shared_folder(df.sparkSession)}/forest-{uuid.uuid4().hex}", [], 0, 0
     while first < s.forest_trees:
@@ -265,8 +286,13 @@ def fit_knn(df: DataFrame, s: Settings, seed: int) -> Fitted:
 
 
 def fit_balanced_forest(df: DataFrame, s: Settings, seed: int) -> Fitted:
-    """MD8: forests on differently under-sampled frames."""
+    """MD8: forests on differently under-sampled frames; of more than ``DRIVER_NODES`` possible nodes, they become one table."""
     per_bag = math.ceil(s.forest_trees / s.forest_bags)
+    counts = class_counts(df, "y")
+    if 2 * len(counts) * min(counts.values(), default=0) * per_bag * s.forest_bags > DRIVER_NODES:
+        rows = cut_lineage(df.select("id", "y", "features"))
+        grown = lambda b: _grown(random_undersample(rows, seed + b), s, seed + b, per_bag, b * per_bag)
+        return Fitted("balanced_random_forest", "forest", base=reduce(DataFrame.unionByName, _each_bag(grown, s.forest_bags, s)))
     bag = lambda b: _forest(random_undersample(df, seed + b), s, seed + b, per_bag)
     return Fitted("balanced_random_forest", "probability", _each_bag(bag, s.forest_bags, s))
 
