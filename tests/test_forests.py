@@ -105,3 +105,14 @@ def test_weights_and_numbers_that_are_none(frame):
     assert shares[0] < 0.6 and shares[1] > 0.95 and len(fitted.importances(6)) == 6
     with pytest.raises(Exception, match="NaN"):
         models._grown(frame.withColumn("features", F.array(F.lit(float("nan")))), Settings(), 42, 2)
+
+
+def test_boosting_in_a_task_equals_sparks(frame, monkeypatch):
+    settings = Settings(boosting_stages=15)
+    theirs = models.fit_gradient_boosting(frame, settings, 42)
+    monkeypatch.setattr(models, "SMALL_ROWS", 100)
+    ours = models.fit_gradient_boosting(frame, settings, 42)
+    assert (theirs.kind, ours.kind) == ("probability", "staged")
+    want = {r.id: r.score for r in theirs.score(frame).collect()}
+    assert {r.id: r.score for r in ours.score(frame).collect()} == pytest.approx(want, abs=1e-9)
+    assert ours.importances(6) == pytest.approx(theirs.importances(6), abs=0.02)
