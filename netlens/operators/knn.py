@@ -7,8 +7,8 @@ exact upper bound for its k-th distance, and then only blocks with a cell that t
 triangle inequality cannot exclude; inside a block it excludes cells again. Queries of a
 block are cut into about ``GRID`` chunks. So a row is sent about ``GRID`` times however many
 there are, until a block or chunk has ``GROUP_ROWS`` rows; from there more of them bound a
-task's memory. Distances are made in tiles, and only the k best of each (chunk, block)
-leave a task. Copies of one vector are reduced to the few that can be a result before
+task's memory. Distances are made in tiles, first in single precision, and only the k best of
+each (chunk, block) leave a task. Copies of one vector are reduced to the few that can be a result before
 anything else.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from netlens.functions.lineage import cut_lineage
 from netlens.functions.numbers import seeded_digest
-from netlens.operators.lsh import LshParams, lsh_candidates
+from netlens.operators.lsh import LshParams, Meetings, lsh_candidates
 
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 2048
@@ -58,36 +58,33 @@ def nearest(k: int, exclude_self: bool, centre: np.ndarray | None = None, radius
     def search(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or block.empty:
             return pd.DataFrame({"q_id": [], "b_id": [], "b_y": [], "d2": []})
-        cells = buckets = None
+        cells = met = None
         if centre is not None:
             block = block.sort_values("cell", kind="stable")
             cells, place = np.unique(block["cell"].to_numpy(), return_inverse=True)
         a, b = _matrix(queries["features"]), _matrix(block["features"])
         if index is not None:
-            buckets = index.buckets(b)
+            keys = index.keys(b)
             order = np.argsort(index.keys(a)[:, 0], kind="stable")  # queries of one bucket side by side
             queries, a = queries.iloc[order], a[order]
         q_ids, b_ids, labels = queries["q_id"].to_numpy(), block["b_id"].to_numpy(), block["b_y"].to_numpy()
         bound = queries["bound"].fillna(np.inf).to_numpy(float) if "bound" in queries else np.full(len(a), np.inf)
-        norms, b_norms = (a * a).sum(1), (b * b).sum(1)
-        slack = 1e-9 * (1 + norms + b_norms.max())
+        pairs = Pairs(a, b)
         own = int(np.unique(b_ids, return_counts=True)[1].max()) if exclude_self else 0  # rows a query may meet of its own id
         out = []
         for i in range(0, len(a), TILE_QUERIES):
             some = slice(i, i + TILE_QUERIES)
-            limit, columns, met = bound[some].copy(), np.arange(len(b)), None
+            limit, columns = bound[some].copy(), np.arange(len(b))
             if cells is not None:
                 d = np.sqrt(_squared(a[some], centre[cells]))
                 reached = (d - radius[cells] - 1e-6 * (1 + d) <= np.sqrt(limit)[:, None]).any(0)
                 columns = np.flatnonzero(reached[place])
-            if buckets is not None:
-                met = index.met(a[some], buckets)
-                columns = np.flatnonzero(met.any(0))
+            if index is not None:
+                met = Meetings(index.probed(a[some]), keys)
+                columns = np.flatnonzero(met.any_query())
             best = (np.empty(0, int), np.empty(0, int), np.empty(0))
             for j in range(0, len(columns), TILE_BASE):
-                here = columns[j : j + TILE_BASE]
-                allowed = None if met is None else met[:, here]
-                found = _tile(a[some], b, here, norms[some], b_norms, limit, slack[some], k + own, allowed)
+                found = pairs.near(some, columns[j : j + TILE_BASE], limit, k + own, met)
                 best = _merged(best, found, k, q_ids[some], b_ids, exclude_self)
                 rows, _, d2 = best
                 full = np.bincount(rows, minlength=len(limit)) == k
@@ -101,29 +98,74 @@ def nearest(k: int, exclude_self: bool, centre: np.ndarray | None = None, radius
     return search
 
 
-def _tile(
-    a: np.ndarray, b: np.ndarray, columns: np.ndarray, norms: np.ndarray, b_norms: np.ndarray, limit: np.ndarray, slack: np.ndarray, wanted: int,
-    allowed: np.ndarray | None = None,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, base row, squared distance) of the pairs of a tile that can be among the nearest; ``allowed`` marks pairs."""
-    part = b[columns]
-    rough = a @ part.T
-    rough *= -2
-    rough += norms[:, None]
-    rough += b_norms[columns]
-    if allowed is not None:
-        rough[~allowed] = np.inf
-    limit = limit.copy()
-    new = np.flatnonzero(np.isinf(limit))
-    if len(new) and wanted <= rough.shape[1]:
-        limit[new] = np.partition(rough[new], wanted - 1, axis=1)[:, wanted - 1]
-    near = rough <= (limit + slack)[:, None]
-    rows, cols = np.nonzero(near if allowed is None else near & allowed)
-    d2 = np.empty(len(rows))
-    for i in range(0, len(rows), 1 << 16):  # exact distances of the few candidates
-        at = slice(i, i + (1 << 16))
-        d2[at] = ((a[rows[at]] - part[cols[at]]) ** 2).sum(1)
-    return rows, columns[cols], d2
+class Pairs:
+    """Pairs of queries and base rows that can be among the nearest, by tiles.
+
+    Distances less the query's own square are first made in single precision, with one product
+    a tile, and compared to limits widened by the rounding errors. What is left gets its exact
+    distance. Where that leaves many pairs, or numbers are too large, a tile is made again in doubles.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b, middle = a, b, b.mean(0)
+        a, b = a - middle, b - middle
+        self.norms, self.b_norms = (a * a).sum(1), (b * b).sum(1)
+        self.wide = not max(self.norms.max(), self.b_norms.max()) < 1e30  # also NaN
+        if not self.wide:
+            self.left = np.ones((len(a), a.shape[1] + 1), np.float32)
+            self.left[:, :-1] = a
+            self.right = np.empty((len(b), b.shape[1] + 1), np.float32)
+            self.right[:, :-1], self.right[:, -1] = -2 * b, self.b_norms
+
+    def near(self, some: slice, columns: np.ndarray, limit: np.ndarray, wanted: int, met=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query of the tile, base row, squared distance); ``met`` (``Meetings``) marks the pairs that count."""
+        a, norms = self.a[some], self.norms[some]
+        large = norms + self.b_norms[columns].max()
+        hits = None
+        if not self.wide:
+            rough = self.left[some] @ self.right[columns].T
+            slack = 2.0**-23 * (self.left.shape[1] + 8) * large + 1e-9 * (1 + large)
+            hits = self._hits(rough, norms, limit, slack, columns, wanted, met)
+        if hits is None:
+            part = self.b[columns]
+            rough = (part * part).sum(1) - 2 * a @ part.T
+            norms = (a * a).sum(1)
+            hits = self._hits(rough, norms, limit, 1e-9 * (1 + norms + (part * part).sum(1).max()), columns, wanted, met, True)
+        rows, cols = np.divmod(hits, len(columns))
+        cols = columns[cols]
+        if met is not None:
+            both = met.pairs(rows, cols)
+            rows, cols = rows[both], cols[both]
+        d2 = np.empty(len(rows))
+        for i in range(0, len(rows), 1 << 16):  # exact distances of the few candidates
+            at = slice(i, i + (1 << 16))
+            d2[at] = ((a[rows[at]] - self.b[cols[at]]) ** 2).sum(1)
+        return rows, cols, d2
+
+    @staticmethod
+    def _hits(rough, norms, limit, slack, columns, wanted, met, all_=False) -> np.ndarray | None:
+        """Places of the pairs within the limits; None if they are many."""
+        top = limit - norms + slack
+        new = np.flatnonzero(np.isinf(limit))
+        if len(new):
+            known = rough[new]
+            if met is not None:
+                known[~met.dense(new, columns)] = np.inf
+            if wanted <= rough.shape[1]:
+                top[new] = np.partition(known, wanted - 1, axis=1)[:, wanted - 1] + 2 * slack[new]
+        with np.errstate(over="ignore"):
+            top = np.nextafter(top.astype(rough.dtype), rough.dtype.type(np.inf))
+        near = rough <= top[:, None]
+        if met is not None and len(new):
+            near[new] &= known < np.inf
+        flat = near.reshape(-1)
+        if len(flat) % 8:
+            hits = np.flatnonzero(flat)
+        else:  # most words of eight pairs are empty
+            words = np.flatnonzero(flat.view(np.uint64))
+            hits = (8 * words[:, None] + np.arange(8)).reshape(-1)
+            hits = hits[flat[hits]]
+        return hits if all_ or len(hits) <= len(flat) // 32 + 8 * wanted * len(top) else None
 
 
 def _merged(best: tuple, found: tuple, k: int, q_ids: np.ndarray, b_ids: np.ndarray, exclude_self: bool) -> tuple:

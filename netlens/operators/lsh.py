@@ -79,21 +79,54 @@ class LshIndex:
 
     def buckets(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each table: its keys in order, and each row's place among them."""
-        keys = self.keys(x)
-        return [np.unique(keys[:, t], return_inverse=True) for t in range(self.tables)]
+        return in_order(self.keys(x))
 
     def met(self, x: np.ndarray, buckets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """(queries, rows): whether a query looks into a bucket of the row."""
-        looked = self.probed(x)
-        out = np.zeros((len(x), len(buckets[0][1])), bool)
-        for t, (keys, place) in enumerate(buckets):
-            at = np.minimum(np.searchsorted(keys, looked[:, t]), len(keys) - 1)
-            rows, probes = np.nonzero(keys[at] == looked[:, t])
-            open_ = np.zeros((len(x), len(keys)), bool)
-            open_[rows, at[rows, probes]] = True
-            out |= open_[:, place]
+        return opened(self.probed(x), buckets)
+
+
+def in_order(keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each table: the different keys in order, and each row's place among them."""
+    return [np.unique(keys[:, t], return_inverse=True) for t in range(keys.shape[1])]
+
+
+def opened(looked: np.ndarray, buckets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """(queries, rows): whether a query's probes name a bucket of the row."""
+    out = np.zeros((len(looked), len(buckets[0][1])), bool)
+    for t, (keys, place) in enumerate(buckets):
+        at = np.minimum(np.searchsorted(keys, looked[:, t]), len(keys) - 1)
+        rows, probes = np.nonzero(keys[at] == looked[:, t])
+        open_ = np.zeros((len(looked), len(keys)), bool)
+        open_[rows, at[rows, probes]] = True
+        out |= open_[:, place]
+    return out
+
+
+class Meetings:
+    """Which rows stand in buckets that queries look into, from the queries' probes and the rows' keys."""
+
+    def __init__(self, looked: np.ndarray, keys: np.ndarray):
+        self.looked, self.keys = looked, keys
+
+    def any_query(self) -> np.ndarray:
+        """For each row, whether any query looks into one of its buckets."""
+        return np.logical_or.reduce([np.isin(self.keys[:, t], self.looked[:, t]) for t in range(self.keys.shape[1])])
+
+    def pairs(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whether each query looks into a bucket of its row."""
+        out = np.zeros(len(queries), bool)
+        for t in range(self.keys.shape[1]):
+            rest = np.flatnonzero(~out)
+            for i in range(0, len(rest), 1 << 14):
+                at = rest[i : i + (1 << 14)]
+                out[at] = (self.looked[queries[at], t] == self.keys[rows[at], t][:, None]).any(1)
         return out
 
+    def dense(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """(queries, rows): all pairs of some queries and rows."""
+        return opened(self.looked[queries], in_order(self.keys[rows]))
+
 
 def probe_sets(hashes: int, probes: int) -> list[list[int]]:
     """The likeliest sets of steps, as places in the order of a query's distances to its 2 * hashes cell borders.
