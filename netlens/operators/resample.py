@@ -221,11 +221,23 @@ def adasyn(df: DataFrame, seed: int = 42, k: int = SMOTE_K, method: str = "exact
 
 
 def drop_tomek_links(df: DataFrame, method: str = "exact") -> DataFrame:
-    """RS9, second part: both rows of mutual nearest neighbours of different class go."""
+    """RS9, second part: both rows of mutual nearest neighbours of different class go.
+
+    One row of each link is not of the largest class. So the nearest rows of those are
+    searched, and then only of the rows of the largest class that were found.
+    """
     rows = _rows(df)
-    nearest = cut_lineage(
-        knn_join(rows, rows, 1, method=method).join(rows.select("id", "y"), "id").select("id", "y", "neighbour_id", "neighbour_y")
-    )
+    counts = class_counts(rows.where("y is not null"), "y")
+    largest = max(counts, key=lambda c: (counts[c], c), default=0)
+
+    def nearest_of(asked: DataFrame) -> DataFrame:
+        found = knn_join(asked, rows, 1, method=method).join(asked.select("id", "y"), "id")
+        return cut_lineage(found.select("id", "y", "neighbour_id", "neighbour_y"))
+
+    others = rows.where(F.col("y") != largest).select("id")
+    first = nearest_of(rows.join(others, "id", "left_semi"))
+    met = first.select(F.col("neighbour_id").alias("id")).join(first.select("id"), "id", "left_anti")
+    nearest = first.unionByName(nearest_of(rows.join(met, "id", "left_semi")))
     back = nearest.select(F.col("id").alias("neighbour_id"), F.col("neighbour_id").alias("id"))
     linked = nearest.where("y <> neighbour_y").join(back, ["id", "neighbour_id"]).select("id")
     return rows.join(linked, "id", "left_anti")
